@@ -21,7 +21,8 @@ from terrafold.llm.shared import ship_package, written
 
 FAN_BITS = 3
 _KEY = ["digest", "bytes", "check"]
-_RUN = "run int, slice int, digest string, bytes int, check long, best struct<doc_id: long, tag: long>, n long"
+_RUN = "run int, slice int, digest string, bytes int, check long, best_id long, best_tag long, n long"
+_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 #: A group counts as hot from this share of all rows; so there are at most 1000 hot groups, which are broadcast.
 HOT = 1000
 
@@ -57,21 +58,20 @@ def _merge(largest: bool):
             c = t[k].combine_chunks()
             new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         firsts = np.flatnonzero(new)
-        best = t["best"].combine_chunks()
-        ids = pc.fill_null(best.field(0), -(1 << 63)).to_numpy(zero_copy_only=False)
-        tags = best.field(1).to_numpy(zero_copy_only=False)
-        group = np.cumsum(new) - 1
-        order = np.lexsort((tags, ids, group))
-        at = order[np.append(firsts[1:], n) - 1] if largest else order[firsts]
-        out = t.take(pa.array(firsts)).drop_columns(["best", "n"])
-        return out.append_column("best", best.take(pa.array(at))).append_column("n", pa.array(np.add.reduceat(t["n"].to_numpy(), firsts)))
+        ids = pc.fill_null(t["best_id"].combine_chunks(), -(1 << 63)).to_numpy(zero_copy_only=False)
+        tags = t["best_tag"].to_numpy()
+        order = np.lexsort((tags, ids, np.cumsum(new)))
+        at = pa.array(order[np.append(firsts[1:], n) - 1] if largest else order[firsts])
+        n_sum = pa.array(np.add.reduceat(t["n"].to_numpy(), firsts))
+        kept = t.take(pa.array(firsts))
+        return pa.table([t[k].take(at) if k.startswith("best") else n_sum if k == "n" else kept[k] for k in _NAMES], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
+            t = pa.table([batch.column(k) for k in _NAMES], names=_NAMES)
             t = folded(t if held is None else pa.concat_tables([held, t]))
             held = t.slice(t.num_rows - 1)
             yield from t.slice(0, t.num_rows - 1).to_batches()
@@ -82,10 +82,10 @@ def _merge(largest: bool):
 
 
 def tree_merge(found: DataFrame, largest: bool = False) -> DataFrame:
-    """digest, bytes, check, best (doc_id, tag) and n for each distinct text of digests()."""
+    """digest, bytes, check, best_id, best_tag and n for each distinct text of digests()."""
     ship_package(found.sparkSession)
     merge = _merge(largest)
-    entries = found.select(F.spark_partition_id().alias("run"), F.lit(0).alias("slice"), *_KEY, F.struct("doc_id", "tag").alias("best"), F.lit(1).cast("long").alias("n"))
+    entries = found.select(F.spark_partition_id().alias("run"), F.lit(0).alias("slice"), *_KEY, F.col("doc_id").alias("best_id"), F.col("tag").alias("best_tag"), F.lit(1).cast("long").alias("n"))
     most = entries.agg(F.max("run")).first()[0] or 0
     runs = entries.sortWithinPartitions(*_KEY).mapInArrow(merge, _RUN)
     level = 0
@@ -94,9 +94,9 @@ def tree_merge(found: DataFrame, largest: bool = False) -> DataFrame:
         level += 1
         bits = min(28, FAN_BITS * level)
         cut = F.shiftright(F.conv(F.substring("digest", 1, 7), 16, 10).cast("int"), 28 - bits)
-        met = runs.select(F.shiftright("run", FAN_BITS).alias("run"), cut.alias("slice"), *_KEY, "best", "n")
+        met = runs.select(F.shiftright("run", FAN_BITS).alias("run"), cut.alias("slice"), *_KEY, "best_id", "best_tag", "n")
         runs = met.repartition("run", "slice").sortWithinPartitions("run", "slice", *_KEY).mapInArrow(merge, _RUN)
-    return runs.select(*_KEY, "best", "n")
+    return runs.select(*_KEY, "best_id", "best_tag", "n")
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest") -> DataFrame:
@@ -113,17 +113,17 @@ def exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest"
     cold = groups.filter(F.col("n") * HOT < total)
     names = [F.col(k).alias(f"{k}_g") for k in _KEY]
     same = [F.col(k) == F.col(f"{k}_g") for k in _KEY]
-    small = F.broadcast(hot.select(*names, "best", "n"))
+    small = F.broadcast(hot.select(*names, "best_id", "best_tag", "n"))
     at_once = found.join(small, same, "left")
-    out = ["doc_id", "tag", "digest", "best", "n"]
+    out = ["doc_id", "tag", "digest", "best_id", "best_tag", "n"]
     done = at_once.filter(F.col("n").isNotNull()).select(*out)
     rest = at_once.filter(F.col("n").isNull()).select("doc_id", "tag", *_KEY)
-    rest = rest.join(cold.select(*names, "best", "n"), same).select(*out)
+    rest = rest.join(cold.select(*names, "best_id", "best_tag", "n"), same).select(*out)
     return done.unionByName(rest).select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
+        F.col("best_id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        (F.col("tag") == F.col("best.tag")).alias("kept"),
+        (F.col("tag") == F.col("best_tag")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
