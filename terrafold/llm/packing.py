@@ -88,7 +88,7 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
-def fit(shapes: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
+def fit(shapes: np.ndarray, histogram: np.ndarray, rounds: int = 150) -> np.ndarray:
     """Repeat counts x >= 0 of patterns that minimise the weighted squares of (lengths used - histogram).
 
     Projected gradient steps with momentum. Misses weigh less the shorter the length, as short pieces fill gaps later.

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terrafold.llm.exact_dedup import exact_duplicates
+from terrafold.llm.packing import pack
 from terrafold.llm.shared import table
+from terrafold.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,6 +20,25 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def word_bpe_file() -> str:
+    """The public tokenizer file whose ids packing and counting use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), word_bpe_file())
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, ranks and truncated totals of all documents for every encoded length."""
+    return token_counts(table(spark, sf_dir, "documents"), word_bpe_file())
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of equal text that stays (the largest doc_id)."""
