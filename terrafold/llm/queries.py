@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from terrafold.llm import langid, toxicity
 from terrafold.llm.exact_dedup import exact_duplicates
 from terrafold.llm.packing import pack
-from terrafold.llm.shared import table
+from terrafold.llm.shared import crc_mod, table
 from terrafold.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +35,25 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_bpe_file())
 
 
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those whose crc32(doc_id) mod 5 isn't 0."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_mod(F.col("doc_id"), 5)
+    model = langid.train(docs.filter(fold != 0))
+    return langid.predict(docs, model, [F.col("doc_id"), (fold == 0).alias("held_out")])
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from labels of those whose crc32(doc_id) mod 3 isn't 1."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_mod(F.col("doc_id"), 3)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod(F.col("doc_id"), 3) != 1)
+    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model, [F.col("doc_id"), (fold == 1).alias("held_out")])
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, ranks and truncated totals of all documents for every encoded length."""
