@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import langid, toxicity
+from terrafold.llm.embedding_dedup import near_duplicates
 from terrafold.llm.exact_dedup import exact_duplicates
+from terrafold.llm.ngram_join import jaccard_join
 from terrafold.llm.packing import pack
 from terrafold.llm.shared import crc_mod, table
 from terrafold.llm.token_counts import token_counts
@@ -29,6 +31,22 @@ def word_bpe_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors of equal label at a cosine of 0.93, and their groups."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op1_embedding_dedup"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT r.x AS vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
+FROM r LEFT JOIN n ON n.x = r.x GROUP BY r.x
+"""
+
+
 @query
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
@@ -72,3 +90,26 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, CAST(count(*) OVER
        row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, h AS text_sha256
 FROM d
 """
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all documents at a Jaccard similarity of 0.8 of their five-word sets, and their groups."""
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("row")
+
+
+ORACLE_SQL["op10_ngram_jaccard"] = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))))
+                          WHEN len(w) >= 1 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS s FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) / CAST(a.n + b.n - count(*) AS DOUBLE) >= 0.8),
+r AS (SELECT doc_id AS x, doc_id AS y FROM g UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT g.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id,
+       CASE WHEN len(g.g) = 0 THEN g.doc_id ELSE min(g.doc_id) OVER (PARTITION BY g.g) END AS set_id,
+       CAST(CASE WHEN len(g.g) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY g.g) END AS BIGINT) AS set_size, g.doc_id = c.component_id AS kept
+FROM g JOIN c ON c.x = g.doc_id LEFT JOIN n ON n.x = g.doc_id
+"""
