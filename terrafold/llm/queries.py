@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrafold.llm import langid, toxicity
 from terrafold.llm.embedding_dedup import near_duplicates
 from terrafold.llm.exact_dedup import exact_duplicates
+from terrafold.llm.lmscore import lm_scores
 from terrafold.llm.ngram_join import jaccard_join
 from terrafold.llm.packing import pack
 from terrafold.llm.shared import crc_mod, table
@@ -62,6 +63,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, [F.col("doc_id"), (fold == 0).alias("held_out")])
 
 
+@query
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learnt from those whose crc32(doc_id) mod 7 isn't 2."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_mod(F.col("doc_id"), 7)
+    return lm_scores(docs, docs.filter(fold != 2), [F.col("doc_id"), (fold == 2).alias("held_out")])
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels of those whose crc32(doc_id) mod 3 isn't 1."""
