@@ -1,7 +1,7 @@
 """Language-model scores by prediction by partial matching (PPM) over bytes.
 
 The model is a trie of byte contexts up to ORDER bytes long. A symbol seen in the longest context costs its share there;
-otherwise an escape is paid, estimated from the number of distinct symbols (method C), and the next shorter context is
+otherwise an escape is paid, estimated from the number of distinct symbols (method D), and the next shorter context is
 asked, without the symbols that the longer one has (exclusion), down to a uniform choice among what is left. Every
 context's counts come from the whole training corpus: (ORDER + 1)-grams of bytes are counted in one pass over it and
 summed by Spark; counts of shorter contexts are sums of those. The symbol END closes each text and stands before it.
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from terrafold.llm.shared import ship_package, written
 from terrafold.llm.textbytes import LOWER, HashIndex, buffers, counted, prefix_sums, slices, span_hashes, sums_by_row, words
 
-ORDER = 4
+ORDER = 5
 END = 256
 SYMBOLS = 257
 FREQUENT = 200_000
 #: Nodes of (ORDER + 1)-grams of a block of the trie.
-BLOCK_NODES = 4_000_000
+BLOCK_NODES = 2_000_000
 #: A word's hash that no word has but the end of a text.
 END_WORD = np.uint64(0x51D7348A1F3C99E5)
 _GRAM, _WORD = 0, 1
@@ -43,13 +43,13 @@ _GRAM, _WORD = 0, 1
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the (ORDER + 1)-gram that ends at each symbol, base SYMBOLS, oldest symbol first; the symbol before each;
-    and where each text's symbols begin. A text has its bytes and END; before it stand ORDER times END."""
+    and where each text's symbols begin. A text has its bytes (A-Z lower-cased) and END; before it stand ORDER times END."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     at = offsets + np.arange(n + 1) * (ORDER + 1)
     padded = np.full(int(at[-1]) + ORDER, END, np.int64)
     own = np.arange(len(data)) + np.repeat(np.arange(1, n + 1) * ORDER + np.arange(n), size)
-    padded[own] = data
+    padded[own] = LOWER[data]
     keys = np.zeros(int(at[-1]), np.int64)
     for k in range(ORDER + 1):
         keys = keys * SYMBOLS + padded[k : k + len(keys)]
@@ -133,11 +133,11 @@ class Trie:
             self.total[j] = np.add.reduceat(self.count[j], first) if len(k) else np.zeros(0)
             self.distinct[j] = (ends - first).astype(np.float64)
         of = np.searchsorted(np.unique(keys // SYMBOLS), keys // SYMBOLS)
-        self.seen = np.log10(self.count[ORDER] / (self.total[ORDER] + self.distinct[ORDER])[of]) if len(keys) else np.zeros(0)
+        self.seen = np.log10((self.count[ORDER] - 0.5) / self.total[ORDER][of]) if len(keys) else np.zeros(0)
         # Of each context's suffix: what is left without the symbols that the context has itself; for each context of j symbols.
         self.escape, self.rest_total, self.rest_distinct = {}, {}, {}
         for j, (k, _) in grams.items():
-            self.escape[j] = np.log10(self.distinct[j] / (self.total[j] + self.distinct[j]))
+            self.escape[j] = np.log10(self.distinct[j] / (2 * self.total[j]))
             contexts, first = np.unique(k // SYMBOLS, return_index=True)
             if j == 0:
                 self.rest_distinct[0] = np.array([SYMBOLS - len(k)], float)
@@ -165,9 +165,9 @@ class Trie:
             total[there], distinct[there] = self.total[j][context[there]], self.distinct[j][context[there]]
             total[longer], distinct[longer] = self.rest_total[j + 1][came[longer]], self.rest_distinct[j + 1][came[longer]]
             hit = node >= 0
-            out[todo[hit]] = cost[hit] + np.log10(self.count[j][node[hit]] / (total[hit] + distinct[hit]))
+            out[todo[hit]] = cost[hit] + np.log10((self.count[j][node[hit]] - 0.5) / total[hit])
             paid = ~hit & (distinct > 0)  # a context that has nothing new needs no escape
-            cost[paid] += np.log10(distinct[paid] / (total[paid] + distinct[paid]))
+            cost[paid] += np.log10(distinct[paid] / (2 * total[paid]))
             todo, keys, came, cost = todo[~hit], keys[~hit], context[~hit], cost[~hit]
         out[todo] = cost - np.log10(np.maximum(1.0, self.rest_distinct[0][0]))
         return out
@@ -225,7 +225,7 @@ def _words(counts: DataFrame, frequent: int) -> tuple[int, int, int, dict[str, n
 def lm_scores(docs: DataFrame, training: DataFrame, keep: list[Column], text: str = "text", block_nodes: int = BLOCK_NODES, frequent: int = FREQUENT) -> DataFrame:
     """keep (columns of docs), n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
-    score is the PPM log10 probability of the text's bytes and END under the trie of all training texts; base_score is
+    score is the PPM log10 probability of the text's bytes (A-Z lower-cased) and END under the trie of all training texts; base_score is
     the sum over words and the end of log10((c + 1) / (N + V + 1)). Null texts count as empty, repeated rows each; no
     training rows give the uniform model. Word hashes have 64 bits; two words share one with a chance of V**2 / 2**65.
     """
@@ -320,15 +320,15 @@ class PlainTrie:
             if not at:
                 continue
             if symbol in at:
-                return total + math.log10(at[symbol] / (sum(at.values()) + len(at)))
-            total += math.log10(len(at) / (sum(at.values()) + len(at)))
+                return total + math.log10((at[symbol] - 0.5) / sum(at.values()))
+            total += math.log10(len(at) / (2 * sum(at.values())))
             excluded |= set(at)
         return total - math.log10(max(1, SYMBOLS - len(excluded)))
 
     def text(self, text: bytes, learn: bool, score: bool = True) -> float:
-        """Adaptive if learn: each symbol is added after it is coded."""
+        """Adaptive if learn: each symbol is added after it is coded. A-Z are lower-cased."""
         history, total = [END] * self.order, 0.0
-        for s in [*text, END]:
+        for s in [*text.lower(), END]:
             total += self.cost(history, s) if score else 0.0
             if learn:
                 self.add(history, s)

@@ -102,11 +102,11 @@ def sums_by_row(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
 
 
 class HashIndex:
-    """Finds the places of 64-bit keys, many at a time: open addressing, linear probing, at most a third full."""
+    """Finds the places of 64-bit keys, many at a time: open addressing, linear probing, at most two thirds full."""
 
-    def __init__(self, keys: np.ndarray):
-        """keys: distinct."""
-        bits = max(4, int(3 * max(1, len(keys)) - 1).bit_length())
+    def __init__(self, keys: np.ndarray, room: int = 0):
+        """keys: distinct; room: how many keys there shall be space for, if more."""
+        bits = max(4, int(1.5 * max(len(keys), room)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots = np.zeros(1 << bits, np.uint64)
         self.places = np.full(1 << bits, -1, np.int32)

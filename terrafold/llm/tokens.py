@@ -73,7 +73,7 @@ class WordBpe:
             old = np.empty(self.index.n, np.uint64)
             used = self.index.places >= 0
             old[self.index.places[used]] = self.index.slots[used]
-            self.index = HashIndex(np.concatenate([old, hashes]))
+            self.index = HashIndex(np.concatenate([old, hashes]), 2 * (len(old) + len(hashes)))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat])
 
