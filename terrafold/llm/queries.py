@@ -77,7 +77,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = crc_mod(F.col("doc_id"), 3)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(crc_mod(F.col("doc_id"), 3) != 1)
-    model = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.score(docs, model, [F.col("doc_id"), (fold == 1).alias("held_out")])
 
 

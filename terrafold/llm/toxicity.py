@@ -134,19 +134,18 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 15, rate: float = 0.
     return Model(keys, w, bias)
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
-    """Fit on a bounded sample of (doc_id, text, toxic): of each label, the rows whose hashed ids are smallest.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic") -> Model:
+    """Fit on a bounded sample of labels (doc_id, toxic): of each label, the rows whose hashed ids are smallest.
 
-    Rows whose label is neither 0 nor 1, or with a null text, aren't examples.
+    Only the sampled ids meet docs (doc_id, text), by broadcast. Labels other than 0 and 1, null ids, null texts and
+    texts of over LONGEST characters aren't examples.
     """
-    rows = labelled.filter(f"{label} IN (0, 1) AND {text} IS NOT NULL AND length({text}) <= {LONGEST}")
-    rows = rows.select(F.lower(text).alias("text"), F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
-    texts, labels = [], []
-    for y in (0, 1):
-        got = rows.filter(F.col("y") == y).orderBy("h", "text").limit(SAMPLE_PER_LABEL).select("text").toArrow()["text"].to_pylist()
-        texts += got
-        labels += [y] * len(got)
-    return fit(texts, np.array(labels, np.int64))
+    rows = labels.filter(f"{label} IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
+    sample = [rows.filter(F.col("y") == y).orderBy("h", "doc_id").limit(SAMPLE_PER_LABEL) for y in (0, 1)]
+    short = docs.filter(F.length(text) <= LONGEST).select("doc_id", F.lower(text).alias("text"))
+    found = short.join(F.broadcast(sample[0].union(sample[1])), "doc_id")  # at most 2 * SAMPLE_PER_LABEL rows
+    got = found.orderBy("y", "h", "text").limit(4 * SAMPLE_PER_LABEL).select("text", "y").toArrow()
+    return fit(got["text"].to_pylist(), got["y"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
