@@ -11,8 +11,10 @@ from terrafold.llm import langid, toxicity
 from terrafold.llm.embedding_dedup import near_duplicates
 from terrafold.llm.exact_dedup import exact_duplicates
 from terrafold.llm.lmscore import lm_scores
+from terrafold.llm.mixing import mixed
 from terrafold.llm.ngram_join import jaccard_join
 from terrafold.llm.packing import pack
+from terrafold.llm.pii import personal_data
 from terrafold.llm.shared import crc_mod, table
 from terrafold.llm.token_counts import token_counts
 
@@ -81,12 +83,24 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, [F.col("doc_id"), (fold == 1).alias("held_out")])
 
 
+@query
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mixture of equal parts of all sources."""
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, ranks and truncated totals of all documents for every encoded length."""
     return token_counts(table(spark, sf_dir, "documents"), word_bpe_file())
 
 
+@query
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-mail and IP addresses, card and telephone numbers in all documents."""
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of equal text that stays (the largest doc_id)."""
