@@ -158,9 +158,10 @@ def jaccard_join(
     families = components(banded.join(least, "band").filter("u <> v").select("u", "v"), "families")
     rows_of = sets.join(families, F.col("row") == F.col("node")).select("row", "set_id", "copies", F.col("component").alias("family"))
     rows_of = written(rows_of, "family-rows")
-    # Texts of rows in families only; the tag is computed as signatures() computed it, on the same scan.
+    # Texts of rows in families only; the tag is computed as signatures() computed it, on the same scan. Family rows have no
+    # size bound, so they are never broadcast: texts move once, in proportion to the input at any size.
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("text"))
-    dealt = deal(texts.join(rows_of, "row"), "family", "row").select("family", "lo", "hi", "block", F.col("row").alias("id"), "copies", "text")
+    dealt = deal(texts.join(rows_of.hint("merge"), "row"), "family", "row").select("family", "lo", "hi", "block", F.col("row").alias("id"), "copies", "text")
     answers = dealt.groupBy("family", "lo", "hi").applyInArrow(verified(threshold, n), "id long, links long, root long")
     links, linked = classes(answers, "jaccard")
     linked = linked.withColumnRenamed("node", "id")
