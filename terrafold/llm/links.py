@@ -14,6 +14,7 @@ from terrafold.llm.shared import block_pairs, components, written
 
 #: Rows of a block. A task compares two blocks.
 BLOCK_ROWS = 128
+SALTS = 64
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -33,11 +34,15 @@ def forest(linked: np.ndarray) -> np.ndarray:
 def deal(rows: DataFrame, part: str, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """rows, each in all tasks (part, lo, hi) where it has to be compared; `block` is its own block.
 
-    Parts larger than a block are cut by the hash of `key`; each pair of rows of a part meets in just one task.
+    Parts larger than a block are cut by the hash of `key`; each pair of rows of a part meets in just one task. Rows learn
+    how many blocks their part has by a join salted with SALTS values, so a hot part is spread over tasks there as well;
+    only parts larger than a block are repeated for the salts, which are never more rows than half of rows.
     """
-    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(part, F.ceil(F.col("_n") / block_rows).cast("int").alias("blocks"))
-    cut = rows.join(sizes, part).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
+    sizes = sizes.select(F.col(part).alias("_part"), F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_s"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), key), F.lit(SALTS)).cast("int"))
+    cut = salted.join(sizes, (F.col(part) == F.col("_part")) & (F.col("_salt") == F.col("_salt_s")), "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
+    cut = cut.drop("_part", "_blocks", "_salt", "_salt_s").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
     return block_pairs(cut, part, "blocks", "block").drop("blocks")
 
 
