@@ -129,7 +129,7 @@ def _(spark, d):
 
 
 @query("JN-03_05_names", f"""WITH {SCAN_SQL}, {_dims()}, rep AS (SELECT unnest({list(L.REPRESENTATIVES)}) AS rep, unnest(range(20)) AS k)
-SELECT sem, name, rep.rep AS representative, count(*) AS n FROM pts JOIN dim ON sem = raw_id JOIN rep ON k = learning_id GROUP BY ALL""")
+SELECT sem, name, CAST(rep.rep AS BIGINT) AS representative, count(*) AS n FROM pts JOIN dim ON sem = raw_id JOIN rep ON k = learning_id GROUP BY ALL""")
 def _(spark, d):
     p = L.classified(scan(spark, d)).groupBy("sem", "name", "learning_id").agg(F.count(F.lit(1)).alias("n"))
     return p.select("sem", "name", L.representative(F.col("learning_id")).alias("representative"), "n")
@@ -227,9 +227,9 @@ def _(spark, d):
     return out.groupBy("frame", "ring", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WIN-02_block_reduce", f"""{CELLS_SQL}, f AS (SELECT *, {FDIV.format("ix", 2)} AS bx, {FDIV.format("iy", 2)} AS by, (iy % 2) * 2 + ix % 2 = 2 AS mid FROM cells WHERE ring = 0)
-SELECT frame, bx AS ix, by AS iy, coalesce(max(cls) FILTER (mid), 0) AS cls, CASE WHEN count(*) FILTER (flags & 1 = 1) > 0 THEN {_half_up("sum(ground_z) FILTER (flags & 1 = 1)", "greatest(count(*) FILTER (flags & 1 = 1), 1)")} ELSE -32768 END AS ground_z,
-coalesce(max(top_z) FILTER (top_z <> -32768), -32768) AS top_z, CAST(least(sum(count), 65535) AS BIGINT) AS count FROM f GROUP BY frame, bx, by""")
+@query("WIN-02_block_reduce", f"""{CELLS_SQL}, f AS (SELECT *, {FDIV.format("ix", 2)} AS bx, {FDIV.format("iy", 2)} AS b_y, (iy % 2) * 2 + ix % 2 = 2 AS mid FROM cells WHERE ring = 0)
+SELECT frame, bx AS ix, b_y AS iy, coalesce(max(cls) FILTER (mid), 0) AS cls, CASE WHEN count(*) FILTER (flags & 1 = 1) > 0 THEN {_half_up("sum(ground_z) FILTER (flags & 1 = 1)", "greatest(count(*) FILTER (flags & 1 = 1), 1)")} ELSE -32768 END AS ground_z,
+coalesce(max(top_z) FILTER (top_z <> -32768), -32768) AS top_z, CAST(least(sum(count), 65535) AS BIGINT) AS count FROM f GROUP BY frame, bx, b_y""")
 def _(spark, d):
     return stencil.block_reduced(tiny_cells(spark, d).filter("ring = 0"), 2).select("frame", "ix", "iy", "cls", "ground_z", "top_z", "count")
 
@@ -239,9 +239,9 @@ def _(spark, d):
     return stencil.haloed(tiny_cells(spark, d), TINY).select("frame", "ring", "ix", "iy", "cls", "ground_z", "count", "flags")
 
 
-@query("WIN-03_padded_ring", f"""{CELLS_SQL}, b AS (SELECT x.x - 1 AS bx, y.y - 1 AS by FROM range(122) x(x), range(122) y(y) WHERE x.x IN (0, 121) OR y.y IN (0, 121)),
-w AS (SELECT bx, by, {FDIV.format("(bx - 60) * 100 + 50", 200)} + 60 AS ix, {FDIV.format("(by - 60) * 100 + 50", 200)} + 60 AS iy FROM b)
-SELECT c.frame, w.bx AS ix, w.by AS iy, c.cls, c.ground_z, c.top_z, c.count, c.flags FROM w JOIN cells c ON c.ring = 2 AND c.ix = w.ix AND c.iy = w.iy""")
+@query("WIN-03_padded_ring", f"""{CELLS_SQL}, b AS (SELECT x.x - 1 AS bx, y.y - 1 AS b_y FROM range(122) x(x), range(122) y(y) WHERE x.x IN (0, 121) OR y.y IN (0, 121)),
+w AS (SELECT bx, b_y, {FDIV.format("(bx - 60) * 100 + 50", 200)} + 60 AS ix, {FDIV.format("(b_y - 60) * 100 + 50", 200)} + 60 AS iy FROM b)
+SELECT c.frame, w.bx AS ix, w.b_y AS iy, c.cls, c.ground_z, c.top_z, c.count, c.flags FROM w JOIN cells c ON c.ring = 2 AND c.ix = w.ix AND c.iy = w.iy""")
 def _(spark, d):
     return stencil.padded_border(tiny_cells(spark, d), TINY, 1)
 
@@ -371,7 +371,7 @@ def _poses(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of frames out of events: users are sequences, their events in order are frames."""
     e = table(spark, d, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("seq"), (F.row_number().over(w) + F.when(F.col("event_id") % 10 == 0, 0).otherwise(0)).alias("frame"), "event_id", "value", F.col("ts").cast("double").alias("ts"))
+    return e.select(F.col("user_id").alias("seq"), (F.row_number().over(w) + F.when(F.col("event_id") % 10 == 0, 0).otherwise(0)).alias("frame"), "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
 
 
 @query("JN-13_lagged_frames", """WITH f AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, event_id FROM events)
@@ -383,7 +383,7 @@ def _(spark, d):
 @query("ST-05_continuity", """WITH f AS (SELECT user_id AS seq, event_id AS frame FROM events), l AS (SELECT *, lag(frame) OVER (PARTITION BY seq ORDER BY frame) AS prev_frame FROM f)
 SELECT seq, frame, prev_frame, CAST(sum(CASE WHEN prev_frame IS NULL OR frame - prev_frame <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY seq ORDER BY frame) AS BIGINT) AS run FROM l""")
 def _(spark, d):
-    f = table(spark, d, "events").select(F.col("user_id").alias("seq"), F.col("event_id").alias("frame"), F.col("ts").cast("double").alias("ts"))
+    f = table(spark, d, "events").select(F.col("user_id").alias("seq"), F.col("event_id").alias("frame"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
     return motion.continuity(f).select("seq", "frame", "prev_frame", "run")
 
 
