@@ -25,8 +25,8 @@ from terrafold.llm.textbytes import slices
 from terrafold.llm.tokens import word_bpe
 
 CAPACITY = 2048
-#: Pieces that share one bucket of a length, about; ranks within a length are counted by bucket.
-BUCKET_ROWS = 20_000
+#: Pieces that share one bucket of a length, about; ranks within a length are counted by bucket, however frequent it is.
+BUCKET_ROWS = 500
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -211,8 +211,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
         histogram[length] = n
     groups, _ = plan(histogram, capacity)
     table = spark.sparkContext.broadcast(places(groups))  # bounded by the number of patterns
-    buckets = max(1, int(histogram.sum()) // BUCKET_ROWS)
-    marked = found.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(buckets)).cast("int"))
+    shares = spark.createDataFrame([(k, max(1, int(n) // BUCKET_ROWS)) for k, n in enumerate(histogram.tolist()) if n], "length long, buckets int")
+    marked = found.join(F.broadcast(shares), "length")  # at most `capacity` rows
+    marked = marked.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.col("buckets")).cast("int")).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = marked.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     ranked = marked.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1)
