@@ -41,7 +41,8 @@ def _letters() -> np.ndarray:
 def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each n, the bucket of the n-gram that begins at each position; where each text begins; which have a letter.
 
-    Letters are lower-cased, anything else is a space; two spaces follow each text, so no n-gram runs into the next one.
+    Letters are lower-cased, anything else is a space; two spaces follow each text, so no n-gram that begins in a text runs
+    into the next one.
     """
     chars = np.frombuffer("".join(t + "  " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
@@ -53,7 +54,9 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
         rolled = rolled * np.uint32(0x01000193) ^ (np.append(chars[n:], np.full(n, 32, np.uint32)) * np.uint32(0x9E3779B1))
         x = rolled ^ (rolled >> np.uint32(15))
         x = x * np.uint32(0x85EBCA6B) + np.uint32(n * 0x27D4EB2F)
-        found.append((x >> np.uint32(32 - BUCKET_BITS)).astype(np.int64))
+        x = (x >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+        x[at[1:] - 1] = x[at[1:] - 2] = 0  # what begins in the spaces would see the next text
+        found.append(x)
     return found, at, lettered
 
 
