@@ -89,6 +89,24 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+ORACLE_SQL["op6_source_mixing"] = """
+WITH RECURSIVE d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
+s AS (SELECT source, CAST(ceil(count(*) / 8.0) AS BIGINT) AS blocks, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM d GROUP BY source),
+l AS (SELECT list(blocks ORDER BY k) AS b, list(1000 // n + CASE WHEN k <= 1000 % n THEN 1 ELSE 0 END ORDER BY k) AS p, any_value(n) AS n FROM s),
+-- Slot by slot: of the sources that have blocks left, those whose next block is released; of these the one due first.
+st AS (
+  SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pt, list_transform(p, lambda x: CAST(0 AS BIGINT)) AS used, list_transform(p, lambda x: CAST(0 AS BIGINT)) AS total, CAST(NULL AS BIGINT) AS pick FROM l
+  UNION ALL
+  SELECT t + 1, CASE WHEN total[c] + 1 = b[c] THEN 0 ELSE pt + 1 END, CASE WHEN total[c] + 1 = b[c] THEN list_transform(p, lambda x: CAST(0 AS BIGINT)) ELSE list_transform(used, lambda x, i: CASE WHEN i = c THEN x + 1 ELSE x END) END,
+    list_transform(total, lambda x, i: CASE WHEN i = c THEN x + 1 ELSE x END), c
+  FROM (SELECT *, list_min(list_filter(list_transform(p, lambda x, i: CASE WHEN total[i] < b[i] AND used[i] * q // x <= pt THEN {'due': ((used[i] + 1) * q + x - 1) // x, 'k': CAST(i AS BIGINT)} END), lambda x: x IS NOT NULL)).k AS c
+    FROM (SELECT *, CAST(list_sum(list_transform(p, lambda x, i: CASE WHEN total[i] < b[i] THEN x ELSE 0 END)) AS BIGINT) AS q FROM st, l WHERE list_sum(total) < list_sum(b)))),
+f AS (SELECT t AS slot, pick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS block FROM st WHERE pick IS NOT NULL)
+SELECT d.doc_id, d.source, d.rank // 8 AS mix_block, f.slot AS mix_slot, f.slot * 8 + d.rank % 8 AS mix_position
+FROM d JOIN s ON s.source = d.source JOIN f ON f.pick = s.k AND f.block = d.rank // 8
+"""
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, ranks and truncated totals of all documents for every encoded length."""
