@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.config import DEFAULTS, Settings
+from terrafold.shipping import ship_package
 
 
 def _buckets(df: DataFrame, side: float) -> DataFrame:
@@ -107,6 +108,8 @@ def clustered(points: DataFrame, keys: Sequence[str] = ("frame",), settings: Set
     A frame is a bounded scan and the unit of work, one task each.
     """
 
+    ship_package(points.sparkSession)
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
         xyz = np.stack([table[c].to_numpy() for c in "xyz"], 1).astype(np.float64)
@@ -122,6 +125,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, keys: Sequence[str]
     """pid and part of each point: density clusters by order of their first point, -1 for noise. A point on the border
     of several belongs to the first."""
 
+    ship_package(points.sparkSession)
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
         xyz = np.stack([table[c].to_numpy() for c in "xyz"], 1).astype(np.float64)

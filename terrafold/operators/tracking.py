@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from terrafold.config import DYNAMIC, FLAG_OBSTACLE, NO_DATA, Preset
 from terrafold.operators.grid import corners
+from terrafold.shipping import ship_package
 
 #: Vulnerable road users by name, at rest and moving.
 VULNERABLE = frozenset(f"{m}{n}" for n in ("person", "bicyclist", "motorcyclist") for m in ("", "moving-"))
@@ -129,6 +130,8 @@ def tracked(objects: DataFrame) -> DataFrame:
     pose is the transform from the frame before, null for none. A frame without objects is a row with a null obj.
     """
 
+    ship_package(objects.sparkSession)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         state, out = TrackState(), []
         for frame, part in rows.sort_values(["frame", "obj"]).groupby("frame", sort=True):
@@ -142,6 +145,8 @@ def tracked_stream(objects: DataFrame) -> DataFrame:
     """tracked() over a stream whose batches hold whole frames in order; state is kept by sequence."""
     import json
 
+    ship_package(objects.sparkSession)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = TrackState()
         if held.exists:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terrafold.config import DYNAMIC, STATIC
 from terrafold.functions.labels import MOVING_VEHICLES, STATIC_VEHICLES
+from terrafold.shipping import ship_package
 
 #: Fixed layout of a packed cell, little-endian, 12 bytes.
 CELL = np.dtype([("iy", "<i2"), ("ix", "<i2"), ("ground_z", "<i2"), ("top_z", "<i2"), ("flags", "u1"), ("cls", "u1"), ("moving_frac", "u1"), ("conf", "u1")])
@@ -34,6 +35,8 @@ def category() -> Column:
 def packed(cells: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """One row per frame and ring: n_cells and cells_b64, the occupied cells in row order."""
 
+    ship_package(cells.sparkSession)
+
     def run(table: pa.Table) -> pa.Table:
         import base64
 
@@ -53,6 +56,8 @@ def packed(cells: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
 def unpacked(rings: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """The cells of packed()."""
 
+    ship_package(rings.sparkSession)
+
     def run(batches):
         import base64
 

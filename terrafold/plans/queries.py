@@ -324,8 +324,8 @@ def _(spark, d):
     return metrics.percentiles(metrics.backprojection(scan(spark, d), (TINY, COARSE)), "err2", ["preset"], {"p50": 0.5, "p90": 0.9})
 
 
-@query("AGG-29_tradeoff", f"""{ERR_SQL} SELECT preset, round(avg(sqrt(CAST(err2 AS DOUBLE))), 6) AS mean_mm, count(*) AS n, CASE preset WHEN 'tiny_test' THEN 6400 + 14400 - 1600 + 14400 - 3600 ELSE 14400 END AS logical,
-CASE preset WHEN 'tiny_test' THEN 35200 ELSE 14400 END AS allocated, CASE preset WHEN 'tiny_test' THEN 35200 * 12 ELSE 14400 * 12 END AS bytes FROM q GROUP BY preset""")
+@query("AGG-29_tradeoff", f"""{ERR_SQL} SELECT preset, round(avg(sqrt(CAST(err2 AS DOUBLE))), 6) AS mean_mm, count(*) AS n, CAST(CASE preset WHEN 'tiny_test' THEN 6400 + 14400 - 1600 + 14400 - 3600 ELSE 14400 END AS BIGINT) AS logical,
+CAST(CASE preset WHEN 'tiny_test' THEN 35200 ELSE 14400 END AS BIGINT) AS allocated, CAST(CASE preset WHEN 'tiny_test' THEN 35200 * 12 ELSE 14400 * 12 END AS BIGINT) AS bytes FROM q GROUP BY preset""")
 def _(spark, d):
     return metrics.tradeoff(metrics.backprojection(scan(spark, d), (TINY, COARSE)), (TINY, COARSE))
 
@@ -371,11 +371,11 @@ def _poses(spark: SparkSession, d: str) -> DataFrame:
     """Sequences of frames out of events: users are sequences, their events in order are frames."""
     e = table(spark, d, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("seq"), (F.row_number().over(w) + F.when(F.col("event_id") % 10 == 0, 0).otherwise(0)).alias("frame"), "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    return e.select(F.col("user_id").alias("seq"), F.row_number().over(w).alias("frame"), "event_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
 
 
 @query("JN-13_lagged_frames", """WITH f AS (SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, event_id FROM events)
-SELECT a.seq, a.frame, a.event_id, g.gap, b.event_id AS prev_event_id FROM f a CROSS JOIN (VALUES (1), (2), (3), (5)) g(gap) JOIN f b ON b.seq = a.seq AND b.frame = a.frame - g.gap""")
+SELECT a.seq, CAST(a.frame AS INTEGER) AS frame, a.event_id, g.gap, b.event_id AS prev_event_id FROM f a CROSS JOIN (VALUES (1), (2), (3), (5)) g(gap) JOIN f b ON b.seq = a.seq AND b.frame = a.frame - g.gap""")
 def _(spark, d):
     return motion.lagged_frames(_poses(spark, d).select("seq", "frame", "event_id"), (1, 2, 3, 5)).select("seq", "frame", "event_id", "gap", "prev_event_id")
 
@@ -466,7 +466,7 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
 PIXEL_SQL = f"WITH {SCAN_SQL}, px AS (SELECT frame, pid, (x_mm + 14000) % 64 AS v, (y_mm + 14000) % 1024 AS u, (abs(x_mm) + abs(y_mm)) / 1000.0 AS r FROM pts)"
 
 
-@query("JN-10_range_image", f"{PIXEL_SQL} SELECT frame, v, u, min(r) AS r FROM px GROUP BY ALL")
+@query("JN-10_range_image", f"{PIXEL_SQL} SELECT frame, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, min(r) AS r FROM px GROUP BY ALL")
 def _(spark, d):
     return motion.range_image(_pixels(spark, d))
 
@@ -533,7 +533,8 @@ def _(spark, d):
 @query("WIRE-01_02_round_trip", f"{CELLS_SQL} SELECT frame, ring, ix, iy, cls, ground_z, top_z, moving_frac, conf, flags FROM cells")
 def _(spark, d):
     cells = tiny_cells(spark, d).filter("ground_z > -32769 AND abs(ground_z) < 32769 AND abs(top_z) < 32769")
-    return wire.unpacked(wire.packed(cells)).select("frame", "ring", "ix", "iy", "cls", "ground_z", "top_z", "moving_frac", "conf", "flags")
+    wide = [F.col(c).cast("bigint").alias(c) for c in ("ix", "iy", "ground_z", "top_z", "moving_frac", "conf", "flags")]
+    return wire.unpacked(wire.packed(cells)).select("frame", "ring", "cls", *wide)
 
 
 @query("SNK-06_payloads", f"{CELLS_SQL} SELECT frame, count(DISTINCT ring) AS rings, count(*) AS cells FROM cells GROUP BY frame")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.shipping import ship_package
+
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("remission", "<f4")])
 _PLACE = r"sequences/([^/]+)/[^/]+/([0-9]+)\.[a-z]+$"
 
@@ -30,6 +32,8 @@ def scans(spark: SparkSession, root: str, stride: int = 1) -> DataFrame:
     stride keeps every so-many-th frame, under its own number. Filters on seq and frame are applied before decoding.
     """
 
+    ship_package(spark)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seq, frame, content, path in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -46,6 +50,8 @@ def scans(spark: SparkSession, root: str, stride: int = 1) -> DataFrame:
 def labels(spark: SparkSession, root: str) -> DataFrame:
     """seq, frame, pid, raw of every label; instance and class are packed in one number."""
 
+    ship_package(spark)
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for seq, frame, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -126,6 +132,8 @@ def write_scans(points: DataFrame, folder: str) -> None:
     has_raw = "raw" in points.columns
     columns = ["x", "y", "z", "remission", *(["raw"] if has_raw else [])]
 
+    ship_package(points.sparkSession)
+
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pid")
         seq, frame = table["seq"][0].as_py(), table["frame"][0].as_py()
