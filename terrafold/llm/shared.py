@@ -1,35 +1,15 @@
-"""What several operators of this subpackage need: the shared folder, written tables, components, shipping code."""
+"""What several operators of this subpackage need: the shared folder, written tables, components, dealing to pairs of blocks."""
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give executors this package, once per application, wherever the driver found it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    folder = tempfile.mkdtemp(prefix="ship-")  # the driver's file server hands it out
-    path = os.path.join(folder, f"{root.name}.zip")
-    Path(path).write_bytes(held.getvalue())
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+from terrafold.shipping import ship_package
+__all__ = ["block_pairs", "components", "crc_mod", "shared_dir", "ship_package", "table", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ from terrafold.llm.textbytes import slices
 from terrafold.llm.tokens import word_bpe
 
 #: Lengths that one window task handles; longer ranges are joined by the sums of whole ranges.
-RANGE = 4096
+RANGE = 256
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -52,11 +52,11 @@ def length_table(lengths: DataFrame) -> DataFrame:
     histogram = written(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     cells = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / RANGE).alias("range"))
     whole = cells.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for 4096 lengths each
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     later = whole.select("range", F.coalesce(F.sum("d").over(above), F.lit(0)).alias("d_later"), F.coalesce(F.sum("t").over(above), F.lit(0)).alias("t_later"))
     total = whole.agg(F.sum("d").alias("docs"), F.sum("t").alias("tokens"))
     own = Window.partitionBy("range").orderBy(F.desc("length"))
-    out = cells.join(F.broadcast(later), "range").crossJoin(F.broadcast(total))  # a row for 4096 lengths; one row
+    out = cells.join(F.broadcast(later), "range").crossJoin(F.broadcast(total))  # a row for each range; one row
     docs_from, tokens_from = F.sum("n_docs").over(own) + F.col("d_later"), F.sum("n_tokens").over(own) + F.col("t_later")
     out = out.withColumn("docs_from", docs_from).withColumn("tokens_from", tokens_from)
     over = F.col("docs_from") - F.col("n_docs")
