@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import terrafold.plans.more_queries  # noqa: F401
 from terrafold.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
