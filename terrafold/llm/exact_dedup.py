@@ -129,7 +129,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest"
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, with all their columns."""
+    """The rows of docs that exact_duplicates() keeps, with all their columns; of repeated rows one."""
     marked = exact_duplicates(docs, text, keep)
     kept = marked.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
     digest = F.sha2(normalised(F.col(text)).cast("binary"), 256)

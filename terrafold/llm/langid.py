@@ -108,7 +108,8 @@ class Model:
 
 
 def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
-    """Fit on all rows of (text, lang) with a lang that isn't null; null texts count as empty. No rows give an empty model."""
+    """Fit on all rows of (text, lang) with a lang that isn't null; null texts count as empty, repeated rows each. No rows
+    give an empty model. Further columns are ignored."""
     ship_package(labelled.sparkSession)
     known = labelled.filter("lang IS NOT NULL")
     by_lang = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
@@ -128,7 +129,9 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
 def predict(docs: DataFrame, model: Model, keep: list[Column], text: str = "text") -> DataFrame:
     """keep, lang_pred and score of every row; texts that are null or have no letter get `und` and 0.
 
-    Nothing but the text is an input. Empty tables give no rows.
+    Nothing but the text is an input. Ties go to the language that sorts first. Repeated rows and rows with a null id are
+    scored each; an empty table gives no rows; a model without languages says `und` throughout; further columns of docs
+    are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship_package(spark)

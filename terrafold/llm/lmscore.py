@@ -226,8 +226,8 @@ def lm_scores(docs: DataFrame, training: DataFrame, keep: list[Column], text: st
     """keep (columns of docs), n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     score is the PPM log10 probability of the text's bytes (A-Z lower-cased) and END under the trie of all training texts; base_score is
-    the sum over words and the end of log10((c + 1) / (N + V + 1)). Null texts count as empty, repeated rows each; no
-    training rows give the uniform model. Word hashes have 64 bits; two words share one with a chance of V**2 / 2**65.
+    the sum over words and the end of log10((c + 1) / (N + V + 1)). Null texts count as empty, repeated rows each; an
+    empty table gives no rows; further columns are ignored; no training rows give the uniform model. Word hashes have 64 bits; two words share one with a chance of V**2 / 2**65.
     """
     spark = docs.sparkSession
     ship_package(spark)

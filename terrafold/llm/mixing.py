@@ -121,5 +121,6 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
-    """The rows of docs in the order of mix_position, with their own columns."""
+    """The rows of docs in the order of mix_position, with their own columns; null sources, repeated rows and empty tables as
+    in mixed()."""
     return mixed(docs, weights, **options).orderBy("mix_position").select(*docs.columns)

@@ -186,6 +186,7 @@ def jaccard_join(
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """One row of each component of jaccard_join(), with all columns of docs; rows without n-grams stay."""
+    """One row of each component of jaccard_join(), that with the smallest doc_id, with all columns of docs; rows without
+    n-grams stay, each; docs must be a table that reads the same way twice, as Parquet files do."""
     kept = jaccard_join(docs, n, threshold, text=text).filter("kept").select(F.col("row").alias("_row"))
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row").select(*docs.columns)

@@ -150,7 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """keep, score (0 to 1), predicted (1 from the threshold on), and the worst sentence's span in bytes of the
-    lower-cased text (worst_start, worst_end; null without words) for every row. Null and empty texts score 0."""
+    lower-cased text (worst_start, worst_end; null without words; the first on ties) for every row.
+
+    Null, empty and wordless texts score 0. Repeated rows and rows with null ids are scored each; an empty table gives no
+    rows; further columns of docs are ignored, whatever their names.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     held = spark.sparkContext.broadcast(model)  # what occurs often in a bounded sample
@@ -177,7 +181,7 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text",
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs below the threshold, with all their columns."""
+    """The rows of docs below the threshold, repeated ones as often, with all their columns under their names."""
     names = docs.columns
     marked = score(docs, model, [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], text, threshold)
     return marked.filter("predicted = 0").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
