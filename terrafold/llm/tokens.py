@@ -18,7 +18,7 @@ _SPACE, _LETTER, _DIGIT, _OTHER, _UNSURE = range(5)
 #: Characters from here on are not cut here. Below it, composition (NFC) changes nothing.
 _END = 0x250
 #: Pre-tokens remembered in a process; beyond it all are forgotten, so memory stays bounded.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 
 
 @cache
