@@ -49,7 +49,7 @@ _CUES = {
 
 _LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]{1,63}){1,4}")
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
-_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+(])(?:00[1-9][0-9 ]{0,3})?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
+_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}[ .-]?|00[1-9][0-9 ]{0,3})?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])")
 
 
 def luhn(digits: str) -> bool:
@@ -167,19 +167,20 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def reliabilities(pattern: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """EM over counted vote patterns of one kind: the probability of each pattern being personal data, and how often
-    each labeler votes 0, 1, 2 (no, nothing, yes) on other spans and on personal data (2 x labelers x 3)."""
+    each labeler, when it votes, says yes on other spans and on personal data (2 x labelers).
+
+    A labeler that says nothing is no evidence. Rates lean a little to labelers being right, so that yes stays yes.
+    """
     digits = np.stack([pattern // 3 ** (LABELERS - 1 - k) % 3 for k in range(LABELERS)], 1)
-    # Begins with labelers that are right more often than not.
+    yes, no = digits == 2, digits == 0
     p = np.clip(0.5 + 0.15 * (digits - 1).sum(1), 0.05, 0.95)
     for _ in range(rounds):
-        prior = np.clip((p * n).sum() / n.sum(), 0.02, 0.98)
-        rate = np.ones((2, LABELERS, 3))
-        for c, w in enumerate(((1 - p) * n, p * n)):
-            for k in range(LABELERS):
-                # A pinch of prior belief keeps yes on the side of personal data.
-                rate[c, k] = np.bincount(digits[:, k], w, 3) + (np.array([0.5, 1.0, 2.0]) if c else np.array([2.0, 1.0, 0.5]))
-            rate[c] /= rate[c].sum(1, keepdims=True)
-        odds = np.log(prior / (1 - prior)) + np.log(rate[1, np.arange(LABELERS), digits] / rate[0, np.arange(LABELERS), digits]).sum(1)
+        prior = np.clip((p * n).sum() / n.sum(), 0.05, 0.95)
+        rate = np.zeros((2, LABELERS))
+        for c, (w, lean) in enumerate((((1 - p) * n, (1.0, 3.0)), (p * n, (3.0, 1.0)))):
+            said = (w[:, None] * yes).sum(0), (w[:, None] * no).sum(0)
+            rate[c] = (said[0] + lean[0]) / (said[0] + said[1] + sum(lean))
+        odds = np.log(prior / (1 - prior)) + (yes * np.log(rate[1] / rate[0])).sum(1) + (no * np.log((1 - rate[1]) / (1 - rate[0]))).sum(1)
         p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
     return p, rate
 
