@@ -234,7 +234,17 @@ def _(spark, d):
     return stencil.block_reduced(tiny_cells(spark, d).filter("ring = 0"), 2).select("frame", "ix", "iy", "cls", "ground_z", "top_z", "count")
 
 
-@query("WIN-01_halo")
+def _filled(name: str, source: str, shift: int) -> str:
+    ground = "count(*) FILTER (flags & 1 = 1)"
+    return f"""{name} AS (SELECT frame, {FDIV.format("ix", 2)} + {shift} AS ix, {FDIV.format("iy", 2)} + {shift} AS iy, coalesce(max(cls) FILTER ((iy % 2) * 2 + ix % 2 = 2), 0) AS cls,
+  {_half_up("sum(ground_z) FILTER (flags & 1 = 1)", f"greatest({ground}, 1)")} AS ground_z, coalesce(max(top_z) FILTER (top_z <> -32768), -32768) AS top_z, CAST(least(sum(count), 65535) AS BIGINT) AS count,
+  CAST(1 + CASE WHEN count(*) FILTER (top_z <> -32768) > 0 THEN 2 ELSE 0 END AS BIGINT) AS flags FROM {source} GROUP BY 1, 2, 3 HAVING {ground} > 0)"""
+
+
+@query("WIN-01_halo", f"""{CELLS_SQL}, c0 AS (SELECT * FROM cells WHERE ring = 0), {_filled("f1", "c0", 40)},
+c1 AS (SELECT frame, ix, iy, cls, ground_z, top_z, count, flags FROM cells WHERE ring = 1 UNION ALL SELECT frame, ix, iy, cls, ground_z, top_z, count, flags FROM f1), {_filled("f2", "c1", 30)}
+SELECT frame, 0 AS ring, ix, iy, cls, ground_z, count, flags FROM c0 UNION ALL SELECT frame, 1, ix, iy, cls, ground_z, count, flags FROM c1
+UNION ALL SELECT frame, 2, ix, iy, cls, ground_z, count, flags FROM cells WHERE ring = 2 UNION ALL SELECT frame, 2, ix, iy, cls, ground_z, count, flags FROM f2""")
 def _(spark, d):
     return stencil.haloed(tiny_cells(spark, d), TINY).select("frame", "ring", "ix", "iy", "cls", "ground_z", "count", "flags")
 
