@@ -11,6 +11,7 @@ from terrafold.functions.ranges import horizontal
 from terrafold.operators import grid, metrics, motion, stencil, voxels
 from terrafold.plans.pseudo import SCAN_SQL, scan, table
 from terrafold.plans.queries import BUCKET_SQL, CELLS_SQL, ORACLE_SQL, PIXEL_SQL, QUERIES, TINY, XYZ_SQL, _accumulated, _bucketed, _finalised, _located, _pixels, query, tiny_cells
+from terrafold.sources import scans
 
 
 @query("PRJ-02_04_saturation", f"WITH {SCAN_SQL} SELECT pid, least(greatest(z_mm * 20, -32767), 32767) AS z_mm, abs(z_mm * 20) > 32767 AS saturated, round(sqrt(CAST(x_mm * x_mm + y_mm * y_mm AS DOUBLE)), 6) AS r FROM pts")
@@ -50,11 +51,14 @@ def _(spark, d):
 
 @query("SRC-07_18_stride", "WITH f AS (SELECT o_orderkey AS frame, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders WHERE o_orderkey <= 500) SELECT frame, k // 3 AS idx, k // 3 - (n + 2) // 3 AS negative FROM f WHERE k % 3 = 0")
 def _(spark, d):
-    f = table(spark, d, "orders").filter("o_orderkey <= 500").withColumn("seq", F.lit("08"))
-    w = Window.partitionBy("seq")
-    f = f.select(F.col("o_orderkey").alias("frame"), (F.row_number().over(w.orderBy("o_orderkey")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    idx = F.floor(F.col("k") / 3)
-    return f.filter(F.col("k") % 3 == 0).select("frame", idx.alias("idx"), (idx - F.ceil(F.col("n") / 3)).alias("negative"))
+    """The first frames only, as in the SQL."""
+    return scans.strided(table(spark, d, "orders").filter("o_orderkey <= 500").select(F.col("o_orderkey").alias("frame")), 3)
+
+
+@query("SRC-07_18_stride_whole", "WITH f AS (SELECT o_orderkey AS frame, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders) SELECT frame, k // 3 AS idx, k // 3 - (n + 2) // 3 AS negative FROM f WHERE k % 3 = 0")
+def _(spark, d):
+    """Frames of the whole table."""
+    return scans.strided(table(spark, d, "orders").select(F.col("o_orderkey").alias("frame")), 3)
 
 
 @query("SRT-05_sampled_frames", "SELECT CAST(floor(i * 4070 / 29.0) AS BIGINT) AS frame FROM range(30) r(i)")

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.shipping import ship_package
 
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("remission", "<f4")])
+#: Frames of one range of numbers in strided(), about, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 10_000, 256
 _PLACE = r"sequences/([^/]+)/[^/]+/([0-9]+)\.[a-z]+$"
 
 
@@ -47,6 +49,37 @@ def scans(spark: SparkSession, root: str, stride: int = 1) -> DataFrame:
     return files.select("seq", "frame", "content", "path").mapInArrow(decode, "seq string, frame int, pid long, x float, y float, z float, remission float")
 
 
+def strided(frames: DataFrame, stride: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """frame, idx and negative of every stride-th row of `frame` in its order: its place among those kept, from 0, and from the end.
+
+    Frames are numbered by range of their values, each from where the ranges before it end; no task sees all of them.
+    Only the ranges' borders and counts come to the driver, MOST_RANGES at most.
+    """
+    n = frames.count()
+    ranges = min(MOST_RANGES, -(-n // range_rows))
+    borders = []
+    if ranges > 1:
+        borders = sorted(set(frames.agg(F.percentile_approx("frame", [k / ranges for k in range(1, ranges)], 10_000)).first()[0]))
+
+    def part(low: int, high: int) -> Column:
+        """The number of borders below the frame, if it lies from low to high."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("frame") > borders[mid], part(mid + 1, high)).otherwise(part(low, mid))
+
+    marked = frames.select("frame", part(0, len(borders)).alias("_range"))
+    counts, before, held = dict(marked.groupBy("_range").count().collect()), [], 0
+    for k in range(len(borders) + 1):
+        before.append(held)
+        held += counts.get(k, 0)
+    own = Window.partitionBy("_range").orderBy("frame")
+    k = F.row_number().over(own) - 1 + F.get(F.array(*(F.lit(b).cast("long") for b in before)), F.col("_range"))
+    out = marked.withColumn("_k", k).filter(F.col("_k") % stride == 0)
+    idx = F.floor(F.col("_k") / stride)
+    return out.select("frame", idx.alias("idx"), (idx - -(-n // stride)).alias("negative"))
+
+
 def labels(spark: SparkSession, root: str) -> DataFrame:
     """seq, frame, pid, raw of every label; instance and class are packed in one number."""
 
