@@ -3,6 +3,7 @@
 import numpy as np
 
 import terrafold.plans.more_queries  # noqa: F401
+from terrafold.operators.tracking import TrackState, fold_tracks
 from terrafold.plans.queries import QUERIES
 from terrafold.sources import scans
 
@@ -16,3 +17,25 @@ def test_stride_numbers_all_frames_by_ranges(spark, tmp_path):
     df = spark.createDataFrame([(f,) for f in frames], "frame long")
     assert sorted(map(tuple, scans.strided(df, 3, range_rows=150).collect())) == want
     assert scans.strided(df.limit(0), 3).count() == 0
+
+
+def test_tracker_folds_every_user(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    users = (0, 39, 40, 77, 1499)
+    rows = [(i, int(rng.integers(0, 25)), users[i % 5], float(rng.uniform(0, 100))) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, second long, user_id long, value double")
+    df.selectExpr("event_id", "timestamp_seconds(second) AS ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for u in users:
+        state, own = TrackState(), [r for r in rows if r[2] == u]
+        for frame, second in enumerate(sorted({r[1] for r in own})):
+            objects = [
+                {"obj": i, "name": "person" if i % 2 else "car", "x": v % 3, "y": v % 2, "z": 0.0, "moving": i % 3 == 0, "instance": None}
+                for i, t, _, v in sorted(own)
+                if t == second
+            ]
+            for o in fold_tracks(state, objects, np.eye(4) if frame else None, 0.1):
+                want.append((str(u), frame, o["obj"], o["track_id"], o["moving"], None if o["speed_mps"] is None else round(o["speed_mps"], 4)))
+    got = [(*r[:5], None if r[5] is None else round(r[5], 4)) for r in QUERIES["ST-01_tracker"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(got) == len(rows)
