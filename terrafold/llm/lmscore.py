@@ -234,7 +234,8 @@ def lm_scores(docs: DataFrame, training: DataFrame, keep: list[Column], text: st
     counts = written(corpus_counts(training.select(F.col(text).alias("text"))), "corpus-counts")
     n_all, v_all, _, often, rare = _words(counts, frequent)
     known = spark.sparkContext.broadcast(often)  # at most `frequent` words
-    rows = docs.select(*keep, F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
+    # Written once: row numbers follow the splits of a scan, so they would differ if computed again for another block.
+    rows = written(docs.select(*keep, F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text")), "lm-rows")
     first = None
     for parts in tries(counts, block_nodes):
         held = spark.sparkContext.broadcast(parts)  # at most block_nodes nodes, or those of one last byte

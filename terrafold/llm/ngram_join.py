@@ -28,6 +28,8 @@ RECALL = 0.99999
 ROWS = 5
 #: Columns of the dense product in which n-gram sets are intersected.
 _COLUMNS = 8192
+#: Column of the number that numbered() gives a row.
+_ROW = "_terrafold_row"
 
 
 def bands_for(similarity: float, recall: float, rows: int) -> int:
@@ -61,12 +63,17 @@ def _unique(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hashes[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(at) - 1))])
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int, text: str = "text") -> DataFrame:
-    """doc_id, row, two hashes and the size of its n-gram set, and its band hashes; no bands for texts without words."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written: computed again, numbers may differ, as they follow the splits of a scan."""
+    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def signatures(docs: DataFrame, n: int, bands: int, rows: int, text: str = "text", row: str = _ROW) -> DataFrame:
+    """doc_id, row (that column of docs), two hashes and the size of its n-gram set, and its band hashes; no bands for texts without words."""
     ship_package(docs.sparkSession)
     rng = np.random.default_rng(20_11)
     factors = rng.integers(1, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("text"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.lower(F.col(text)).alias("text"))
     names = ["doc_id", "row", "set_a", "set_b", "grams", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +143,7 @@ def verified(threshold: float, n: int):
 
 
 def jaccard_join(
-    docs: DataFrame, n: int = WORDS, threshold: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, text: str = "text"
+    docs: DataFrame, n: int = WORDS, threshold: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, text: str = "text", row: str | None = None
 ) -> DataFrame:
     """One row per input row: doc_id, n_links, component_id, set_id, set_size, kept.
 
@@ -144,10 +151,13 @@ def jaccard_join(
     component_id is the smallest doc_id that links reach; set_id the smallest with the same set, set_size how many have
     it; kept marks one row of each component. Null and empty texts and those of white space have no n-grams and link
     with nothing; repeated rows are copies of each other; a null doc_id is a row without a class of its own and is
-    represented by -2**63; an empty table gives no rows; further columns are ignored.
+    represented by -2**63; an empty table gives no rows; further columns are ignored. row: a stored column of docs that
+    numbers its rows; without one, texts are numbered and written once.
     """
+    if row is None:
+        docs, row = numbered(docs.select("doc_id", text)), _ROW
     bands = bands_for(threshold, recall, rows)
-    found = written(signatures(docs, n, bands, rows, text), "signatures")
+    found = written(signatures(docs, n, bands, rows, text, row), "signatures")
     found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     whole = found.filter("grams > 0")
     sets = whole.groupBy("set_a", "set_b", "grams").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"))
@@ -158,9 +168,9 @@ def jaccard_join(
     families = components(banded.join(least, "band").filter("u <> v").select("u", "v"), "families")
     rows_of = sets.join(families, F.col("row") == F.col("node")).select("row", "set_id", "copies", F.col("component").alias("family"))
     rows_of = written(rows_of, "family-rows")
-    # Texts of rows in families only; the tag is computed as signatures() computed it, on the same scan. Family rows have no
+    # Texts of rows in families only, by their stored numbers. Family rows have no
     # size bound, so they are never broadcast: texts move once, in proportion to the input at any size.
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.lower(F.col(text)).alias("text"))
+    texts = docs.select(F.col(row).alias("row"), F.lower(F.col(text)).alias("text"))
     dealt = deal(texts.join(rows_of.hint("merge"), "row"), "family", "row").select("family", "lo", "hi", "block", F.col("row").alias("id"), "copies", "text")
     answers = dealt.groupBy("family", "lo", "hi").applyInArrow(verified(threshold, n), "id long, links long, root long")
     links, linked = classes(answers, "jaccard")
@@ -187,6 +197,7 @@ def jaccard_join(
 
 def drop_near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = SIMILARITY, text: str = "text") -> DataFrame:
     """One row of each component of jaccard_join(), that with the smallest doc_id, with all columns of docs; rows without
-    n-grams stay, each; docs must be a table that reads the same way twice, as Parquet files do."""
-    kept = jaccard_join(docs, n, threshold, text=text).filter("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row").select(*docs.columns)
+    n-grams stay, each."""
+    rows = numbered(docs)
+    kept = jaccard_join(rows, n, threshold, text=text, row=_ROW).filter("kept").select(F.col("row").alias(_ROW))
+    return rows.join(kept, _ROW).select(*docs.columns)
