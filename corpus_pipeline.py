@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terrafold.llm import toxicity
 from terrafold.llm.exact_dedup import drop_exact_duplicates
-from terrafold.llm.mixing import in_mixed_order
+from terrafold.llm.mixing import in_mixed_order, mixed
 from terrafold.llm.ngram_join import drop_near_duplicates
 from terrafold.llm.packing import pack
 from terrafold.llm.queries import word_bpe_file
@@ -35,8 +35,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
-    return pack(docs, word_bpe_file())
+    """Pieces of all documents in sequences of at most 2048 tokens, numbered in the order of the mixture.
+
+    Tables don't keep the order of their rows, so positions are computed again: they follow from sources and ids.
+    """
+    return pack(mixed(docs), word_bpe_file(), order="mix_position")
 
 
 STAGES = [

@@ -17,7 +17,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm.shared import ship_package, written
@@ -27,11 +27,14 @@ from terrafold.llm.tokens import word_bpe
 CAPACITY = 2048
 #: Pieces that share one bucket of a length, about; ranks within a length are counted by bucket, however frequent it is.
 BUCKET_ROWS = 500
+#: Most ranges in which sequences are numbered by position.
+MOST_RANGES = 4096
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
-    """doc_id, row, piece, start, length and checksum of each piece of each row; row tells repeated doc_ids apart.
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", order: str | None = None) -> DataFrame:
+    """doc_id, row, piece, start, length and checksum of each piece of each row; row (the column order, if given) tells
+    repeated doc_ids apart.
 
     Null and empty texts are one piece that holds the end id alone.
     """
@@ -45,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str
             for part in slices(batch, "text"):
                 yield _cut(part, bpe, capacity)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(order) if order else F.monotonically_increasing_id()).alias("row"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, _PIECES)
 
 
@@ -195,21 +198,25 @@ def places(groups: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndar
     return dict(zip(("length", "rank", "n", "first", "offset"), table.T.copy(), strict=True))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str = "text", order: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of docs is packed whole: null texts as empty, repeated rows each on their own, a null doc_id like any
     other. Sequences have no gaps before their end. Empty tables give no rows; further columns are ignored.
+    order: a column of different numbers from 0, such as mix_position. Pieces then go to sequences in this order as far
+    as lengths allow, and sequences are numbered by the mean position of their pieces.
     """
     spark = docs.sparkSession
     if capacity < 1 or capacity >= 1 << 20:
         raise ValueError("capacity must be from 1 to 2**20 - 1")
-    found = written(pieces(docs, tokenizer, capacity, text), "pieces")
+    found = written(pieces(docs, tokenizer, capacity, text, order), "pieces")
     lengths = found.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in lengths:
         histogram[length] = n
     groups, _ = plan(histogram, capacity)
+    if order:
+        return _in_order(found, groups, histogram)
     table = spark.sparkContext.broadcast(places(groups))  # bounded by the number of patterns
     shares = spark.createDataFrame([(k, max(1, int(n) // BUCKET_ROWS)) for k, n in enumerate(histogram.tolist()) if n], "length long, buckets int")
     marked = found.join(F.broadcast(shares), "length")  # at most `capacity` rows
@@ -232,3 +239,50 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def _ranked(rows: DataFrame, share: Column, keys: list[str], histogram: np.ndarray) -> DataFrame:
+    """rows with `rank`, from 0 in their length by (share, keys); share is from 0 to 1 and cuts a length into buckets."""
+    sizes = [(k, max(1, int(n) // BUCKET_ROWS)) for k, n in enumerate(histogram.tolist()) if n]
+    shares = rows.sparkSession.createDataFrame(sizes, "length long, buckets int")  # at most `capacity` rows
+    marked = rows.join(F.broadcast(shares), "length").withColumn("_share", share)
+    marked = marked.withColumn("bucket", F.least(F.floor(F.col("_share") * F.col("buckets")).cast("int"), F.col("buckets") - 1))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    own = Window.partitionBy("length", "bucket").orderBy("_share", *keys)
+    ranked = marked.withColumn("rank", F.row_number().over(own) - 1).join(starts, ["length", "bucket"])
+    return ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("buckets", "bucket", "before", "_share")
+
+
+def _in_order(found: DataFrame, groups: list[tuple[int, list[tuple[int, int]]]], histogram: np.ndarray) -> DataFrame:
+    """The plan filled in the order of row: each sequence aims at a share of the way, and of each length it takes the pieces there."""
+    spark = found.sparkSession
+    rows, first = [], 0
+    for g, (n, held) in enumerate(groups):
+        offset, aim = 0, (g + 1) * 0.6180339887498949 % 1  # spreads groups of one sequence as well
+        for a, m in held:
+            rows.append((a, m, n, first, offset, aim))
+            offset += a * m
+        first += n
+    plan_rows = spark.createDataFrame(rows, "length long, m int, n long, first long, at long, aim double")  # bounded by patterns
+    chunks = plan_rows.withColumn("k0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1000).cast("long"))))
+    chunks = chunks.repartition(spark.sparkContext.defaultParallelism, "length", "first", "k0")
+    slots = chunks.withColumn("k", F.explode(F.sequence("k0", F.least(F.col("k0") + 999, F.col("n") - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    slots = slots.select("length", (F.col("first") + F.col("k")).alias("sequence"), (F.col("at") + F.col("c") * F.col("length")).alias("offset"), ((F.col("k") + F.col("aim")) / F.col("n")).alias("share"))
+    size = (found.agg(F.max("row")).first()[0] or 0) + 1
+    slots = _ranked(slots, F.col("share"), ["sequence", "offset"], histogram).select("length", "rank", "sequence", "offset")
+    filled = _ranked(found, F.col("row") / size, ["row", "piece"], histogram).join(slots.hint("merge"), ["length", "rank"])
+    filled = written(filled, "filled")
+    ranges = min(MOST_RANGES, max(1, first // BUCKET_ROWS))
+    means = filled.groupBy("sequence").agg(F.avg("row").alias("mean"))
+    means = means.withColumn("range", F.least(F.floor(F.col("mean") / size * ranges).cast("int"), F.lit(ranges - 1)))
+    means = written(means, "sequence-means")
+    counts, before, held = dict(means.groupBy("range").count().collect()), [], 0  # at most MOST_RANGES rows
+    for k in range(ranges):
+        before.append((k, held))
+        held += counts.get(k, 0)
+    starts = spark.createDataFrame(before, "range int, before long")
+    own = Window.partitionBy("range").orderBy("mean", "sequence")
+    numbers = means.withColumn("number", F.row_number().over(own) - 1).join(F.broadcast(starts), "range")
+    numbers = numbers.select("sequence", (F.col("number") + F.col("before")).cast("long").alias("sequence_id"))
+    return filled.join(numbers.hint("merge"), "sequence").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
