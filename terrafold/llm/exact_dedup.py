@@ -1,10 +1,15 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every input partition turns its texts into one run: digests in order, one entry for each distinct text with the
-identifier to keep and a count. Then runs meet in rounds, FAN partitions at a time. A round also splits the digest space
-FAN ways, so partners exchange parts of their runs and, after log(partitions) rounds, each task owns one slice of
+Every partition that reads the texts turns them into one run: digests in order, one entry for each distinct text with the
+identifier to keep and a count. Then runs meet in binomial rounds: in round k, partitions whose numbers differ in bit k
+only exchange halves of their runs, so that each of the two goes on with one half of the digests. FAN_BITS such rounds
+share one exchange and one multiway merge of 2**FAN_BITS runs. After log2(partitions) rounds, each task owns one slice of
 digests of the whole corpus: the work of a task never grows with the corpus or with the size of a group, since a group
-has one entry per run. Entries are equal only if SHA-256, byte length and a second 64-bit hash all agree.
+has one entry per run. At every level entries are equal only if SHA-256, byte length and a second 64-bit hash all agree,
+and the best identifier (with its row's number) and the sum of counts go on.
+
+Rows get their number, the number of their run and their digests in one pass, which is written; all later steps read
+these. So results don't depend on how Spark splits a table when it reads it again.
 """
 
 from __future__ import annotations
@@ -17,31 +22,28 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.shared import ship_package, written
+from terrafold.llm.shared import anonymous, column_of, joined_groups, ship_package, written
 
 FAN_BITS = 3
 _KEY = ["digest", "bytes", "check"]
 _RUN = "run int, slice int, digest string, bytes int, check long, best_id long, best_tag long, n long"
 _NAMES = [x.split()[0] for x in _RUN.split(", ")]
-#: A group counts as hot from this share of all rows; so there are at most 1000 hot groups, which are broadcast.
-HOT = 1000
-
 
 def normalised(text: Column) -> Column:
     """Only A-Z are lower-cased; null is the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, digest and the two checks of every row, with a tag that tells repeated rows apart."""
-    norm = normalised(F.col(text))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+def digested(text: Column) -> list[Column]:
+    """What a row brings to the merge: its number, its run, digest and the two checks of its text."""
+    norm = normalised(text)
+    return [
         F.monotonically_increasing_id().alias("tag"),
+        F.spark_partition_id().alias("run"),
         F.sha2(norm.cast("binary"), 256).alias("digest"),
         F.octet_length(norm).alias("bytes"),
         F.xxhash64(norm).alias("check"),
-    )
+    ]
 
 
 def _merge(largest: bool):
@@ -82,21 +84,26 @@ def _merge(largest: bool):
 
 
 def tree_merge(found: DataFrame, largest: bool = False) -> DataFrame:
-    """digest, bytes, check, best_id, best_tag and n for each distinct text of digests()."""
+    """digest, bytes, check, best_id, best_tag and n for each distinct text of a stored table with doc_id and digested().
+
+    Partitions of a stored table needn't be the runs it was written by: a run that is read in two parts has two entries
+    for a text until the first round, as any two runs have.
+    """
     ship_package(found.sparkSession)
     merge = _merge(largest)
-    entries = found.select(F.spark_partition_id().alias("run"), F.lit(0).alias("slice"), *_KEY, F.col("doc_id").alias("best_id"), F.col("tag").alias("best_tag"), F.lit(1).cast("long").alias("n"))
-    most = entries.agg(F.max("run")).first()[0] or 0
-    runs = entries.sortWithinPartitions(*_KEY).mapInArrow(merge, _RUN)
+    entries = found.select("run", F.lit(0).alias("slice"), *_KEY, F.col("doc_id").alias("best_id"), F.col("tag").alias("best_tag"), F.lit(1).cast("long").alias("n"))
+    most = found.agg(F.max("run")).first()[0] or 0
+    runs = entries.sortWithinPartitions("run", "slice", *_KEY).mapInArrow(merge, _RUN)
     level = 0
-    while most:
+    while True:
         most >>= FAN_BITS
         level += 1
         bits = min(28, FAN_BITS * level)
         cut = F.shiftright(F.conv(F.substring("digest", 1, 7), 16, 10).cast("int"), 28 - bits)
         met = runs.select(F.shiftright("run", FAN_BITS).alias("run"), cut.alias("slice"), *_KEY, "best_id", "best_tag", "n")
         runs = met.repartition("run", "slice").sortWithinPartitions("run", "slice", *_KEY).mapInArrow(merge, _RUN)
-    return runs.select(*_KEY, "best_id", "best_tag", "n")
+        if not most:
+            return runs.select(*_KEY, "best_id", "best_tag", "n")
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest") -> DataFrame:
@@ -106,20 +113,11 @@ def exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest"
     empty; a null doc_id is less than any other; of repeated rows with the doc_id that stays exactly one is kept; an
     empty table gives no rows; further columns are ignored.
     """
-    found = written(digests(docs, text), "digests")
+    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *digested(F.col(text))), "digests")
     groups = written(tree_merge(found, keep == "largest"), "digest-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = groups.filter(F.col("n") * HOT >= total)
-    cold = groups.filter(F.col("n") * HOT < total)
-    names = [F.col(k).alias(f"{k}_g") for k in _KEY]
-    same = [F.col(k) == F.col(f"{k}_g") for k in _KEY]
-    small = F.broadcast(hot.select(*names, "best_id", "best_tag", "n"))
-    at_once = found.join(small, same, "left")
-    out = ["doc_id", "tag", "digest", "best_id", "best_tag", "n"]
-    done = at_once.filter(F.col("n").isNotNull()).select(*out)
-    rest = at_once.filter(F.col("n").isNull()).select("doc_id", "tag", *_KEY)
-    rest = rest.join(cold.select(*names, "best_id", "best_tag", "n"), same).select(*out)
-    return done.unionByName(rest).select(
+    out = joined_groups(found.select("doc_id", "tag", *_KEY), groups, _KEY, "n", total)
+    return out.select(
         "doc_id",
         F.col("best_id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -129,13 +127,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest"
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, with all their columns; of repeated rows one."""
-    marked = exact_duplicates(docs, text, keep)
-    kept = marked.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    digest = F.sha2(normalised(F.col(text)).cast("binary"), 256)
-    names = docs.columns
-    both = docs.withColumn("_digest_d", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest_d") == F.col("_digest")))
-    again = marked.groupBy("doc_id", "text_sha256").count().filter("count > 1")
-    if again.isEmpty():
-        return both.select(*names)
-    return both.dropDuplicates(["_id", "_digest"]).select(*names)
+    """The rows of docs that exact_duplicates() keeps, with all their columns, whatever their names; of repeated rows one.
+    Null and empty texts are equal; empty tables give no rows."""
+    own = anonymous(docs)
+    found = written(own.select(*own.columns, F.col(column_of(docs, "doc_id")).cast("long").alias("doc_id"), *digested(F.col(column_of(docs, text)))), "digested")
+    kept = tree_merge(found.select("doc_id", "tag", "run", *_KEY), keep == "largest").select("best_tag")
+    return found.join(kept.hint("merge"), F.col("tag") == F.col("best_tag")).select(*own.columns).toDF(*docs.columns)

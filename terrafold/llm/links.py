@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrafold.llm.shared import block_pairs, components, written
 
 #: Rows of a block. A task compares two blocks.
-BLOCK_ROWS = 128
+BLOCK_ROWS = 512
 SALTS = 64
 
 
@@ -31,19 +31,31 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def deal(rows: DataFrame, part: str, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """rows, each in all tasks (part, lo, hi) where it has to be compared; `block` is its own block.
+def sized(rows: DataFrame, part: str, key: str, block_rows: int = BLOCK_ROWS, weight: str | None = None, block_weight: int = 1) -> DataFrame:
+    """rows with `blocks`: into how many blocks their part is cut, so that none has more than about block_rows rows or
+    block_weight of the column weight.
 
-    Parts larger than a block are cut by the hash of `key`; each pair of rows of a part meets in just one task. Rows learn
-    how many blocks their part has by a join salted with SALTS values, so a hot part is spread over tasks there as well;
-    only parts larger than a block are repeated for the salts, which are never more rows than half of rows.
+    The join that tells is salted with SALTS values, so a hot part is spread over tasks; only parts larger than a block are
+    repeated for the salts, which are never more rows than rows themselves.
     """
-    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
-    sizes = sizes.select(F.col(part).alias("_part"), F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_s"))
+    by_rows = F.ceil(F.count(F.lit(1)) / block_rows)
+    blocks = F.greatest(by_rows, F.ceil(F.sum(weight) / block_weight)) if weight else by_rows
+    sizes = rows.groupBy(part).agg(blocks.cast("int").alias("_blocks")).filter("_blocks > 1")
+    sizes = sizes.select(F.col(part).alias("_part"), "_blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_s"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(1), key), F.lit(SALTS)).cast("int"))
     cut = salted.join(sizes, (F.col(part) == F.col("_part")) & (F.col("_salt") == F.col("_salt_s")), "left").withColumn("blocks", F.coalesce("_blocks", F.lit(1)))
-    cut = cut.drop("_part", "_blocks", "_salt", "_salt_s").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    return block_pairs(cut, part, "blocks", "block").drop("blocks")
+    return cut.drop("_part", "_blocks", "_salt", "_salt_s")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with `blocks`, each in all tasks (part, lo, hi) where it has to be compared; `block`, by the hash of key, is its own
+    block. Each pair of rows of a part meets in just one task."""
+    return block_pairs(rows.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")), "blocks", "block").drop("blocks")
+
+
+def deal(rows: DataFrame, part: str, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows, each in all tasks (part, lo, hi) where it has to be compared."""
+    return dealt(sized(rows, part, key, block_rows), key)
 
 
 def classes(answers: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:

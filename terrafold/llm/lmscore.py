@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.shared import ship_package, written
-from terrafold.llm.textbytes import LOWER, HashIndex, buffers, counted, prefix_sums, slices, span_hashes, sums_by_row, words
+from terrafold.llm.textbytes import LOWER, HashIndex, buffers, counted, span_sums, slices, span_hashes, sums_by_row, words
 
 ORDER = 5
 END = 256
@@ -65,7 +65,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hashes of each row's words, A-Z lower-cased, and the index of each row's first one."""
     low = LOWER[data]
     starts, ends, first = words(low, offsets)
-    return span_hashes(prefix_sums(low), starts, ends), first
+    return span_hashes(span_sums(low, starts), starts, ends), first
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:

@@ -9,15 +9,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.shipping import ship_package
-__all__ = ["block_pairs", "components", "crc_mod", "shared_dir", "ship_package", "table", "written"]
+
+__all__ = ["anonymous", "block_pairs", "clear_written", "column_of", "components", "crc_mod", "joined_groups", "shared_dir", "ship_package", "table", "written"]
+
+#: A group is hot from this share of all rows on, so there are at most HOT_SHARE hot groups.
+HOT_SHARE = 1000
+#: Tables that this process has written, for clear_written().
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder all machines share: spark.checkpoint.dir, or, where it is unset and all runs on one machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.gettempdir()}/terrafold-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -26,9 +33,49 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terrafold-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that this process has written, once no result that reads them is needed any more; how many."""
+    n = len(_written)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def column_of(docs: DataFrame, name: str) -> str:
+    """The name that anonymous() gives to a column of docs."""
+    names = docs.columns
+    if name not in names:
+        names, name = [c.lower() for c in names], name.lower()
+    return f"c{names.index(name)}"
+
+
+def anonymous(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ... by place, so that no name of a user meets one of an operator's own, whatever
+    it is; toDF(*docs.columns) on a selection of them gives the names back."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def joined_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Each row with the further columns of its group (an inner join on keys; n: the group's column of how many rows it has).
+
+    Groups that hold a thousandth of all rows, at most HOT_SHARE, are broadcast; rows of the others meet theirs in a shuffle.
+    """
+    more = [c for c in groups.columns if c not in keys]
+    named = groups.select(*(F.col(k).alias(f"{k}_g") for k in keys), *more)
+    same = [F.col(k) == F.col(f"{k}_g") for k in keys]
+    hot, cold = named.filter(F.col(n) * HOT_SHARE >= total), named.filter(F.col(n) * HOT_SHARE < total)
+    at_once = rows.join(F.broadcast(hot), same, "left")
+    done = at_once.filter(F.col(n).isNotNull()).select(*rows.columns, *more)
+    rest = at_once.filter(F.col(n).isNull()).select(*rows.columns).join(cold, same).select(*rows.columns, *more)
+    return done.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,8 +120,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     return labels
 
 
-def block_pairs(df: DataFrame, part: str, blocks: str, block: str) -> DataFrame:
-    """Deal rows of a part that holds `blocks` blocks to all pairs of blocks (lo <= hi): a row of block b goes to `blocks` tasks.
+def block_pairs(df: DataFrame, blocks: str, block: str) -> DataFrame:
+    """Deal rows of parts that hold `blocks` blocks to all pairs of blocks (lo <= hi): a row of block b goes to `blocks` tasks.
 
     Any two rows of a part meet in exactly one task as members of (lo, hi); rows of one block meet in (b, b).
     """

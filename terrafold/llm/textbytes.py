@@ -8,10 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: An odd multiplier, so that it has an inverse modulo 2**64.
+#: An odd multiplier.
 _P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -20,16 +18,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _P_INVERSE)):
-            x = np.full(1 << (n - 1).bit_length(), base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
     x = x ^ (x >> np.uint64(30))
@@ -62,18 +50,31 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterato
         at = to
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums from which span_hashes() reads the hash of any span."""
-    up, _ = powers(len(values) + 1)
+def span_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Running sums from which span_hashes() reads the hashes of spans that begin at `starts` and hold no other start.
+
+    Each value is mixed with its place in its span before it is summed, so no structure of a text, however regular, makes
+    sums of different spans agree; two spans share a hash only by the chance of 64-bit numbers.
+    """
+    # A value's place: its own index less that of the last start before it, times an odd number; then two rounds of mixing.
+    x = np.zeros(len(values), np.uint64)
+    x[starts] = starts
+    np.maximum.accumulate(x, out=x)
+    np.subtract(np.arange(len(values), dtype=np.uint64), x, out=x)
+    x *= np.uint64(_P)
+    x += values.astype(np.uint64)
+    x += np.uint64(1)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x *= np.uint64(factor)
+        x ^= x >> np.uint64(29)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+    np.cumsum(x, out=sums[1:])
     return sums
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans' contents, independent of where they stand."""
-    _, down = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,9 @@
 """Token ids of whole batches of texts under a word-level BPE file of the `tokenizers` library.
 
 The library spends most of its time on words it has met before. Batches are therefore cut into the tokenizer's own
-pre-tokens in numpy, and only pre-tokens not seen before in this process go through the library. Texts with any
-character for which the cut below might differ from the library's go through the library whole.
+pre-tokens in numpy, and only pre-tokens not seen before in this process go through the library. Pre-tokens are found by
+hashes, but remembered ids are used only if all characters agree. Texts with any character for which the cut below might
+differ from the library's, and texts with two pre-tokens of one hash, go through the library whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import cache
 
 import numpy as np
 
-from terrafold.llm.textbytes import HashIndex, counted, prefix_sums, span_hashes, sums_by_row
+from terrafold.llm.textbytes import HashIndex, counted, span_hashes, span_sums, sums_by_row
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _UNSURE = range(5)
 #: Characters from here on are not cut here. Below it, composition (NFC) changes nothing.
@@ -60,6 +61,8 @@ class WordBpe:
         self.index = HashIndex(np.zeros(0, np.uint64))
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        #: The characters of all remembered pre-tokens in a row, and where each one's begin.
+        self.chars, self.begins = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def _learn(self, hashes: np.ndarray, pretokens: list[str]) -> None:
         mapped = "\n".join(pretokens).encode().decode("latin-1").translate(self.bytes).split("\n")
@@ -76,6 +79,20 @@ class WordBpe:
             self.index = HashIndex(np.concatenate([old, hashes]), 2 * (len(old) + len(hashes)))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
         self.ids = np.concatenate([self.ids, flat])
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(pretokens).encode("utf-16-le"), np.uint16)])
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.fromiter(map(len, pretokens), np.int64, len(pretokens)))])
+
+    def _others(self, places: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which spans of low aren't the remembered pre-tokens at these places."""
+        size = ends - starts
+        at = np.concatenate([[0], np.cumsum(size)])
+        same = self.begins[places + 1] - self.begins[places] == size
+        step = np.arange(at[-1])
+        known = np.repeat(np.where(same, self.begins[places], 0) - at[:-1], size) + step
+        wrong = np.repeat(~same, size)
+        known[wrong] = 0
+        wrong |= self.chars[known] != low[np.repeat(starts - at[:-1], size) + step]
+        return sums_by_row(wrong.astype(np.int64), at) > 0
 
     def _pretokens(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of pre-tokens, the index of each text's first one, and lower-cased characters."""
@@ -120,17 +137,20 @@ class WordBpe:
         if odd.any():
             return self._with_odd(texts, odd)
         starts, ends, first, low = self._pretokens(chars, offsets)
-        hashes = span_hashes(prefix_sums(low), starts, ends)
+        hashes = span_hashes(span_sums(low, starts), starts, ends)
         if self.index.n > REMEMBERED:
             self.forget()
         places = self.index.find(hashes)
         if len(new := np.flatnonzero(places < 0)):
-            order = new[np.argsort(hashes[new], kind="stable")]
             keys, _ = counted(hashes[new])
+            order = new[np.argsort(hashes[new], kind="stable")]
             at = order[np.searchsorted(hashes[order], keys)]
-            lowered = low.tobytes()
+            lowered = low.astype("<u4").tobytes()
             self._learn(keys, [lowered[4 * s : 4 * e].decode("utf-32-le") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             places[new] = self.index.find(hashes[new])
+        if len(others := np.flatnonzero(self._others(places, low, starts, ends))):
+            odd[np.searchsorted(first, others, "right") - 1] = True
+            return self._with_odd(texts, odd)
         sizes = self.starts[places + 1] - self.starts[places]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.starts[places] - total[:-1], sizes) + np.arange(total[-1])]

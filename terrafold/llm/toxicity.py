@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.shared import ship_package
-from terrafold.llm.textbytes import SPACE, HashIndex, buffers, counted, prefix_sums, slices, span_hashes, words
+from terrafold.llm.textbytes import SPACE, HashIndex, buffers, counted, slices, span_hashes, span_sums, words
 
 PREFIXES = (4, 5, 6)
 #: At most so many training documents of each label, none longer than LONGEST characters, are used to fit the model.
@@ -37,7 +37,7 @@ def sentence_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     """Lower-cased UTF-8: a row of hashes for each word, the sentence of each word (numbered through), the document of
     each sentence that has words, and the sentence's first and last byte in its document."""
     starts, ends, first = words(data, offsets, _BREAKS)
-    sums = prefix_sums(data)
+    sums = span_sums(data, starts)
     columns = [span_hashes(sums, starts, ends)]
     for n in PREFIXES:
         # Shorter words have no prefix of their own: they use their own weight again.

@@ -14,7 +14,7 @@ from llm_rows import ODD
 
 from terrafold.llm import langid, lmscore, mixing, ngram_join, packing, pii, token_counts, toxicity
 from terrafold.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
-from terrafold.llm.textbytes import HashIndex, buffers, span_hashes, prefix_sums, words
+from terrafold.llm.textbytes import HashIndex, buffers, span_hashes, span_sums, words
 from terrafold.llm.tokens import WordBpe
 
 public = pytest.importorskip("public_tokenizers")
@@ -28,7 +28,7 @@ def test_words_and_hashes():
     starts, ends, first = words(data, offsets)
     got = [[bytes(data[s:e]).decode() for s, e in zip(starts[a:b], ends[a:b], strict=True)] for a, b in zip(first[:-1], first[1:], strict=True)]
     assert got == [(t or "").split() for t in texts]
-    h = span_hashes(prefix_sums(data), starts, ends)
+    h = span_hashes(span_sums(data, starts), starts, ends)
     assert h[0] == h[3] and len(set(h.tolist())) == 3
 
 
@@ -163,7 +163,7 @@ def test_jaccard(spark, stored, none, tmp_path):
     assert sum(r.kept for r in got.values()) == len(set(group))
     assert ngram_join.jaccard_join(stored).count() == len(ODD) and ngram_join.jaccard_join(none).count() == 0
     assert ngram_join.drop_near_duplicates(stored).columns == stored.columns
-    assert ngram_join.bands_for(0.8, 0.99999, 5) == 29
+    assert ngram_join.bands_for(0.8, 0.99999, 5) == 29 and ngram_join.bands_and_rows(0.8, 0.99999) == (49, 7)
 
 
 def test_plain_ppm_and_blocks():
