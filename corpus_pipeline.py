@@ -9,7 +9,7 @@ from terrafold.llm.exact_dedup import drop_exact_duplicates
 from terrafold.llm.mixing import in_mixed_order, mixed
 from terrafold.llm.ngram_join import drop_near_duplicates
 from terrafold.llm.packing import pack
-from terrafold.llm.queries import word_bpe_file
+from terrafold.llm.queries import MIXTURE, word_bpe_file
 from terrafold.llm.shared import table, written
 
 
@@ -30,8 +30,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of a mixture of equal parts of all sources."""
-    return in_mixed_order(docs)
+    """All documents, in the order of a mixture of all sources by MIXTURE."""
+    return in_mixed_order(docs, MIXTURE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Tables don't keep the order of their rows, so positions are computed again: they follow from sources and ids.
     """
-    return pack(mixed(docs), word_bpe_file(), order="mix_position")
+    return pack(mixed(docs, MIXTURE), word_bpe_file(), order="mix_position")
 
 
 STAGES = [

@@ -83,16 +83,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, [F.col("doc_id"), (fold == 1).alias("held_out")])
 
 
+#: Target weights of the mixture, in parts; sources that aren't named get their mean, which is 2.
+MIXTURE = {"src0": 5, "src1": 3, "src2": 1, "src3": 1, "src4": 1, "src5": 1}
+
+
 @query
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every document in a mixture of equal parts of all sources."""
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    """The place of every document in a mixture of all sources by MIXTURE."""
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source"), MIXTURE)
 
 
 ORACLE_SQL["op6_source_mixing"] = """
 WITH RECURSIVE d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
-s AS (SELECT source, CAST(ceil(count(*) / 8.0) AS BIGINT) AS blocks, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM d GROUP BY source),
-l AS (SELECT list(blocks ORDER BY k) AS b, list(1000 // n + CASE WHEN k <= 1000 % n THEN 1 ELSE 0 END ORDER BY k) AS p, any_value(n) AS n FROM s),
+s AS (SELECT source, CAST(ceil(count(*) / 8.0) AS BIGINT) AS blocks, row_number() OVER (ORDER BY source) AS k,
+             CAST(CASE source WHEN 'src0' THEN 5 WHEN 'src1' THEN 3 WHEN 'src2' THEN 1 WHEN 'src3' THEN 1 WHEN 'src4' THEN 1 WHEN 'src5' THEN 1 ELSE 2 END AS BIGINT) AS parts FROM d GROUP BY source),
+l AS (SELECT list(blocks ORDER BY k) AS b, list(parts ORDER BY k) AS p FROM s),
 -- Slot by slot: of the sources that have blocks left, those whose next block is released; of these the one due first.
 st AS (
   SELECT CAST(-1 AS BIGINT) AS t, CAST(0 AS BIGINT) AS pt, list_transform(p, lambda x: CAST(0 AS BIGINT)) AS used, list_transform(p, lambda x: CAST(0 AS BIGINT)) AS total, CAST(NULL AS BIGINT) AS pick FROM l

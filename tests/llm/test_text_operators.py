@@ -6,6 +6,7 @@ import json
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -285,10 +286,11 @@ def test_mixing(spark, stored, none):
     rows = [(i, "abcde"[min(4, i % 11)]) for i in range(700)] + [(None, None), (3, "d"), (3, "d")]
     df = spark.createDataFrame(rows, "doc_id long, source string")
     weights = {"a": 0.5, "b": 0.2, "c": 0.2, "d": 0.05, "e": 0.05}
-    got = mixing.mixed(df, weights, block=2, quanta=100).collect()
+    got = mixing.mixed(df, weights, block=2).collect()
     assert len(got) == len(rows) and len({r.mix_position for r in got}) == len(rows)
     sizes = collections.Counter(s for _, s in rows)
-    parts = mixing.quanta_of({s: weights.get(s, 0.2) for s in sizes}, 100)
+    parts = mixing.quanta_of({s: weights.get(s, 0.2) for s in sizes})
+    assert parts == {"a": 10, "b": 4, "c": 4, "d": 1, "e": 1, None: 4}
     slots = {r.mix_slot: r.source for r in got}
     want = schedule({s: -(-n // 2) for s, n in sizes.items()}, parts)
     assert [slots[k] for k in range(len(slots))] == want
@@ -299,10 +301,36 @@ def test_mixing(spark, stored, none):
         if any(seen[x] == -(-sizes[x] // 2) for x in sizes):
             break
     assert mixing.mixed(none).count() == 0
+    # Rounded to so few quanta, all rows still have places.
+    assert len({r.mix_position for r in mixing.mixed(df, weights, block=2, quanta=7).collect()}) == len(rows)
     ordered = mixing.in_mixed_order(stored)
     assert ordered.columns == stored.columns and ordered.count() == len(ODD)
 
 
+@pytest.mark.parametrize("sources", [3, 7, 11])
+@pytest.mark.parametrize("equal", [True, False])
+def test_shares_stay_within_a_block_of_their_targets(spark, sources, equal):
+    weights = {f"s{k}": Fraction(1, sources) if equal else Fraction(2 * (k + 1), sources * (sources + 1)) for k in range(sources)}
+    slots = mixing.template(spark, list(mixing.quanta_of(weights).values()))
+    done = np.zeros(sources)
+    for t in range(1, 20_001):
+        done[slots[(t - 1) % len(slots)]] += 1
+        if t % 97 == 0 or t < 200:
+            assert all(abs(done[k] - t * w) < 1 for k, w in enumerate(weights.values())), t
+    assert sum(weights.values()) == 1
+
+
+def test_ranges_of_a_large_source(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(2000)], "doc_id long, source string")
+    want = sorted(mixing.mixed(df).collect())
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 30)
+    monkeypatch.setattr(mixing, "BROADCAST_RANGES", 10)
+    assert sorted(mixing.mixed(df).collect()) == want
+    digest = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    ids = sorted((i for i in range(2000) if i % 3), key=digest)
+    assert [r.doc_id for r in sorted(want, key=lambda r: r.mix_position) if r.source == "a"] == ids
+
+
 def test_queries_are_registered():
     from terrafold.llm.queries import ORACLE_SQL, QUERIES
 
