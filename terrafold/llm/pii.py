@@ -100,16 +100,37 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int, bool]]:
     """kind, start, end and strictness: base spans, and looser ones that touch none of them of any kind."""
     out = [(k, s, e, True) for k, kind in enumerate(KINDS) for s, e in base[kind]]
-    taken = sorted((s, e) for _, s, e, _ in out)
+    taken = _union([(s, e) for _, s, e, _ in out])
     loose = []
     if "at" in text and ("(at)" in text or "[at]" in text or "{at}" in text):
-        loose += [(0, *m.span(), False) for m in _LOOSE_EMAIL.finditer(text)]
-    loose += [(2, *m.span(), False) for m in _LOOSE_CARD.finditer(text)]
-    loose += [(3, *m.span(), False) for m in _LOOSE_PHONE.finditer(text)]
-    for k, s, e, strict in loose:
-        if not any(a < e and s < b for a, b in taken):
-            out.append((k, s, e, strict))
-            taken.append((s, e))
+        loose.append((0, _LOOSE_EMAIL))
+    for k, pattern in (*loose, (2, _LOOSE_CARD), (3, _LOOSE_PHONE)):
+        free = _apart([m.span() for m in pattern.finditer(text)], taken)
+        out += [(k, s, e, False) for s, e in free]
+        if free:
+            taken = _union([*taken, *free])
+    return out
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those spans that overlap none of taken; both are in order and without overlaps, so one sweep over the two does."""
+    out, k = [], 0
+    for s, e in spans:
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if k == len(taken) or taken[k][0] >= e:
+            out.append((s, e))
     return out
 
 

@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.shared import ship_package
+from terrafold.llm.shared import anonymous, column_of, ship_package, written
 from terrafold.llm.textbytes import SPACE, HashIndex, buffers, counted, slices, span_hashes, span_sums, words
 
 PREFIXES = (4, 5, 6)
-#: At most so many training documents of each label, none longer than LONGEST characters, are used to fit the model.
+#: At most so many training documents of each label are used to fit the model, and about so many characters of them: both
+#: bound the sample, whatever the size of the labelled corpus.
 SAMPLE_PER_LABEL = 3000
-LONGEST = 20_000
+SAMPLE_CHARACTERS = 40_000_000
+#: Ids of labelled rows that are broadcast to look for their texts; more meet them in a shuffle.
+BROADCAST_IDS = 200_000
 #: What has a weight occurs more often in toxic training documents than in others, by this log-likelihood ratio (G squared).
 LEAST_G = 20.0
 THRESHOLD = 0.7
@@ -97,10 +100,16 @@ def _telling(parts: list[pa.Array], labels: list[np.ndarray]) -> np.ndarray:
     return keys[(g >= LEAST_G) & (toxic * n0 > other * n1)]
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 15, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Adam on the likelihood of document labels. Without examples of both labels the model says 0 throughout."""
+def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None = None, epochs: int = 15, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
+    """Adam on the likelihood of document labels. Without examples of both labels the model says 0 throughout.
+
+    shares: how frequent the labels 0 and 1 are where the examples come from. Examples are weighted to these shares, so a
+    sample that has as many of each doesn't change how likely a document is toxic before anything is known of its text.
+    """
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
+    of_label = np.bincount(labels, minlength=2) / len(labels)
+    weight = np.ones(2) if shares is None else np.array(shares) / sum(shares) / of_label
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     groups = [order[k : k + 100] for k in range(0, len(order), 100)]
@@ -121,7 +130,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 15, rate: float = 0.
             logits = bias + np.bincount(at, w[used][inverse], len(doc))
             total = np.bincount(doc, _softplus(logits), len(y))
             # The slope of the log likelihood in total: of log(1 - exp(-total)) for toxic documents, of -total for others.
-            slope = np.where(y > 0, 1 / np.expm1(np.clip(total, 1e-9, 500)), -1.0)
+            slope = np.where(y > 0, weight[1] / np.expm1(np.clip(total, 1e-9, 500)), -weight[0])
             by_sentence = slope[doc] / (1 + np.exp(np.minimum(-logits, 500))) / len(y)
             g = decay * w[used] - np.bincount(inverse, by_sentence[at], len(used))
             gb = -by_sentence.sum()
@@ -134,18 +143,43 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 15, rate: float = 0.
     return Model(keys, w, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic") -> Model:
-    """Fit on a bounded sample of labels (doc_id, toxic): of each label, the rows whose hashed ids are smallest.
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, characters: int = SAMPLE_CHARACTERS) -> DataFrame:
+    """y and text of the examples: of each label, the documents whose hashed ids are smallest, up to per_label of them and
+    characters / 2 in all (the first one whatever its length).
 
-    Only the sampled ids meet docs (doc_id, text), by broadcast. Labels other than 0 and 1, null ids, null texts and
-    texts of over LONGEST characters aren't examples.
+    An id that is labelled more than once has its largest label. Of several texts of an id the one with the least hash is
+    the example. Labels other than 0 and 1, null ids, ids without a text and null texts give no example; others take their
+    place. A very long text ends a sample early, but no text is left out for its length.
+    """
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    rows = written(rows.withColumn("h", F.xxhash64("doc_id")), "labels")
+    texts = docs.select("doc_id", F.lower(F.col(text)).alias("text")).filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    asked = 2 * per_label
+    while True:
+        some = [rows.filter(F.col("y") == y).orderBy("h", "doc_id").limit(asked) for y in (0, 1)]
+        ids = some[0].union(some[1])
+        found = texts.join(F.broadcast(ids) if 2 * asked <= BROADCAST_IDS else ids, "doc_id")  # at most 2 * asked rows
+        found = found.groupBy("doc_id", "y", "h").agg(F.min(F.struct(F.xxhash64("text").alias("g"), F.col("text").alias("text"))).alias("first"))
+        found = written(found.select("y", "h", "doc_id", F.col("first.text").alias("text")), "examples")
+        n = {r[0]: r[1] for r in found.groupBy("y").count().collect()}
+        there = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+        if all(n.get(y, 0) >= per_label or there.get(y, 0) <= asked for y in (0, 1)):
+            break
+        asked *= 8
+    own = Window.partitionBy("y").orderBy("h", "doc_id")  # texts of at most `asked` rows
+    before = F.sum(F.length("text")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("k", F.row_number().over(own)).withColumn("before", F.coalesce(before, F.lit(0)))
+    return found.filter((F.col("k") <= per_label) & (F.col("before") + F.when(F.col("k") > 1, F.length("text")).otherwise(0) <= characters // 2)).select("y", "h", "doc_id", "text")
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, characters: int = SAMPLE_CHARACTERS) -> Model:
+    """Fit on sample() of labels (doc_id, toxic), weighted by how frequent the labels are among all labelled ids.
+
+    Only the sampled ids meet docs (doc_id, text). Odd labels, ids and texts as in sample(); further columns are ignored.
     """
-    rows = labels.filter(f"{label} IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
-    sample = [rows.filter(F.col("y") == y).orderBy("h", "doc_id").limit(SAMPLE_PER_LABEL) for y in (0, 1)]
-    short = docs.filter(F.length(text) <= LONGEST).select("doc_id", F.lower(text).alias("text"))
-    found = short.join(F.broadcast(sample[0].union(sample[1])), "doc_id")  # at most 2 * SAMPLE_PER_LABEL rows
-    got = found.orderBy("y", "h", "text").limit(4 * SAMPLE_PER_LABEL).select("text", "y").toArrow()
-    return fit(got["text"].to_pylist(), got["y"].to_numpy().astype(np.int64))
+    got = sample(docs, labels, text, label, per_label, characters).orderBy("y", "h", "doc_id").select("text", "y").toArrow()
+    shares = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).agg(*(F.sum((F.col(label) == y).cast("long")) for y in (0, 1))).first()
+    return fit(got["text"].to_pylist(), got["y"].to_numpy().astype(np.int64), (shares[0] or 0, shares[1] or 0))
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -181,7 +215,8 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text",
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs below the threshold, repeated ones as often, with all their columns under their names."""
-    names = docs.columns
-    marked = score(docs, model, [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], text, threshold)
-    return marked.filter("predicted = 0").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+    """The rows of docs below the threshold, repeated ones as often, with all their columns under their names; null and
+    empty texts stay."""
+    own = anonymous(docs)
+    marked = score(own, model, [F.col(c) for c in own.columns], column_of(docs, text), threshold)
+    return marked.filter("predicted = 0").select(*own.columns).toDF(*docs.columns)

@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from llm_rows import ODD
 
-from terrafold.llm import langid, lmscore, mixing, ngram_join, packing, pii, token_counts, toxicity
+from terrafold.llm import langid, lmscore, mixing, ngram_join, packing, pii, token_counts, tokens, toxicity
 from terrafold.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from terrafold.llm.textbytes import HashIndex, buffers, span_hashes, span_sums, words
 from terrafold.llm.tokens import WordBpe
@@ -54,6 +55,24 @@ def test_tokens_equal_the_library():
     assert (again == ids).all()
 
 
+def test_tokens_of_words_that_share_a_hash(monkeypatch):
+    # Words that are equal to any polynomial hash modulo a power of two.
+    odd = ["".join("ab"[(k.bit_count() + f) % 2] for k in range(2048)) for f in (0, 1)]
+    bpe = WordBpe(FILE)
+    for t in odd:
+        assert bpe.encode([t])[0].tolist() == bpe.whole.encode(t, add_special_tokens=False).ids
+    data, offsets = buffers(pa.array([" ".join(odd)]))
+    starts, ends, _ = words(data, offsets)
+    assert len(set(span_hashes(span_sums(data, starts), starts, ends).tolist())) == 2
+    # With a hash of two bits, nearly all words share theirs with others.
+    monkeypatch.setattr(tokens, "span_hashes", lambda *a: span_hashes(*a) & np.uint64(3))
+    bpe = WordBpe(FILE)
+    texts = ["one two three", "four five", "one", "", "six seven", "two"] * 3
+    ids, at = bpe.encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == bpe.whole.encode(t, add_special_tokens=False).ids
+
+
 def lengths():
     bpe = WordBpe(FILE).whole
     return [len(bpe.encode(r[1] or "", add_special_tokens=False).ids) for r in ODD]
@@ -75,6 +94,13 @@ def test_packing(stored, none):
     ids = np.array([*bpe.encode("x", add_special_tokens=False).ids, 0], "<u4")
     assert [r["ids_crc32"] for r in got if r["doc_id"] == 7] == [zlib.crc32(ids.tobytes())]
     assert packing.pack(none, FILE).count() == 0
+    # Every piece of every document, cut by hand from the library's ids.
+    want = collections.Counter()
+    for r in ODD:
+        own = [*bpe.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        for p in range(0, len(own), 64):
+            want[r[0], p // 64, p, len(own[p : p + 64]), zlib.crc32(np.array(own[p : p + 64], "<u4").tobytes())] += 1
+    assert want == collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -126,6 +152,55 @@ def test_language(stored, none, spark):
     assert {r.lang_pred for r in langid.predict(stored, empty, [stored.doc_id]).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Hashed n-grams of a text, character by character."""
+    out, m = [], (1 << 32) - 1
+    low = [ord(c.lower()[0]) if c.isalpha() else 32 for c in text]
+    padded = [*low, 32, 32, 32, 32]
+    for i in range(len(text)):
+        rolled = 0
+        for n in range(3):
+            rolled = (rolled * 0x01000193 & m) ^ (padded[i + n] * 0x9E3779B1 & m)
+            x = rolled ^ rolled >> 15
+            x = (x * 0x85EBCA6B + n * 0x27D4EB2F) & m
+            out.append((n, x >> 16))
+    return out
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    rng = np.random.default_rng(8)
+    alphabets = {"aa": "abcde fg", "bb": "cdefg hijk", "cc": "xyz éü abc", "dd": "日本語 ab"}
+    rows = [(i, "".join(rng.choice(list(alphabets[lang]), rng.integers(1, 30))), lang) for i, lang in enumerate(["aa", "bb", "cc", "dd", "aa"] * 12)]
+    rows += [(100, "", "aa"), (101, "12 .", "bb"), (102, "\U000e0041\U000f0000", "aa"), (103, "\U00020000\U00020001", "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    counts, docs = {x: collections.Counter() for x in alphabets}, collections.Counter(r[2] for r in rows)
+    for _, t, lang in rows:  # the two spaces after a text are n-grams of their own
+        counts[lang].update(plain_grams(t))
+    pads = collections.Counter()
+    found, at, _ = langid.features([""])
+    for n, f in enumerate(found):
+        pads.update((n, int(x)) for x in f)
+    for lang in counts:
+        for k, v in pads.items():
+            counts[lang][k] += v * docs[lang]
+    totals = {lang: [sum(v for (m, _), v in c.items() if m == n) for n in range(3)] for lang, c in counts.items()}
+    for block in (64, 3, 1):
+        got = {r.doc_id: r for r in langid.predict(df, model, [df.doc_id], block=block).collect()}
+        assert len(got) == len(rows)
+        for i, t, _ in rows:
+            if not any(c.isalpha() for c in t):
+                assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+                continue
+            logs = {}
+            for lang, c in counts.items():
+                grams = [*plain_grams(t), *pads.elements()]
+                logs[lang] = math.log(docs[lang]) + sum(math.log((c[g] + 0.5) / (totals[lang][g[0]] + 0.5 * 65536)) for g in grams)
+            best = min(logs, key=lambda x: (-logs[x], x))
+            assert got[i].lang_pred == best
+            assert math.isclose(got[i].score, 1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel_tol=1e-4)
+
+
 def test_language_features_stay_in_their_text():
     a, at, _ = langid.features(["abc", "xyz"])
     b, _, _ = langid.features(["abc"])
@@ -198,12 +273,12 @@ def test_lm_scores(stored, none):
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
     assert np.allclose([r.score for r in sorted(got, key=key)], [r.score for r in sorted(blocks, key=key)])
     assert np.allclose([r.base_score for r in sorted(got, key=key)], [r.base_score for r in sorted(blocks, key=key)])
-    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
-    c = collections.Counter(w for r in ODD if r[0] != 5 for w in tokens(r[1]))
+    tokens_of = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
+    c = collections.Counter(w for r in ODD if r[0] != 5 for w in tokens_of(r[1]))
     n, v = sum(c.values()), len(c)
     for r in got:
         if r.doc_id in (1, 5, 7):
-            own = tokens(next(o[1] for o in ODD if o[0] == r.doc_id))
+            own = tokens_of(next(o[1] for o in ODD if o[0] == r.doc_id))
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in c for w in own), n)
             assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
     assert lmscore.lm_scores(none, none, [none.doc_id]).count() == 0
@@ -238,6 +313,46 @@ def test_toxicity(spark, stored, none):
     assert {r.predicted for r in toxicity.score(stored, blank, [stored.doc_id]).collect()} == {0}
 
 
+def test_toxicity_sample(spark):
+    texts = [(i, f"text {i}", int(i % 50 == 0)) for i in range(500)] + [(1, f"again {k}", 0) for k in range(300)] + [(600, None, 1), (None, "no id", 1), (601, "x" * 50_000, 1)]
+    docs = spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts] + [(700 + k, 1) for k in range(100)] + [(2, 7), (3, None), (4, 1)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, per_label=12).collect()
+    found = {y: [r.doc_id for r in got if r.y == y] for y in (0, 1)}
+    # Of 12 toxic documents with a text (one by its second label, one long), all are found among ids without one.
+    assert sorted(found[1]) == [0, 4, 50, 100, 150, 200, 250, 300, 350, 400, 450, 601] and len(set(found[0])) == len(found[0]) == 12
+    few = toxicity.sample(docs, labels, per_label=12, characters=60).collect()
+    assert all(sum(len(r.text) for r in few if r.y == y) <= 30 or sum(r.y == y for r in few) == 1 for y in (0, 1))
+
+
+def test_toxicity_equals_plain_noisy_or(spark):
+    words_ = ["vile", "vilest", "kind", "so", "very"]
+    rows = [(i, f"{'you vile' if i % 3 == 0 else 'a kind'} thing. so {i}! very\nkind vilest", int(i % 3 == 0)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(model.weights) > 1
+    texts = ["vile kind. so vile vile! ok", "", "...", *(" ".join(words_[k % 5 :]) + "?" for k in range(9))]
+    test = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(test, model, [test.doc_id]).collect()}
+
+    def key(piece, salt=1):
+        data = np.frombuffer(piece.encode(), np.uint8)
+        return (span_hashes(span_sums(data, np.array([0])), np.array([0]), np.array([len(data)])) * np.uint64(salt))[0]
+
+    def weight(k):
+        place = model.index.find(np.array([k], np.uint64))[0]
+        return model.weights[place] if place >= 0 else 0.0
+
+    for i, t in enumerate(texts):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", t):
+            tokens = re.findall(r"[a-z0-9]+", sentence)
+            if tokens:
+                logit = model.bias + sum(weight(key(w)) + sum(weight(key(w[:n], 2 * n + 1)) for n in toxicity.PREFIXES) for w in tokens)
+                clean *= 1 - 1 / (1 + math.exp(-logit))
+        assert math.isclose(got[i], 1 - clean, rel_tol=1e-6, abs_tol=1e-9), t
+
+
 def test_personal_data_spans():
     text = "mail a.b@x.com, c@d no, @e.f, g@h.i.j@k.lm 1.2.3.4 1.2.3.400 4111 1111-1111 1111 +1 (212) 555-0199 +12 4111111111111112"
     patterns = {
@@ -254,6 +369,55 @@ def test_personal_data_spans():
     assert pii.base_spans("a" * 200000 + "1" * 200000)["email"] == []
 
 
+def test_candidates_touch_no_others():
+    rng = np.random.default_rng(3)
+    words_ = ["a(at)b.com", "4111 1111 1111 1112", "4111111111111111", "212 555 0199", "(212) 555-0199", "+1 212 555 0199", "a@b.com", "1.2.3.4", "0", " ", "x"]
+    for _ in range(300):
+        t = " ".join(rng.choice(words_, 12)) if rng.random() < 0.7 else "".join(rng.choice(words_, 8))
+        base = pii.base_spans(t)
+        want = [(k, s, e, True) for k, kind in enumerate(pii.KINDS) for s, e in base[kind]]
+        for k, p in ((0, pii._LOOSE_EMAIL), (2, pii._LOOSE_CARD), (3, pii._LOOSE_PHONE)):
+            for m in p.finditer(t):
+                if not any(s < m.end() and m.start() < e for _, s, e, _ in want):
+                    want.append((k, *m.span(), False))
+        assert pii.candidates(t, base) == want
+    began = time.time()
+    t = "212 555 0199, " * 40_000
+    assert len(pii.candidates(t, pii.base_spans(t))) == 40_000 and time.time() - began < 10
+
+
+def test_reliabilities_and_classifier_written_out():
+    rng = np.random.default_rng(4)
+    kind = np.repeat([0, 3], 40)
+    pattern, shape, n = rng.integers(0, 3**pii.LABELERS, 80), rng.integers(0, 21 * 32, 80), rng.integers(1, 50, 80)
+    got = pii.classifier(kind, pattern, shape, n)
+    for k in (0, 3):
+        own = [i for i in range(80) if kind[i] == k]
+        vote = {i: [int(pattern[i]) // 3 ** (4 - j) % 3 for j in range(5)] for i in own}
+        p = {i: min(0.95, max(0.05, 0.5 + 0.15 * sum(v - 1 for v in vote[i]))) for i in own}
+        for _ in range(50):
+            prior = min(0.95, max(0.05, sum(p[i] * n[i] for i in own) / sum(n[i] for i in own)))
+            rate = []
+            for c, lean in ((0, (1, 3)), (1, (3, 1))):
+                w = {i: n[i] * (p[i] if c else 1 - p[i]) for i in own}
+                rate.append([(sum(w[i] for i in own if vote[i][j] == 2) + lean[0]) / (sum(w[i] for i in own if vote[i][j] != 1) + 4) for j in range(5)])
+            odds = {}
+            for i in own:
+                yes, no = prior, 1 - prior
+                for j, v in enumerate(vote[i]):
+                    yes *= rate[1][j] if v == 2 else 1 - rate[1][j] if v == 0 else 1
+                    no *= rate[0][j] if v == 2 else 1 - rate[0][j] if v == 0 else 1
+                odds[i] = yes / (yes + no)
+            p = odds
+        total = [sum((p[i] if c else 1 - p[i]) * n[i] for i in own) + 1 for c in (0, 1)]
+        for i in own:
+            logit = math.log(p[i] / (1 - p[i]))
+            for f in (lambda x: x // 32, lambda x: x // 4 % 8, lambda x: x % 4):
+                share = [(sum((p[x] if c else 1 - p[x]) * n[x] for x in own if f(shape[x]) == f(shape[i])) + 0.5) / total[c] for c in (0, 1)]
+                logit += min(3, max(-3, math.log(share[1] / share[0])))
+            assert math.isclose(got[i], 1 / (1 + math.exp(-logit)), rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_personal_data(spark, stored, none):
     rows = [(k, f"card 4111111111111111 4111111111111111 and a{k}@b.com") for k in range(30)]
     got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
