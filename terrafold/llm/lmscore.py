@@ -7,9 +7,15 @@ context's counts come from the whole training corpus: (ORDER + 1)-grams of bytes
 summed by Spark; counts of shorter contexts are sums of those. The symbol END closes each text and stands before it.
 
 Because the counts are fixed before scoring, what exclusion takes away depends only on the context escaped from and the
-next shorter one. So every cost is a number stored with a trie node, and whole batches are scored by lookups in numpy.
-A trie with more nodes than BLOCK_NODES is split by the last byte of the context into blocks that are scored one after
-the other: all contexts asked for a symbol end in the same byte. No node is ever dropped.
+next shorter one. So every cost follows from the nodes of the contexts that are suffixes of one another, and whole batches
+are scored by lookups in numpy.
+
+The documents are read twice, whatever the size of the trie. The first pass counts. In the second, the most frequent
+n-grams (at most FREQUENT_GRAMS) have their costs broadcast; whatever else a document asks for goes on as numbers, once
+for each document. Those asked are made distinct and meet the trie where it lies: buckets of nodes whose contexts end in
+the same SHARED symbols hold all that decides their costs but the counts of shorter contexts, of which there are at most
+SYMBOLS ** SHARED, and those are broadcast. Costs then go back to the documents by a join. No node is ever dropped, no
+task holds more than a bucket of about BUCKET_NODES, and what is broadcast doesn't grow with the corpus.
 
 Beside it, a base score: unigram probabilities of words with add-one smoothing. Frequent words (at most FREQUENT) are
 broadcast with their counts; the rest meet their counts in a shuffle join.
@@ -18,7 +24,6 @@ broadcast with their counts; the rest meet their counts in a shuffle join.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -34,16 +39,19 @@ ORDER = 5
 END = 256
 SYMBOLS = 257
 FREQUENT = 200_000
-#: Nodes of (ORDER + 1)-grams of a block of the trie.
-BLOCK_NODES = 2_000_000
+#: (ORDER + 1)-grams whose costs are broadcast, at most; and those of a bucket of the trie, about.
+FREQUENT_GRAMS = 1_000_000
+BUCKET_NODES = 500_000
+#: Contexts that end in the same so many symbols lie in the same bucket.
+SHARED = 3
 #: A word's hash that no word has but the end of a text.
 END_WORD = np.uint64(0x51D7348A1F3C99E5)
 _GRAM, _WORD = 0, 1
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the (ORDER + 1)-gram that ends at each symbol, base SYMBOLS, oldest symbol first; the symbol before each;
-    and where each text's symbols begin. A text has its bytes (A-Z lower-cased) and END; before it stand ORDER times END."""
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the (ORDER + 1)-gram that ends at each symbol, base SYMBOLS, oldest symbol first; and where each text's
+    symbols begin. A text has its bytes (A-Z lower-cased) and END; before it stand ORDER times END."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     at = offsets + np.arange(n + 1) * (ORDER + 1)
@@ -58,7 +66,7 @@ def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     gaps = (at[:-1] + size + 1)[:, None] + np.arange(ORDER)[None]
     real[gaps.ravel()[gaps.ravel() < len(keys)]] = False
     first = np.concatenate([[0], np.cumsum(size + 1)])
-    return keys[real], padded[ORDER - 1 : ORDER - 1 + len(keys)][real], first
+    return keys[real], first
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,65 +115,73 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
     return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-class Trie:
-    """Costs, as log10 probabilities, of all symbols after all contexts of a block of the trie.
+class Low:
+    """Counts of all contexts shorter than SHARED, from those of SHARED symbols (SHARED - 1 and the next one)."""
 
-    index[j] finds a context of j symbols with its next symbol, context[j] the context alone; count, total and distinct
-    are the counts of theirs; seen is the cost of what the longest contexts hold.
-    """
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.levels = {}
+        keys, counts = counted(keys, counts)
+        for j in range(SHARED - 1, -1, -1):
+            self.levels[j] = _Level(keys, counts)
+            keys, counts = counted(keys % SYMBOLS**j, counts)
+
+
+class _Level:
+    """Contexts of one length with their next symbols: index finds both, context the context alone; count, total and
+    distinct are the counts of theirs."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys = keys
+        self.index = HashIndex(keys.view(np.uint64))
+        self.count = counts.astype(np.float64)
+        self.contexts, self.first = np.unique(keys // SYMBOLS, return_index=True)
+        self.context = HashIndex(self.contexts.view(np.uint64))
+        ends = np.append(self.first[1:], len(keys))
+        self.total = np.add.reduceat(self.count, self.first) if len(keys) else np.zeros(0)
+        self.distinct = (ends - self.first).astype(np.float64)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order0: np.ndarray, last: tuple[int, int]):
-        """keys, counts: sorted (ORDER + 1)-grams whose last context symbol is in range(*last); order0: counts of symbols."""
-        self.last = last
-        self.order = ORDER
-        grams = {ORDER: (keys, counts)}
-        for j in range(ORDER - 1, 0, -1):
-            grams[j] = counted(grams[j + 1][0] % SYMBOLS ** (j + 1), grams[j + 1][1])
-        zero = np.flatnonzero(order0)
-        grams[0] = (zero.astype(np.int64), order0[zero])
-        self.index, self.count, self.context, self.total, self.distinct = {}, {}, {}, {}, {}
-        for j, (k, n) in grams.items():
-            self.index[j] = HashIndex(k.view(np.uint64))
-            self.count[j] = n.astype(np.float64)
-            contexts, first = np.unique(k // SYMBOLS, return_index=True)
-            self.context[j] = HashIndex(contexts.view(np.uint64))
-            ends = np.append(first[1:], len(k))
-            self.total[j] = np.add.reduceat(self.count[j], first) if len(k) else np.zeros(0)
-            self.distinct[j] = (ends - first).astype(np.float64)
-        of = np.searchsorted(np.unique(keys // SYMBOLS), keys // SYMBOLS)
-        self.seen = np.log10((self.count[ORDER] - 0.5) / self.total[ORDER][of]) if len(keys) else np.zeros(0)
+
+class Trie:
+    """Costs, as log10 probabilities, of all symbols after the contexts of a bucket: all that end in certain SHARED symbols."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, low: Low):
+        """keys, counts: sorted (ORDER + 1)-grams of the bucket."""
+        levels = {ORDER: _Level(keys, counts)}
+        for j in range(ORDER - 1, SHARED - 1, -1):
+            levels[j] = _Level(*counted(levels[j + 1].keys % SYMBOLS ** (j + 1), levels[j + 1].count.astype(np.int64)))
+        self.levels = levels | low.levels
+        longest = levels[ORDER]
+        of = np.searchsorted(longest.contexts, keys // SYMBOLS)
+        self.seen = np.log10((longest.count - 0.5) / longest.total[of]) if len(keys) else np.zeros(0)
+        self.escape = np.log10(longest.distinct / (2 * longest.total))
         # Of each context's suffix: what is left without the symbols that the context has itself; for each context of j symbols.
-        self.escape, self.rest_total, self.rest_distinct = {}, {}, {}
-        for j, (k, _) in grams.items():
-            self.escape[j] = np.log10(self.distinct[j] / (2 * self.total[j]))
-            contexts, first = np.unique(k // SYMBOLS, return_index=True)
-            if j == 0:
-                self.rest_distinct[0] = np.array([SYMBOLS - len(k)], float)
-                continue
-            shorter = k % SYMBOLS**j
-            mine = self.count[j - 1][self.index[j - 1].find(shorter.view(np.uint64))]
-            suffix = self.context[j - 1].find((contexts % SYMBOLS ** (j - 1)).view(np.uint64))
-            self.rest_total[j] = self.total[j - 1][suffix] - np.add.reduceat(mine, first) if len(k) else np.zeros(0)
-            self.rest_distinct[j] = self.distinct[j - 1][suffix] - self.distinct[j]
+        self.rest_total, self.rest_distinct = {}, {0: np.array([SYMBOLS - len(self.levels[0].keys)], float)}
+        for j in range(1, ORDER + 1):
+            at, below = self.levels[j], self.levels[j - 1]
+            mine = below.count[below.index.find((at.keys % SYMBOLS**j).view(np.uint64))] if len(at.keys) else np.zeros(0)
+            suffix = below.context.find((at.contexts % SYMBOLS ** (j - 1)).view(np.uint64))
+            self.rest_total[j] = below.total[suffix] - np.add.reduceat(mine, at.first) if len(at.keys) else np.zeros(0)
+            self.rest_distinct[j] = below.distinct[suffix] - at.distinct if len(at.keys) else np.zeros(0)
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each (ORDER + 1)-gram after the others."""
-        node = self.index[ORDER].find(keys.view(np.uint64))
+        longest = self.levels[ORDER]
+        node = longest.index.find(keys.view(np.uint64))
         out = self.seen[node] if len(self.seen) else np.zeros(len(keys))
         todo = np.flatnonzero(node < 0)
         keys = keys[todo]
-        came = self.context[ORDER].find((keys // SYMBOLS).view(np.uint64))
-        cost = np.where(came >= 0, self.escape[ORDER][came], 0.0) if len(self.escape[ORDER]) else np.zeros(len(keys))
+        came = longest.context.find((keys // SYMBOLS).view(np.uint64))
+        cost = np.where(came >= 0, self.escape[came], 0.0) if len(self.escape) else np.zeros(len(keys))
         for j in range(ORDER - 1, -1, -1):
-            k = keys % SYMBOLS ** (j + 1)
-            node = self.index[j].find(k.view(np.uint64))
-            context = self.context[j].find((k // SYMBOLS).view(np.uint64))
+            at, k = self.levels[j], keys % SYMBOLS ** (j + 1)
+            node = at.index.find(k.view(np.uint64))
+            context = at.context.find((k // SYMBOLS).view(np.uint64))
             total, distinct = np.zeros(len(k)), np.zeros(len(k))
             there, longer = context >= 0, came >= 0
-            total[there], distinct[there] = self.total[j][context[there]], self.distinct[j][context[there]]
+            total[there], distinct[there] = at.total[context[there]], at.distinct[context[there]]
             total[longer], distinct[longer] = self.rest_total[j + 1][came[longer]], self.rest_distinct[j + 1][came[longer]]
             hit = node >= 0
-            out[todo[hit]] = cost[hit] + np.log10((self.count[j][node[hit]] - 0.5) / total[hit])
+            out[todo[hit]] = cost[hit] + np.log10((at.count[node[hit]] - 0.5) / total[hit])
             paid = ~hit & (distinct > 0)  # a context that has nothing new needs no escape
             cost[paid] += np.log10(distinct[paid] / (2 * total[paid]))
             todo, keys, came, cost = todo[~hit], keys[~hit], context[~hit], cost[~hit]
@@ -173,131 +189,119 @@ class Trie:
         return out
 
 
-_built: dict[str, Trie] = {}
-
-
-def built(parts: tuple) -> Trie:
-    """The trie of (name, keys, counts, order0, last); a process keeps the last one it has built."""
-    if parts[0] not in _built:
-        _built.clear()
-        _built[parts[0]] = Trie(*parts[1:])
-    return _built[parts[0]]
-
-
-def tries(counts: DataFrame, block_nodes: int = BLOCK_NODES) -> Iterator[tuple]:
-    """What built() takes, block by block, from corpus_counts(); no rows give empty blocks."""
-    grams = counts.filter(F.col("kind") == _GRAM)
-    symbol = F.col("key") % SYMBOLS
-    before = F.floor(F.col("key") / SYMBOLS).cast("long") % SYMBOLS
-    order0 = np.zeros(SYMBOLS, np.int64)
-    for s, n in grams.groupBy(symbol.cast("int")).agg(F.sum("n")).collect():
-        order0[s] = n
-    sizes = np.zeros(SYMBOLS, np.int64)
-    for s, n in grams.groupBy(before.cast("int")).count().collect():
-        sizes[s] = n
-    low = 0
-    while low < SYMBOLS:
-        high = low + 1
-        while high < SYMBOLS and sizes[low : high + 1].sum() <= block_nodes:
-            high += 1
-        got = grams.filter((before >= low) & (before < high)).select("key", "n").toArrow()
-        keys, n = got["key"].to_numpy(), got["n"].to_numpy()
-        order = np.argsort(keys)
-        yield uuid.uuid4().hex, keys[order], n[order], order0, (low, high)
-        low = high
-
-
-def _words(counts: DataFrame, frequent: int) -> tuple[int, int, int, dict[str, np.ndarray], DataFrame]:
-    """All tokens, distinct ones, the count from which a word is frequent, frequent words, and the others."""
-    each = counts.filter(F.col("kind") == _WORD)
-    bins = {r[0]: (r[1], r[2]) for r in each.groupBy(F.floor(F.log2("n") * 8).cast("int")).agg(F.count(F.lit(1)), F.sum("n")).collect()}
-    total, distinct = sum(n for _, n in bins.values()), sum(k for k, _ in bins.values())
-    held, cut = 0, 1 << 30
+def low_counts(grams: DataFrame) -> Low:
+    """The counts of contexts shorter than SHARED, from (key, n): at most SYMBOLS ** SHARED rows, and as many as there are
+    different sequences of SHARED bytes."""
+    got = grams.groupBy((F.col("key") % SYMBOLS**SHARED).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    return Low(got["key"].to_numpy(), got["n"].to_numpy())
+
+
+def asked_costs(grams: DataFrame, asked: DataFrame, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
+    """key and cost of each distinct key of asked, under the trie of grams (key, n)."""
+    spark = grams.sparkSession
+    low = spark.sparkContext.broadcast(low_counts(grams))
+    buckets = max(1, -(-grams.count() // bucket_nodes))
+    bucket = F.pmod(F.xxhash64(F.expr(f"(key DIV {SYMBOLS}) % {SYMBOLS**SHARED}")), F.lit(buckets))
+
+    def run(nodes: pa.Table, keys: pa.Table) -> pa.Table:
+        at, n = nodes["key"].to_numpy(), nodes["n"].to_numpy()
+        order = np.argsort(at)
+        own = keys["key"].to_numpy()
+        return pa.table({"key": own, "cost": Trie(at[order], n[order], low.value).costs(own)})
+
+    left, right = (x.withColumn("bucket", bucket).groupBy("bucket") for x in (grams.select("key", "n"), asked.select("key").distinct()))
+    return left.cogroup(right).applyInArrow(run, "key long, cost double")
+
+
+def frequent_costs(grams: DataFrame, most: int = FREQUENT_GRAMS) -> dict[str, np.ndarray]:
+    """Keys and costs of the most frequent of grams (key, n), at most `most`: each is seen, so its context decides."""
+    cut, _ = _frequency(grams, most)
+    context = F.expr(f"key DIV {SYMBOLS}")
+    totals = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
+    often = grams.filter(F.col("n") >= cut).join(totals, context == F.col("context"))
+    got = often.select("key", F.log10((F.col("n") - 0.5) / F.col("total")).alias("cost")).toArrow()
+    return {"keys": got["key"].to_numpy().view(np.uint64), "cost": got["cost"].to_numpy()}
+
+
+def _frequency(counts: DataFrame, most: int) -> tuple[int, list[tuple[int, int]]]:
+    """The least count from which on there are at most `most` keys, to an eighth of an octave; keys and their sum by octaves."""
+    size = F.floor(F.log2("n") * 8).cast("int")
+    bins = {r[0]: tuple(r[1:]) for r in counts.groupBy(size).agg(F.count(F.lit(1)), F.sum("n"), F.min("n")).collect()}  # at most 8 * 63 rows
+    held, cut = 0, 1 << 62
     for b in sorted(bins, reverse=True):
-        if held + bins[b][0] > frequent:
+        if held + bins[b][0] > most:
             break
-        held, cut = held + bins[b][0], b
-    size = F.floor(F.log2("n") * 8).cast("int")
-    got = each.filter(size >= cut).select("key", "n").toArrow()
-    return total, distinct, cut, {"keys": got["key"].to_numpy().view(np.uint64), "n": got["n"].to_numpy()}, each.filter(size < cut)
+        held, cut = held + bins[b][0], bins[b][2]
+    return cut, [(k, n) for k, n, _ in bins.values()]
 
 
-def lm_scores(docs: DataFrame, training: DataFrame, keep: list[Column], text: str = "text", block_nodes: int = BLOCK_NODES, frequent: int = FREQUENT) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, training: DataFrame, keep: list[Column], text: str = "text", bucket_nodes: int = BUCKET_NODES, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS
+) -> DataFrame:
     """keep (columns of docs), n_tokens, n_known, train_tokens, base_score and score for every row of docs.
 
     score is the PPM log10 probability of the text's bytes (A-Z lower-cased) and END under the trie of all training texts; base_score is
     the sum over words and the end of log10((c + 1) / (N + V + 1)). Null texts count as empty, repeated rows each; an
-    empty table gives no rows; further columns are ignored; no training rows give the uniform model. Word hashes have 64 bits; two words share one with a chance of V**2 / 2**65.
+    empty table gives no rows; further columns are ignored; no training rows give the uniform model. Words are counted by
+    hashes of 64 bits.
     """
     spark = docs.sparkSession
     ship_package(spark)
     counts = written(corpus_counts(training.select(F.col(text).alias("text"))), "corpus-counts")
-    n_all, v_all, _, often, rare = _words(counts, frequent)
-    known = spark.sparkContext.broadcast(often)  # at most `frequent` words
-    # Written once: row numbers follow the splits of a scan, so they would differ if computed again for another block.
-    rows = written(docs.select(*keep, F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text")), "lm-rows")
-    first = None
-    for parts in tries(counts, block_nodes):
-        held = spark.sparkContext.broadcast(parts)  # at most block_nodes nodes, or those of one last byte
-        if first is None:
-            kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-            schema = ", ".join([*kept, "ppm double, n_tokens long, often long, base double, rare array<long>"])
-            first = rows.mapInArrow(_scoring(held, known, rows.columns[:-1]), schema)
-            first = written(first, "scored")
-        else:
-            more = rows.select("row", "text").mapInArrow(_scoring(held, None, ["row"]), "row long, more double")
-            joined = first.join(written(more, "scored-block"), "row")
-            first = written(joined.withColumn("ppm", F.col("ppm") + F.col("more")).drop("more"), "scored")
-    apart = first.select("row", F.explode("rare").alias("key")).groupBy("row", "key").count()
-    apart = apart.join(rare.select("key", "n"), "key")
-    apart = apart.groupBy("row").agg(F.sum("count").alias("r_known"), F.sum(F.col("count") * F.log10(F.col("n") + 1)).alias("r_base"))
-    out = first.join(apart, "row", "left")
+    grams, each = counts.filter(F.col("kind") == _GRAM), counts.filter(F.col("kind") == _WORD)
+    cut, bins = _frequency(each, frequent)
+    n_all, v_all = sum(n for _, n in bins), sum(k for k, _ in bins)
+    got = each.filter(F.col("n") >= cut).select("key", "n").toArrow()
+    often = spark.sparkContext.broadcast({"keys": got["key"].to_numpy().view(np.uint64), "n": got["n"].to_numpy()})  # at most `frequent` words
+    costs = spark.sparkContext.broadcast(frequent_costs(grams, frequent_grams))  # at most `frequent_grams` numbers
+    # A row's number is made and stored in this one pass over the texts.
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("text"))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    schema = ", ".join([*kept, "ppm double, n_tokens long, often long, base double, words array<long>, grams array<long>"])
+    first = written(rows.mapInArrow(_scoring(costs, often, rows.columns[:-1]), schema), "scored")
+    asked = written(first.select("row", F.explode("grams").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times")), "asked")
+    found = asked_costs(grams, asked, bucket_nodes)
+    more = asked.join(found, "key").select("row", (F.col("cost") * F.col("times")).alias("ppm_more"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base_more"))
+    apart = first.select("row", F.explode("words").alias("key")).groupBy("row", "key").count()
+    apart = apart.join(each.filter(F.col("n") < cut).select("key", "n"), "key")
+    apart = apart.select("row", F.lit(0.0).alias("ppm_more"), F.col("count").alias("known"), (F.col("count") * F.log10(F.col("n") + 1)).alias("base_more"))
+    sums = more.union(apart).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("ppm_more", "known", "base_more")))
+    out = first.drop("words", "grams").join(sums, "row", "left")
     return out.select(
         *rows.columns[:-2],
         "n_tokens",
-        (F.col("often") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
+        (F.col("often") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_all + v_all + 1)).alias("base_score"),
-        F.col("ppm").alias("score"),
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * math.log10(n_all + v_all + 1)).alias("base_score"),
+        (F.col("ppm") + F.coalesce("ppm_more", F.lit(0.0))).alias("score"),
     )
 
 
-def _scoring(trie, known, names: list[str]):
+def _left(values: np.ndarray, left: np.ndarray, pointers: np.ndarray) -> pa.Array:
+    """A list for each row of those of its values that are left."""
+    sizes = sums_by_row(left.astype(np.int64), pointers)
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(values[left].view(np.int64))).cast(pa.list_(pa.int64()))
+
+
+def _scoring(costs, often, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = built(trie.value)
-        index = None
+        index = grams = None
         for batch in batches:
+            if index is None:
+                # A last entry, 0, for what isn't found.
+                index, logs = HashIndex(often.value["keys"]), np.append(np.log10(often.value["n"] + 1.0), 0.0)
+                grams, cost = HashIndex(costs.value["keys"]), np.append(costs.value["cost"], 0.0)
             for part in slices(batch, "text", 1_000_000):
                 data, offsets = buffers(part.column("text"))
-                keys, before, at = symbols(data, offsets)
-                costs = np.zeros(len(keys))
-                if t.last == (0, SYMBOLS):
-                    costs = t.costs(keys)
-                else:
-                    mine = np.flatnonzero((before >= t.last[0]) & (before < t.last[1]))
-                    costs[mine] = t.costs(keys[mine])
-                columns = [part.column(k) for k in range(len(names))] + [pa.array(sums_by_row(costs, at))]
-                if known is None:
-                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "more"])
-                    continue
-                if index is None:
-                    index, logs = HashIndex(known.value["keys"]), np.log10(known.value["n"] + 1.0)
-                    end = index.find(np.array([END_WORD]))
+                keys, at = symbols(data, offsets)
+                node = grams.find(keys.view(np.uint64))
                 hashes, first = word_hashes(data, offsets)
+                # The end of a text is a token too.
+                hashes, first = np.insert(hashes, first[1:], END_WORD), first + np.arange(len(first))
                 found = index.find(hashes)
-                hit = found >= 0
-                # The end of a text is a token too; it is among the frequent ones if any document is.
-                often = sums_by_row(hit.astype(np.int64), first) + int(end[0] >= 0)
-                base = sums_by_row(np.where(hit, logs[found], 0.0) if len(logs) else np.zeros(len(hashes)), first) + (logs[end[0]] if end[0] >= 0 else 0.0)
-                left = sums_by_row((~hit).astype(np.int64), first) + int(end[0] < 0)
-                rest = np.split(hashes, first[1:-1]) if end[0] < 0 else None
-                if rest is None:
-                    values = hashes[~hit]
-                else:
-                    values = np.concatenate([np.append(h[f], END_WORD) for h, f in zip(rest, np.split(~hit, first[1:-1]), strict=True)])
-                lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(left)])), pa.array(values.view(np.int64))).cast(pa.list_(pa.int64()))
-                columns += [pa.array(np.diff(first) + 1), pa.array(often), pa.array(base), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ppm", "n_tokens", "often", "base", "rare"])
+                columns = [*(part.column(k) for k in range(len(names))), pa.array(sums_by_row(cost[node], at)), pa.array(np.diff(first))]
+                columns += [pa.array(sums_by_row((found >= 0).astype(np.int64), first)), pa.array(sums_by_row(logs[found], first)), _left(hashes, found < 0, first), _left(keys, node < 0, at)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ppm", "n_tokens", "often", "base", "words", "grams"])
 
     return run
 

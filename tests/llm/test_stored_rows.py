@@ -1,10 +1,12 @@
 """Row numbers outlive a change of how Spark splits files while an operator runs."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.llm import lmscore, ngram_join
+from terrafold.llm import exact_dedup, lmscore, ngram_join
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 
@@ -42,6 +44,22 @@ def test_lm_scores(spark, docs, monkeypatch):
     keep = [F.col("doc_id")]
     want = {r.doc_id: r.score for r in lmscore.lm_scores(docs, docs, keep).collect()}
     split_after(spark, monkeypatch, lmscore, "written", "scored")
-    got = {r.doc_id: r.score for r in lmscore.lm_scores(docs, docs, keep, block_nodes=4000).collect()}
+    got = {r.doc_id: r.score for r in lmscore.lm_scores(docs, docs, keep, bucket_nodes=4000, frequent_grams=500).collect()}
     assert got.keys() == want.keys() == set(range(80))
     assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_exact_duplicates(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i % 100}") for i in range(400)] + [(7, "text 7"), (None, "text 7"), (500, None), (501, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(f"{tmp_path}/e")
+    docs = spark.read.parquet(f"{tmp_path}/e")
+    split_after(spark, monkeypatch, exact_dedup, "written", "digests")
+    got = exact_dedup.exact_duplicates(docs, keep="largest").collect()
+    assert len(got) == len(rows) and len({r.text_sha256 for r in got}) == 101 == sum(r.kept for r in got)
+    size = {t: sum((u or "") == (t or "") for _, u in rows) for _, t in rows}
+    most = {t: max(i for i, u in rows if (u or "") == (t or "") and i is not None) for _, t in rows}
+    digest = {hashlib.sha256((t or "").encode()).hexdigest(): t for _, t in rows}
+    assert all((r.group_size, r.keep_id) == (size[digest[r.text_sha256]], most[digest[r.text_sha256]]) for r in got)
+    spark.conf.unset(SPLIT)
+    split_after(spark, monkeypatch, exact_dedup, "written", "digested")
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(docs, keep="largest").collect()) == sorted(set(most.values()))

@@ -250,17 +250,15 @@ def test_plain_ppm_and_blocks():
         plain.text(t.encode(), learn=True, score=False)
     want = [plain.text(t.encode(), learn=False) for t in tests]
     keys, counts = lmscore.counted(lmscore.symbols(*buffers(pa.array(train)))[0])
-    order0 = np.zeros(lmscore.SYMBOLS, np.int64)
-    np.add.at(order0, keys % lmscore.SYMBOLS, counts)
-    k, before, at = lmscore.symbols(*buffers(pa.array(tests)))
-    whole = lmscore.Trie(keys, counts, order0, (0, lmscore.SYMBOLS)).costs(k)
+    k, at = lmscore.symbols(*buffers(pa.array(tests)))
+    low = lmscore.Low(*lmscore.counted(keys % lmscore.SYMBOLS**lmscore.SHARED, counts))
+    whole = lmscore.Trie(keys, counts, low).costs(k)
     assert np.allclose(lmscore.sums_by_row(whole, at), want)
     parts = np.zeros(len(k))
-    last = keys // lmscore.SYMBOLS % lmscore.SYMBOLS
-    for lo in range(0, lmscore.SYMBOLS, 50):
-        hi = min(lmscore.SYMBOLS, lo + 50)
-        own, mine = (last >= lo) & (last < hi), (before >= lo) & (before < hi)
-        parts[mine] = lmscore.Trie(keys[own], counts[own], order0, (lo, hi)).costs(k[mine])
+    bucket = lambda x: x // lmscore.SYMBOLS % lmscore.SYMBOLS**lmscore.SHARED % 7
+    for b in range(7):
+        own, mine = bucket(keys) == b, bucket(k) == b
+        parts[mine] = lmscore.Trie(keys[own], counts[own], low).costs(k[mine])
     assert np.allclose(parts, whole)
     seen = sum(10 ** plain.cost([lmscore.END] * lmscore.ORDER, s) for s in range(lmscore.SYMBOLS))
     assert abs(seen - 1) < 1e-9  # a distribution
@@ -269,10 +267,17 @@ def test_plain_ppm_and_blocks():
 def test_lm_scores(stored, none):
     train = stored.filter("doc_id <> 5 OR doc_id IS NULL")
     got = lmscore.lm_scores(stored, train, [stored.doc_id], frequent=3).collect()
-    blocks = lmscore.lm_scores(stored, train, [stored.doc_id], block_nodes=20).collect()
+    blocks = lmscore.lm_scores(stored, train, [stored.doc_id], bucket_nodes=20, frequent_grams=50).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
     assert np.allclose([r.score for r in sorted(got, key=key)], [r.score for r in sorted(blocks, key=key)])
     assert np.allclose([r.base_score for r in sorted(got, key=key)], [r.base_score for r in sorted(blocks, key=key)])
+    plain = lmscore.PlainTrie()
+    for r in ODD:
+        if r[0] != 5:
+            plain.text((r[1] or "").encode(), learn=True, score=False)
+    for i in (1, 4, 5, 6, 7):
+        want = plain.text(next(r[1] or "" for r in ODD if r[0] == i).encode(), learn=False)
+        assert all(math.isclose(r.score, want, rel_tol=1e-9) for rows in (got, blocks) for r in rows if r.doc_id == i)
     tokens_of = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
     c = collections.Counter(w for r in ODD if r[0] != 5 for w in tokens_of(r[1]))
     n, v = sum(c.values()), len(c)
