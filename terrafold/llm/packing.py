@@ -9,6 +9,7 @@ is bounded by patterns, not by documents. Each piece then finds its place from i
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,8 +26,10 @@ from terrafold.llm.textbytes import slices
 from terrafold.llm.tokens import word_bpe
 
 CAPACITY = 2048
-#: Pieces that share one bucket of a length, about; ranks within a length are counted by bucket, however frequent it is.
+#: Sequences of a range, about, in which sequences are numbered by position.
 BUCKET_ROWS = 500
+#: Patterns are made of at most so many different lengths, the most frequent ones; others are left to best fit.
+MOST_LENGTHS = 2048
 #: Most ranges in which sequences are numbered by position.
 MOST_RANGES = 4096
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -128,7 +131,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[in
     if left[capacity]:
         groups.append((int(left[capacity]), [(capacity, 1)]))
         left[capacity] = 0
-    shapes = patterns(np.flatnonzero(left), capacity)
+    frequent = np.argsort(-left, kind="stable")[:MOST_LENGTHS]
+    shapes = patterns(np.sort(frequent[left[frequent] > 0]), capacity)
     if len(shapes):
         fitted = np.rint(fit(shapes, left.astype(float))).astype(np.int64)
         chosen = np.flatnonzero(fitted)
@@ -218,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
     if order:
         return _in_order(found, groups, histogram)
     table = spark.sparkContext.broadcast(places(groups))  # bounded by the number of patterns
-    shares = spark.createDataFrame([(k, max(1, int(n) // BUCKET_ROWS)) for k, n in enumerate(histogram.tolist()) if n], "length long, buckets int")
+    shares = spark.createDataFrame(_buckets(histogram), "length long, buckets int")
     marked = found.join(F.broadcast(shares), "length")  # at most `capacity` rows
     marked = marked.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.col("buckets")).cast("int")).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -241,10 +245,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, text: str =
     return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
+def _buckets(histogram: np.ndarray) -> list[tuple[int, int]]:
+    """For each length, into how many buckets its n pieces are dealt to be ranked: the root of n, so that neither the pieces of
+    a bucket nor the buckets of a length, which one task each counts, are more than about that."""
+    return [(k, max(1, math.isqrt(int(n)))) for k, n in enumerate(histogram.tolist()) if n]
+
+
 def _ranked(rows: DataFrame, share: Column, keys: list[str], histogram: np.ndarray) -> DataFrame:
     """rows with `rank`, from 0 in their length by (share, keys); share is from 0 to 1 and cuts a length into buckets."""
-    sizes = [(k, max(1, int(n) // BUCKET_ROWS)) for k, n in enumerate(histogram.tolist()) if n]
-    shares = rows.sparkSession.createDataFrame(sizes, "length long, buckets int")  # at most `capacity` rows
+    shares = rows.sparkSession.createDataFrame(_buckets(histogram), "length long, buckets int")  # at most `capacity` rows
     marked = rows.join(F.broadcast(shares), "length").withColumn("_share", share)
     marked = marked.withColumn("bucket", F.least(F.floor(F.col("_share") * F.col("buckets")).cast("int"), F.col("buckets") - 1))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
