@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from fractions import Fraction
+from pathlib import Path
 
 
 class ConfigError(ValueError):
@@ -134,3 +135,70 @@ UNKNOWN, DRIVABLE, TERRAIN, STATIC, DYNAMIC = range(5)
 NO_DATA = -32768
 Z_LIMIT = 32767
 FLAG_GROUND, FLAG_OBSTACLE, FLAG_OVERHANG, FLAG_TRAVERSABLE, FLAG_KERB, FLAG_STEEP, FLAG_LOW, FLAG_POTHOLE = (1 << k for k in range(8))
+
+
+def _read(path: Path) -> dict:
+    import yaml
+
+    try:
+        found = yaml.safe_load(path.read_text(encoding="utf-8"))
+    except (OSError, yaml.YAMLError) as e:
+        raise ConfigError(f"{path}: {e}") from e
+    if not isinstance(found, dict):
+        raise ConfigError(f"{path}: not a table of settings")
+    return found
+
+
+#: Settings of a folder's files: our name, file, path in the file, and how it is read.
+_SETTINGS = (
+    ("min_range_mm", "grid.yaml", ("min_range_m",), m_to_mm), ("bytes_per_voxel", "grid.yaml", ("bytes_per_voxel",), int), ("contact_height_mm", "grid.yaml", ("contact_height_m",), m_to_mm),
+    ("max_slope_deg", "derived.yaml", ("max_slope_deg",), float), ("kerb_min_mm", "derived.yaml", ("kerb_min_m",), m_to_mm), ("kerb_max_mm", "derived.yaml", ("kerb_max_m",), m_to_mm),
+    ("obstacle_step_mm", "derived.yaml", ("obstacle_step_m",), m_to_mm), ("min_points_step", "derived.yaml", ("min_points_step",), int),
+    ("vehicle_height_mm", "derived.yaml", ("vehicle_height_m",), m_to_mm), ("clearance_margin_mm", "derived.yaml", ("clearance_margin_m",), m_to_mm),
+    ("window", "motion.yaml", ("window",), int), ("tau0_m", "motion.yaml", ("tau0_m",), float), ("tau1_rel", "motion.yaml", ("tau1_rel",), float),
+    ("eps0_m", "motion.yaml", ("cluster", "eps0_m"), float), ("eps1_rel", "motion.yaml", ("cluster", "eps1_rel"), float), ("min_points", "motion.yaml", ("cluster", "min_points"), int),
+    ("vote_share", "motion.yaml", ("vote", "vote_frac"), float), ("vote_points", "motion.yaml", ("vote", "vote_min_points"), int), ("angle_step_deg", "motion.yaml", ("box", "angle_step_deg"), float),
+)
+
+
+def load(folder: str | Path) -> tuple[Preset, dict[str, Preset], Settings]:
+    """The active preset, all presets and the settings of a folder with grid.yaml, derived.yaml and motion.yaml.
+
+    Missing files and settings keep their defaults, but grid.yaml must be there. All presets and the files together are
+    checked: the active preset exists and ends at the extent, kerbs are lower than obstacles, shares lie between 0 and 1.
+    """
+    folder = Path(folder)
+    files = {name: _read(folder / name) if name == "grid.yaml" or (folder / name).exists() else {} for name in ("grid.yaml", "derived.yaml", "motion.yaml")}
+    values = {}
+    for ours, name, path, kind in _SETTINGS:
+        found = files[name]
+        for step in path:
+            found = found.get(step) if isinstance(found, dict) else None
+        if found is not None:
+            try:
+                values[ours] = kind(found)
+            except (TypeError, ValueError) as e:
+                raise ConfigError(f"{folder / name}: {'.'.join(path)}: {e}") from e
+    grid = files["grid.yaml"]
+    rule = grid.get("class_thresholds", {})
+    shares = {k: Fraction(str(rule.get(f"{n}_min_frac", "0.2"))) for k, n in (("dyn_share", "dyn"), ("obs_share", "obs"))}
+    settings = Settings(thresholds=Thresholds(int(rule.get("dyn_min_points", 2)), shares["dyn_share"], int(rule.get("obs_min_points", 2)), shares["obs_share"]), **values)
+    if "z_range_m" in grid:
+        settings = replace(settings, z_range_mm=tuple(m_to_mm(v) for v in grid["z_range_m"]))
+    try:
+        presets = {n: Preset.of(n, *((m_to_mm(r["r"]), m_to_mm(r["cell"])) for r in p["rings"])) for n, p in grid.get("presets", {}).items()} or PRESETS
+    except (KeyError, TypeError) as e:
+        raise ConfigError(f"{folder / 'grid.yaml'}: presets: {e}") from e
+    for p in presets.values():
+        p.validated()
+    active = grid.get("active_preset", next(iter(presets)))
+    if active not in presets:
+        raise ConfigError(f"active preset {active!r} isn't among the presets")
+    presets[active].validated(m_to_mm(grid["extent_m"]) if "extent_m" in grid else None)
+    if not settings.kerb_min_mm <= settings.kerb_max_mm <= settings.obstacle_step_mm:
+        raise ConfigError("kerbs must be lower than obstacles, and their least height no more than their greatest")
+    if not (0 <= settings.vote_share <= 1 and all(0 <= s <= 1 for s in shares.values())):
+        raise ConfigError("shares lie between 0 and 1")
+    if settings.z_range_mm[0] >= settings.z_range_mm[1] or settings.window % 2 == 0:
+        raise ConfigError("heights must rise, and windows have a middle")
+    return presets[active], presets, settings

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrafold.config import DEFAULTS, Settings
 from terrafold.shipping import ship_package
+from terrafold.storage import written
 
 
 def _buckets(df: DataFrame, side: float) -> DataFrame:
@@ -33,27 +34,31 @@ def radius_join(points: DataFrame, most: float, eps: Column, keys: Sequence[str]
     return met.withColumn("d2", d2).filter(F.col("d2") <= F.col("_eps") * F.col("_eps")).select(*keys, "pid", "other", "d2")
 
 
-def nearest(left: DataFrame, right: DataFrame, side: float, keys: Sequence[str] = ("frame",), rounds: int = 12) -> DataFrame:
-    """pid and distance of each left point's nearest right point of its key; left points without any have no row.
+def nearest(left: DataFrame, right: DataFrame, side: float, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """pid and distance of each left point's nearest right point of its key; left points of keys without right points have no row.
 
     A point asks the 27 cubes around it. What it finds within one cube's side is nearest for certain; points that find
-    nothing so near ask again with cubes twice as large, until all are answered.
+    nothing so near ask again with cubes twice as large, until all are answered, however far that is. The points left are
+    written after each round, so plans don't grow with rounds.
     """
-    todo, out = left.select(*keys, "pid", *(F.col(c).cast("double").alias(c) for c in "xyz")), None
+    names = [*keys, "pid"]
     there = right.select(*keys, *(F.col(c).cast("double").alias(f"o{c}") for c in "xyz"))
-    for k in range(rounds):
-        size = side * 2**k
+    todo = left.select(*names, *(F.col(c).cast("double").alias(c) for c in "xyz")).join(there.select(*keys).distinct(), [*keys], "left_semi")
+    shift = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
+    out, size = None, side
+    while True:
         far = there.withColumns({f"b{c}": F.floor(F.col(f"o{c}") / size) for c in "xyz"})
-        shift = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)))
         sent = _buckets(todo, size).withColumn("_s", F.explode(shift))
         sent = sent.withColumns({"bx": F.col("bx") + F.col("_s.a"), "by": F.col("by") + F.col("_s.b"), "bz": F.col("bz") + F.col("_s.c")})
         d2 = sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-        got = sent.join(far, [*keys, "bx", "by", "bz"]).groupBy(*keys, "pid").agg(F.min(d2).alias("d2"))
-        sure = got.filter(F.col("d2") <= size * size).select(*keys, "pid", F.sqrt("d2").alias("distance"))
+        got = sent.join(far, [*keys, "bx", "by", "bz"]).groupBy(*names).agg(F.min(d2).alias("_d2")).filter(F.col("_d2") <= size * size)
+        both = written(todo.join(got, names, "left"), "nearest")
+        sure = both.filter("_d2 IS NOT NULL").select(*names, F.sqrt("_d2").alias("distance"))
         out = sure if out is None else out.unionByName(sure)
-        if k + 1 < rounds:
-            todo = todo.join(sure, [*keys, "pid"], "left_anti")
-    return out
+        todo = both.filter("_d2 IS NULL").drop("_d2")
+        if todo.isEmpty():
+            return out
+        size *= 2
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,26 +74,32 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _near(xyz: np.ndarray, eps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j), i included, with j within eps[i] of i, by a sort on cubes."""
-    side = max(float(eps.max()), 1e-9)
+def _near(xyz: np.ndarray, eps: np.ndarray, most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j), i included, with j within eps[i] of i, by a sort on cubes; at most about `most` candidates at a time."""
+    side = max(float(eps.max(initial=0.0)), 1e-9)
     cube = np.floor(xyz / side).astype(np.int64)
-    cube -= cube.min(0) - 1
-    dims = cube.max(0) + 2
+    if len(cube):
+        cube -= cube.min(0) - 1
+    dims = cube.max(0) + 2 if len(cube) else np.ones(3, np.int64)
     key = (cube[:, 0] * dims[1] + cube[:, 1]) * dims[2] + cube[:, 2]
     order = np.argsort(key, kind="stable")
     ordered = key[order]
-    first, second = [], []
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a in (-1, 0, 1):
         for b in (-1, 0, 1):
             target = key + (a * dims[1] + b) * dims[2]
             lo, hi = np.searchsorted(ordered, target - 1), np.searchsorted(ordered, target + 1, "right")
-            n = hi - lo
-            i = np.repeat(np.arange(len(xyz)), n)
-            j = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            near = ((xyz[i] - xyz[j]) ** 2).sum(1) <= eps[i] ** 2
-            first.append(i[near])
-            second.append(j[near])
+            total = np.concatenate([[0], np.cumsum(hi - lo)])
+            at = 0
+            while at < len(xyz):
+                to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+                n = hi[at:to] - lo[at:to]
+                i = np.repeat(np.arange(at, to), n)
+                j = order[np.repeat(lo[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                near = ((xyz[i] - xyz[j]) ** 2).sum(1) <= eps[i] ** 2
+                first.append(i[near])
+                second.append(j[near])
+                at = to
     return np.concatenate(first), np.concatenate(second)
 
 

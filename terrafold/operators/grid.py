@@ -24,13 +24,33 @@ def reach(x: Column, y: Column) -> Column:
     return F.greatest(x, -x - 1, y, -y - 1)
 
 
+def measured(points: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """All points with x_mm, y_mm, z_mm, z_saturated and `ok`: finite and not from the vehicle itself. Coordinates of the
+    others are null. z saturates at Z_LIMIT, x and y at 32 bits."""
+    x, y, z = (F.col(k).cast("double") for k in "xyz")
+    ok = F.coalesce(finite(x, y, z) & ((x * x + y * y) * 1e6 >= settings.min_range_mm**2), F.lit(False))
+    out = points.withColumn("ok", ok)
+    mm = {f"{n}_mm": F.when(F.col("ok"), quantised(c)) for n, c in (("x", x), ("y", y), ("z", z))}
+    out = out.withColumns(mm).withColumn("z_saturated", F.coalesce(F.abs("z_mm") > Z_LIMIT, F.lit(False)))
+    limits = {"x_mm": 2**31 - 1, "y_mm": 2**31 - 1, "z_mm": Z_LIMIT}
+    return out.withColumns({c: F.when(F.col("ok"), clamped(F.col(c), most)) for c, most in limits.items()})
+
+
 def quantise(points: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """x, y, z in metres to x_mm, y_mm, z_mm. Non-finite points and returns from the vehicle itself go; z saturates."""
-    x, y, z = (F.col(k).cast("double") for k in "xyz")
-    far = (x * x + y * y) * 1e6 >= settings.min_range_mm**2
-    z_mm = quantised(z)
-    out = points.filter(finite(x, y, z)).filter(far)
-    return out.withColumns({"x_mm": quantised(x), "y_mm": quantised(y), "z_mm": clamped(z_mm, Z_LIMIT), "z_saturated": F.abs(z_mm) > Z_LIMIT})
+    return measured(points, settings).filter("ok").drop("ok")
+
+
+def strict_mm(metres: Column) -> Column:
+    """Whole millimetres of a finite length within 32 bits; any other is an error."""
+    m = metres.cast("double")
+    fine = finite(m) & (F.abs(F.rint(m * 1000)) <= 2**31 - 1)
+    return F.when(fine, quantised(m)).otherwise(F.raise_error(F.lit("a length isn't finite or beyond 32 bits of millimetres")).cast("bigint"))
+
+
+def in_box(points: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
+    """Points in a box (x from, to, y from, to, mm), its edges included."""
+    return points.filter(F.col("x_mm").between(box[0], box[1]) & F.col("y_mm").between(box[2], box[3]))
 
 
 def locate(points: DataFrame, preset: Preset, keep_outside: bool = False) -> DataFrame:
@@ -46,6 +66,30 @@ def locate(points: DataFrame, preset: Preset, keep_outside: bool = False) -> Dat
     return out if keep_outside else out.filter("ring IS NOT NULL")
 
 
+def locate_many(points: DataFrame, presets: Sequence[Preset]) -> DataFrame:
+    """points once for each preset that holds them, with preset, ring, ix, iy: all presets in one scan."""
+    x, y = big(F.col("x_mm")), big(F.col("y_mm"))
+    m = reach(x, y)
+    spots = []
+    for p in presets:
+        spot = F.lit(None)
+        for k, r in reversed(list(enumerate(p.rings))):
+            here = F.struct(F.lit(p.name).alias("preset"), F.lit(k).alias("ring"), (floor_div(x, r.cell) + r.offset).alias("ix"), (floor_div(y, r.cell) + r.offset).alias("iy"))
+            spot = F.when(m < r.r, here).otherwise(spot)
+        spots.append(spot)
+    out = points.withColumn("_at", F.explode(F.array_compact(F.array(*spots))))
+    return out.select(*points.columns, "_at.preset", "_at.ring", "_at.ix", "_at.iy")
+
+
+def by_preset(presets: Sequence[Preset], value) -> Column:
+    """value(preset, k, ring) for the preset and ring that a row names."""
+    out = F.when(F.lit(False), big(0))
+    for p in presets:
+        for k, r in enumerate(p.rings):
+            out = out.when((F.col("preset") == p.name) & (F.col("ring") == k), big(value(p, k, r)))
+    return out
+
+
 def per_ring(preset: Preset, value, ring: str = "ring") -> Column:
     """value(k, ring) for the ring that a row names."""
     out = F.when(F.lit(False), big(0))
@@ -112,11 +156,32 @@ def coarsened(accumulators: DataFrame, factor: int, keys: Sequence[str] = ("fram
 
 
 def counters(points: DataFrame, preset: Preset, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """Points of each frame, in and out of the grid; the two add up to all."""
-    inside = reach(big(F.col("x_mm")), big(F.col("y_mm"))) < preset.rings[-1].r
+    """n_raw, n_invalid, n_in_grid, n_out_of_grid and n_z_saturated of each frame of measured() points. Every point is
+    invalid, in or out of the grid; conserved() asserts that. Points without the columns ok or z_saturated are all valid, or not saturated."""
+    ok, saturated = (F.col(c) if c in points.columns else F.lit(default) for c, default in (("ok", True), ("z_saturated", False)))
+    inside = F.coalesce(reach(big(F.col("x_mm")), big(F.col("y_mm"))) < preset.rings[-1].r, F.lit(False))
     return points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_raw"), F.count_if(inside).alias("n_in_grid"), F.count_if(~inside).alias("n_out_of_grid"), F.count_if(F.abs("z_mm") > Z_LIMIT).alias("n_saturated")
-    )
+        F.count(F.lit(1)).alias("n_raw"), F.count_if(~ok).alias("n_invalid"), F.count_if(ok & inside).alias("n_in_grid"),
+        F.count_if(ok & ~inside).alias("n_out_of_grid"), F.count_if(ok & saturated).alias("n_z_saturated"),
+    )
+
+
+def conserved(counts: DataFrame, cells: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """counters() with an error if points got lost: between them, or between them and the counts of accumulate()d cells."""
+    held = cells.groupBy(*keys).agg(F.sum("n").alias("_held"))
+    out = counts.join(held, [*keys], "left")
+    fine = (F.col("n_raw") == F.col("n_invalid") + F.col("n_in_grid") + F.col("n_out_of_grid")) & (F.col("n_in_grid") == F.coalesce("_held", F.lit(0)))
+    return out.withColumn("n_in_grid", F.when(fine, F.col("n_in_grid")).otherwise(F.raise_error(F.lit("points got lost")).cast("bigint"))).drop("_held")
+
+
+#: The largest counts of a cell that compact storage holds, by column; sums of heights and confidence have 32 bits.
+LIMITS = {"n": 2**32 - 1, "n0": 65535, "n1": 65535, "n2": 65535, "n3": 65535, "n4": 65535, "n_moving": 65535, "conf_sum": 2**32 - 1}
+
+
+def guarded(accumulators: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """accumulators, with an error instead of a count that compact storage would wrap."""
+    over = F.greatest(*(F.when(F.col(c) > most, F.lit(1)).otherwise(0) for c, most in limits.items())) > 0
+    return accumulators.withColumn("n", F.when(over, F.raise_error(F.lit("a cell's count exceeds its storage")).cast("bigint")).otherwise(F.col("n")))
 
 
 def safety_class(settings: Settings = DEFAULTS) -> Column:

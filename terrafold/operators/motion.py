@@ -45,10 +45,9 @@ def rotation_degrees(m: Column) -> Column:
 
 def lagged_frames(frames: DataFrame, gaps: Sequence[int], keys: Sequence[str] = ("seq",)) -> DataFrame:
     """Each frame beside the frame `gap` before it, for several gaps in one join; frames without one are absent."""
-    now = frames.withColumn("gap", F.explode(F.array(*map(F.lit, gaps))))
-    before = frames.select(*keys, F.col("frame").alias("_f"), *(F.col(c).alias(f"prev_{c}") for c in frames.columns if c not in keys))
-    on = [*keys, "_f"]
-    return now.withColumn("_f", F.col("frame") - F.col("gap")).join(before, on).drop("_f")
+    now = frames.withColumn("gap", F.explode(F.array(*map(F.lit, gaps)))).withColumn("prev_frame", F.col("frame") - F.col("gap"))
+    before = frames.select(*keys, *(F.col(c).alias(f"prev_{c}") for c in frames.columns if c not in keys))
+    return now.join(before, [*keys, "prev_frame"])
 
 
 def continuity(frames: DataFrame, keys: Sequence[str] = ("seq",)) -> DataFrame:
@@ -79,24 +78,38 @@ def range_image(points: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFram
     return points.filter("valid").groupBy(*keys, "v", "u").agg(F.min("r").alias("r"))
 
 
+def around_pixels(image: DataFrame, keys: Sequence[str] = ("frame",), height: int = 64, width: int = 1024, window: int = DEFAULTS.window) -> DataFrame:
+    """For each pixel the ranges that the image has in the window around it, in `near` as (k, r), k by row, then column.
+
+    Rows are clipped, columns wrap around. An image has few pixels for each frame, so its pixels go to their neighbours once
+    and points need only their own.
+    """
+    half = window // 2
+    side = range(-half, half + 1)
+    # A pixel of row v is read from row v + a by the offset dv if v + a + dv, clipped, is v; mostly a = -dv.
+    sent = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(dv).alias("dv"), F.lit(du).alias("du")) for a in side for dv in side for du in side)))
+    out = image.withColumn("_s", sent).withColumn("_v", F.col("v") + F.col("_s.a"))
+    met = F.least(F.greatest(F.col("_v") + F.col("_s.dv"), F.lit(0)), F.lit(height - 1)) == F.col("v")
+    out = out.filter(F.col("_v").between(0, height - 1) & met)
+    k = (F.col("_s.dv") + half) * window + F.col("_s.du") + half
+    return out.groupBy(*keys, F.col("_v").alias("v"), F.pmod(F.col("u") - F.col("_s.du"), F.lit(width)).alias("u")).agg(F.collect_list(F.struct(k.alias("k"), "r")).alias("near"))
+
+
 def residual_votes(now: DataFrame, image: DataFrame, keys: Sequence[str] = ("frame",), height: int = 64, width: int = 1024, settings: Settings = DEFAULTS, occlusion: bool = False) -> DataFrame:
     """now (with pid, r, u, v, valid) and a vote: the range of the image's pixels around each point that is closest to
     its own decides: 1 moving if farther than the tolerance, 0 if not, -1 if no pixel there has a range.
 
-    Rows are clipped, columns wrap around. Points go to their neighbours' pixels, so this is one equi-join. On equal
-    differences the first pixel in row, then column order decides.
+    On equal differences the first pixel in row, then column order decides. One equi-join on the points' own pixels.
     """
-    half = settings.window // 2
-    around = [F.struct(F.lit(k).alias("k"), F.lit(dv).alias("dv"), F.lit(du).alias("du")) for k, (dv, du) in enumerate((a, b) for a in range(-half, half + 1) for b in range(-half, half + 1))]
-    seen = now.filter("valid").select(*keys, "pid", F.col("r").alias("_r"), "u", "v", F.explode(F.array(*around)).alias("_d"))
-    seen = seen.select(*keys, "pid", "_r", F.col("_d.k").alias("_k"), F.least(F.greatest(F.col("v") + F.col("_d.dv"), F.lit(0)), F.lit(height - 1)).alias("v"), F.pmod(F.col("u") + F.col("_d.du"), F.lit(width)).alias("u"))
-    met = seen.join(image, [*keys, "v", "u"])
-    best = met.groupBy(*keys, "pid").agg(F.min(F.struct(F.abs(F.col("_r") - F.col("r")).alias("diff"), F.col("_k").alias("k"), F.col("r").alias("prev"))).alias("_b"))
-    tau = settings.tau0_m + settings.tau1_rel * F.col("r")
+    near = around_pixels(image, keys, height, width, settings.window)
+    met = now.join(near, [*keys, "v", "u"], "left")
+    r = F.col("r")
+    best = F.when(F.col("valid"), F.array_min(F.transform("near", lambda p: F.struct(F.abs(r - p["r"]).alias("diff"), p["k"].alias("k"), p["r"].alias("prev")))))
+    tau = settings.tau0_m + settings.tau1_rel * r
     vote = F.when(F.col("_b").isNull(), -1).when(F.col("_b.diff") <= tau, 0)
     if occlusion:
-        vote = vote.when(F.col("_b.prev") < F.col("r") - tau, 0)
-    return now.join(best, [*keys, "pid"], "left").withColumn("vote", vote.otherwise(1)).drop("_b")
+        vote = vote.when(F.col("_b.prev") < r - tau, 0)
+    return met.withColumn("_b", best).withColumn("vote", vote.otherwise(1)).select(*now.columns, "vote")
 
 
 def joined_votes(votes: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
@@ -105,9 +118,9 @@ def joined_votes(votes: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFram
 
 
 def cluster_verdicts(points: DataFrame, keys: Sequence[str] = ("frame",), settings: Settings = DEFAULTS) -> DataFrame:
-    """For each cluster the points, those that vote moving, and the verdict: enough of them, in number and in share."""
+    """For each cluster the points, those that vote moving, and the verdict: enough that do, in number and in share."""
     out = points.filter("cluster >= 0").groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vote") == 1).alias("n_moving"))
-    return out.withColumn("is_moving", (F.col("n") >= settings.vote_points) & (F.col("n_moving") >= settings.vote_share * F.col("n")))
+    return out.withColumn("is_moving", (F.col("n_moving") >= settings.vote_points) & (F.col("n_moving") >= settings.vote_share * F.col("n")))
 
 
 def with_verdicts(points: DataFrame, verdicts: DataFrame, keys: Sequence[str] = ("frame",), critical: str = "critical") -> DataFrame:

@@ -7,13 +7,15 @@ neighbour values together, where a join on shifted addresses would pair whole ri
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.config import DEFAULTS, DRIVABLE, FLAG_GROUND, FLAG_KERB, FLAG_LOW, FLAG_OBSTACLE, FLAG_OVERHANG, FLAG_POTHOLE, FLAG_STEEP, FLAG_TRAVERSABLE, NO_DATA, UNKNOWN, Preset, Settings
+from terrafold.config import DEFAULTS, DRIVABLE, FLAG_GROUND, FLAG_KERB, FLAG_LOW, FLAG_OBSTACLE, FLAG_OVERHANG, FLAG_POTHOLE, FLAG_STEEP, FLAG_TRAVERSABLE, NO_DATA, UNKNOWN, Preset, Settings, Thresholds
 from terrafold.functions.integers import big, floor_div, half_up
-from terrafold.operators.grid import is_logical, per_ring
+from terrafold.operators.grid import accumulate, finalised, in_box, is_logical, locate_many, per_ring
 
 _SIDES = {"l": (-1, 0), "r": (1, 0), "d": (0, -1), "u": (0, 1)}
 
@@ -148,3 +150,44 @@ def padded_border(cells: DataFrame, preset: Preset, k: int, keys: Sequence[str]
     border = border.select(F.col("ix").alias("bx"), F.col("iy").alias("by"), *((floor_div(v, outer.cell) + outer.offset).alias(c) for c, v in centre.items()))
     coarse = cells.filter(F.col("ring") == k + 1)
     return coarse.join(F.broadcast(border), ["ix", "iy"]).select(*keys, F.col("bx").alias("ix"), F.col("by").alias("iy"), "cls", "ground_z", "top_z", "count", "flags")
+
+
+#: The shares of points that decide a cell's class in zoomed windows.
+ZOOM = replace(DEFAULTS, thresholds=Thresholds(dyn_share=Fraction(3, 10), obs_share=Fraction(3, 10)))
+
+
+def zoomed(points: DataFrame, box: tuple[int, int, int, int], sizes: Sequence[int] = (50, 200), keys: Sequence[str] = ("frame",), settings: Settings = ZOOM) -> DataFrame:
+    """A window (x from, to, y from, to, mm, closed) in cells of several sizes around its middle, all in one scan: finalised
+    cells with preset (the size), step_mm and kerb in their flags. The extent is half the longer side and half a metre,
+    rounded up to whole cells."""
+    x0, x1, y0, y1 = box
+    half = -(-max(x1 - x0, y1 - y0) // 2) + 500
+    presets = [Preset.of(str(c), (-(-half // c) * c, c)) for c in sizes]
+    centred = in_box(points, box).withColumns({"x_mm": F.col("x_mm") - (x0 + x1) // 2, "y_mm": F.col("y_mm") - (y0 + y1) // 2})
+    own = [*keys, "preset"]
+    cells = with_neighbours(finalised(accumulate(locate_many(centred, presets), own), settings), own).withColumn("step_mm", step_height(settings))
+    kerb = has(FLAG_GROUND) & F.col("step_mm").between(settings.kerb_min_mm, settings.kerb_max_mm)
+    flags = F.col("flags").bitwiseOR(F.when(kerb, FLAG_KERB).otherwise(0))
+    return cells.withColumn("flags", flags).drop(*(f"{v}_{s}" for v in ("gz", "n") for s in _SIDES))
+
+
+def zoom_verdicts(window: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """For each size of zoomed() cells: how many cells, how many with ground, and whether any shows a kerb."""
+    return window.groupBy(*keys, F.col("preset").cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("cells"), F.count_if(has(FLAG_GROUND)).alias("ground"), F.bool_or(has(FLAG_KERB)).alias("any_kerb"))
+
+
+#: The eight cells around a cell.
+EIGHT = {f"s{k}": s for k, s in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0))}
+
+
+def best_window(cells: DataFrame, preset: Preset, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Of each frame the cell with ground of the outermost ring with the most confidence, the first in row order on ties: ix, iy, conf."""
+    last = len(preset.rings) - 1
+    place = F.col("iy") * preset.rings[last].side + F.col("ix")
+    best = F.max_by(F.struct("ix", "iy", "conf"), F.struct("conf", -place)).alias("_b")
+    return cells.filter((F.col("ring") == last) & has(FLAG_GROUND)).groupBy(*keys).agg(best).select(*keys, "_b.ix", "_b.iy", "_b.conf")
+
+
+def cell_at(cells: DataFrame, ring: int, ix: int, iy: int) -> DataFrame:
+    """The cell at a place, in every frame that has it."""
+    return cells.filter((F.col("ring") == ring) & (F.col("ix") == ix) & (F.col("iy") == iy))

@@ -1,25 +1,25 @@
 """Tracks of objects from frame to frame, and a world map that remembers static ground.
 
-Both keep state. Each is one plain function that folds a frame into a state; batches fold a sequence's frames in order,
-streams call the same function, so the two agree.
+Both keep state. Tracks fold frame by frame with one function, which batches and streams call. The map folds ranges of
+frames: what a range brings is joined to the map so far and folded in SQL, and a stream's batches are such ranges.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.config import DYNAMIC, FLAG_OBSTACLE, NO_DATA, Preset
-from terrafold.operators.grid import corners
+from terrafold.functions.labels import VULNERABLE
+from terrafold.operators.grid import all_cells, corners
 from terrafold.shipping import ship_package
-
-#: Vulnerable road users by name, at rest and moving.
-VULNERABLE = frozenset(f"{m}{n}" for n in ("person", "bicyclist", "motorcyclist") for m in ("", "moving-"))
+from terrafold.storage import written
 
 
 @dataclass(frozen=True)
@@ -36,74 +36,114 @@ class TrackSettings:
 
 @dataclass
 class TrackState:
-    """Tracks as dicts (id, name, centre, history, missed, velocity, instance), and the id of the next one."""
-
-    tracks: list[dict] = field(default_factory=list)
+    """Tracks as arrays, one entry each: id, kind (the name without moving-), instance (-1: none), centre, velocity (not a
+    number: none), missed frames and, newest last, whether it moved in its last frames; the id of the next track; the last frame."""
+
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0, object))
+    instances: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    centres: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
+    velocities: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    missed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    moved: np.ndarray | None = None
     next_id: int = 1
     frame: int | None = None
 
-
-def _kind(name: str) -> str:
-    return name.removeprefix("moving-")
+    def kept(self, which: np.ndarray) -> None:
+        for name in ("ids", "kinds", "instances", "centres", "velocities", "missed", "moved"):
+            if getattr(self, name) is not None:
+                setattr(self, name, getattr(self, name)[which])
+
+    def overlooked(self, which: np.ndarray, most: int) -> None:
+        """These tracks weren't seen: they have no velocity any more, and end after more than `most` frames in a row."""
+        self.missed[which] += 1
+        self.velocities[which] = np.nan
+        self.kept(self.missed <= most)
+
+    def to_json(self) -> str:
+        lists = {k: getattr(self, k).tolist() for k in ("ids", "kinds", "instances", "centres", "missed")}
+        lists["velocities"] = [None if np.isnan(v).any() else v.tolist() for v in self.velocities]
+        return json.dumps(lists | {"moved": None if self.moved is None else self.moved.tolist(), "next_id": self.next_id, "frame": self.frame})
+
+    @classmethod
+    def from_json(cls, text: str) -> TrackState:
+        d = json.loads(text)
+        n = len(d["ids"])
+        velocities = np.array([[np.nan] * 2 if v is None else v for v in d["velocities"]], float).reshape(n, 2)
+        moved = None if d["moved"] is None else np.array(d["moved"], bool).reshape(n, -1)
+        whole = [np.array(d[k], np.int64) for k in ("ids", "instances", "missed")]
+        return cls(whole[0], np.array(d["kinds"], object), whole[1], np.array(d["centres"], float).reshape(n, 3), velocities, whole[2], moved, d["next_id"], d["frame"])
+
+
+def matched(apart: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """For each row the column it is paired with, or -1: of all allowed pairs the nearest first, each row and column once;
+    ties go to the first row, then column."""
+    left = np.where(allowed, apart, np.inf)
+    out = np.full(len(apart), -1)
+    while left.size and np.isfinite(left.min()):
+        i, j = np.unravel_index(left.argmin(), left.shape)
+        out[i] = j
+        left[i], left[:, j] = np.inf, np.inf
+    return out
 
 
 def fold_tracks(state: TrackState, objects: list[dict], pose: np.ndarray | None, dt: float, s: TrackSettings = TrackSettings()) -> list[dict]:
-    """Move the state on by one frame; returns the objects with track_id, moving, speed_mps and velocity.
+    """Move the state on by one frame; returns the objects with track_id, moving, speed_mps, vx and vy.
 
-    objects: name, x, y, z, moving, instance (or None). pose leads from the previous frame to this one; without one, or
-    without tracks, every object begins a track. Pairs of object and track are taken nearest first, within the gate, of
-    the same kind and not of different instances.
+    objects: name, x, y, z, moving, instance (or None). pose leads from the previous frame to this one; without it every
+    object begins a track. An object may go on with a track of its kind whose place, moved by pose, lies within the gate,
+    unless both have instances and these differ. An object moves if it says so, is a vulnerable road user, said so in
+    enough of its track's last frames, or, without an instance, is faster than the least speed since the frame before.
+    Velocities of what moves are smoothed, turned into this frame's axes; slow ones aren't told.
     """
     if not objects:
-        for t in state.tracks:
-            t["missed"] += 1
-            t["velocity"] = None
-        state.tracks = [t for t in state.tracks if t["missed"] <= s.missed]
+        state.overlooked(np.ones(len(state.ids), bool), s.missed)
         return []
+    n, old = len(objects), len(state.ids)
+    if state.moved is None:
+        state.moved = np.zeros((old, s.window), bool)
     centres = np.array([[o["x"], o["y"], o["z"]] for o in objects], float)
-    pairs: dict[int, int] = {}
-    moved = np.zeros((0, 3))
-    if pose is not None and state.tracks:
-        moved = np.array([t["centre"] for t in state.tracks]) @ pose[:3, :3].T + pose[:3, 3]
-        apart = np.linalg.norm(centres[:, None] - moved[None], axis=2)
-        free = np.ones(len(state.tracks), bool)
-        for k in np.argsort(apart, axis=None, kind="stable").tolist():
-            i, j = divmod(k, len(state.tracks))
-            if apart[i, j] > s.gate_m:
-                break
-            o, t = objects[i], state.tracks[j]
-            if i in pairs or not free[j] or _kind(o["name"]) != _kind(t["name"]) or (None not in (o["instance"], t["instance"]) and o["instance"] != t["instance"]):
-                continue
-            pairs[i], free[j] = j, False
-    had = len(state.tracks)
+    kinds = np.array([o["name"].removeprefix("moving-") for o in objects], object)
+    instances = np.array([-1 if o["instance"] is None else o["instance"] for o in objects], np.int64)
+    says = np.array([bool(o["moving"]) for o in objects])
+    pair = np.full(n, -1)
+    if pose is not None and old:
+        before = state.centres @ pose[:3, :3].T + pose[:3, 3]
+        apart = np.linalg.norm(centres[:, None] - before[None], axis=2)
+        clash = (instances[:, None] >= 0) & (state.instances[None] >= 0) & (instances[:, None] != state.instances[None])
+        pair = matched(apart, (apart <= s.gate_m) & (kinds[:, None] == state.kinds[None]) & ~clash)
+    i = np.flatnonzero(pair >= 0)
+    j = pair[i]
+    moving = says | np.array([o["name"] in VULNERABLE for o in objects])
+    velocity, told = np.full((n, 2), np.nan), np.zeros(n, bool)
+    if len(i):
+        in_row = state.missed[j] == 0
+        now = (centres[i] - before[j])[:, :2] / max(1e-4, dt)
+        history = np.concatenate([state.moved[j, 1:], says[i, None]], 1)
+        fast = (instances[i] < 0) & in_row & (np.linalg.norm(now, axis=1) >= s.least_mps)
+        moving[i] |= (history.sum(1) >= s.hits) | fast
+        was = state.velocities[j] @ pose[:2, :2].T
+        smooth = np.where(np.isnan(was), now, s.past * was + (1 - s.past) * now)
+        velocity[i] = np.where((moving[i] & in_row)[:, None], smooth, np.nan)
+        state.moved[j], state.velocities[j], state.centres[j] = history, velocity[i], centres[i]
+        state.instances[j], state.missed[j] = instances[i], 0
+        told[i] = np.nan_to_num(np.linalg.norm(velocity[i], axis=1)) >= s.least_mps
+    new = np.flatnonzero(pair < 0)
+    ids = np.zeros(n, np.int64)
+    ids[i], ids[new] = state.ids[j], state.next_id + np.arange(len(new))
+    first = np.zeros((len(new), s.window), bool)
+    first[:, -1] = says[new]
+    for name, more in (("ids", ids[new]), ("kinds", kinds[new]), ("instances", instances[new]), ("centres", centres[new]), ("velocities", np.full((len(new), 2), np.nan)), ("missed", np.zeros(len(new), np.int64)), ("moved", first)):
+        setattr(state, name, np.concatenate([getattr(state, name), more]))
+    state.next_id += len(new)
+    if pose is not None and old:
+        gone = np.zeros(len(state.ids), bool)
+        gone[np.setdiff1d(np.arange(old), j)] = True
+        state.overlooked(gone, s.missed)
     out = []
-    for i, o in enumerate(objects):
-        always = o["name"] in VULNERABLE
-        seen = {"track_id": None, "moving": bool(o["moving"] or always), "speed_mps": None, "vx": None, "vy": None}
-        if i in pairs:
-            t = state.tracks[pairs[i]]
-            in_row = t["missed"] == 0
-            v = (centres[i] - moved[pairs[i]])[:2] / max(1e-4, dt)
-            speed = float(np.linalg.norm(v))
-            t["history"] = [*t["history"], bool(o["moving"])][-s.window :]
-            seen["moving"] = bool(seen["moving"] or sum(t["history"]) >= s.hits or (o["instance"] is None and in_row and speed >= s.least_mps))
-            velocity = None
-            if seen["moving"] and in_row:
-                velocity = v if t["velocity"] is None else s.past * (pose[:2, :2] @ np.array(t["velocity"])) + (1 - s.past) * v
-                if (smooth := float(np.linalg.norm(velocity))) >= s.least_mps:
-                    seen |= {"speed_mps": smooth, "vx": float(velocity[0]), "vy": float(velocity[1])}
-            t |= {"velocity": None if velocity is None else velocity.tolist(), "centre": centres[i].tolist(), "name": o["name"], "instance": o["instance"], "missed": 0}
-        else:
-            t = {"id": state.next_id, "name": o["name"], "centre": centres[i].tolist(), "history": [bool(o["moving"])], "missed": 0, "velocity": None, "instance": o["instance"]}
-            state.next_id += 1
-            state.tracks.append(t)
-        seen["track_id"] = t["id"]
-        out.append(o | seen)
-    if moved.size:
-        for j in set(range(had)) - set(pairs.values()):
-            state.tracks[j]["missed"] += 1
-            state.tracks[j]["velocity"] = None
-        state.tracks = [t for t in state.tracks if t["missed"] <= s.missed]
+    for k, o in enumerate(objects):
+        vx, vy = velocity[k].tolist() if told[k] else (None, None)
+        out.append(o | {"track_id": int(ids[k]), "moving": bool(moving[k]), "speed_mps": float(np.hypot(vx, vy)) if told[k] else None, "vx": vx, "vy": vy})
     return out
 
 
@@ -112,7 +152,7 @@ TRACKED = "seq string, frame int, obj long, track_id long, moving boolean, speed
 
 def _fold_frame(state: TrackState, key: str, frame: int, rows: pd.DataFrame) -> list[dict]:
     if state.frame is not None and frame != state.frame + 1:
-        state.tracks, state.next_id, state.frame = [], 1, None  # a jump begins anew
+        vars(state).update(vars(TrackState()))  # a jump begins anew
     first = rows.iloc[0]
     pose = None if state.frame is None or first["pose"] is None else np.array(first["pose"], float).reshape(4, 4)
     objects = [
@@ -143,20 +183,15 @@ def tracked(objects: DataFrame) -> DataFrame:
 
 def tracked_stream(objects: DataFrame) -> DataFrame:
     """tracked() over a stream whose batches hold whole frames in order; state is kept by sequence."""
-    import json
-
     ship_package(objects.sparkSession)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = TrackState()
-        if held.exists:
-            kept = json.loads(held.get[0])
-            state = TrackState(kept["tracks"], kept["next_id"], kept["frame"])
+        state = TrackState.from_json(held.get[0]) if held.exists else TrackState()
         rows = pd.concat(list(batches))
         out = []
         for frame, part in rows.sort_values(["frame", "obj"]).groupby("frame", sort=True):
             out += _fold_frame(state, key[0], int(frame), part)
-        held.update((json.dumps({"tracks": state.tracks, "next_id": state.next_id, "frame": state.frame}),))
+        held.update((state.to_json(),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
 
     return objects.groupBy("seq").applyInPandasWithState(run, TRACKED, "state string", "append", "NoTimeout")
@@ -172,6 +207,18 @@ def moving_by_hits(objects: DataFrame, window: int = 3, hits: int = 2, keys: Seq
 BLEND, LIFE, TRUST = 0.30, 60, 2
 
 
+def _in_world(cells: DataFrame, poses: DataFrame, cell_m: float, size: int, z: Column, keys: Sequence[str]) -> DataFrame:
+    """cells (with corners()) at row and col of the map; those outside it go."""
+    own = Window.partitionBy(*keys).orderBy("frame")
+    at = poses.withColumns({"ox": F.first(F.get("pose", F.lit(3))).over(own), "oy": F.first(F.get("pose", F.lit(7))).over(own)})
+    out = cells.join(at.select(*keys, "frame", "pose", "ox", "oy"), [*keys, "frame"])
+    x, y = F.col("xc_mm") / 1000.0, F.col("yc_mm") / 1000.0
+    m = lambda k: F.get("pose", F.lit(k))
+    place = lambda w, o: F.floor((w - F.col(o)) / cell_m + size / 2).cast("int")
+    out = out.withColumns({"col": place(m(0) * x + m(1) * y + m(2) * z + m(3), "ox"), "row": place(m(4) * x + m(5) * y + m(6) * z + m(7), "oy")})
+    return out.filter(F.col("col").between(0, size - 1) & F.col("row").between(0, size - 1)).drop("pose", "ox", "oy")
+
+
 def world_cells(cells: DataFrame, preset: Preset, poses: DataFrame, cell_m: float, size: int, keys: Sequence[str] = ("seq",)) -> DataFrame:
     """Static cells with ground of more than TRUST points, at their places in the map: row, col, by frame and ring.
 
@@ -179,14 +226,7 @@ def world_cells(cells: DataFrame, preset: Preset, poses: DataFrame, cell_m: floa
     in a frame and ring are one, the last in row order.
     """
     ok = (F.col("count") > TRUST) & (F.col("cls") != DYNAMIC) & (F.col("flags").bitwiseAND(FLAG_OBSTACLE) == 0) & (F.col("ground_z") != NO_DATA)
-    own = Window.partitionBy(*keys).orderBy("frame")
-    at = poses.withColumns({"ox": F.first(F.get("pose", F.lit(3))).over(own), "oy": F.first(F.get("pose", F.lit(7))).over(own)})
-    out = corners(cells.filter(ok), preset).join(F.broadcast(at) if poses.isStreaming else at, [*keys, "frame"])
-    x, y, z = ((F.col(c) / 1000.0) for c in ("xc_mm", "yc_mm", "ground_z"))
-    m = lambda k: F.get("pose", F.lit(k))
-    place = lambda w, o: F.floor((w - F.col(o)) / cell_m + size / 2).cast("int")
-    out = out.withColumns({"col": place(m(0) * x + m(1) * y + m(2) * z + m(3), "ox"), "row": place(m(4) * x + m(5) * y + m(6) * z + m(7), "oy")})
-    out = out.filter(F.col("col").between(0, size - 1) & F.col("row").between(0, size - 1))
+    out = _in_world(corners(cells.filter(ok), preset), poses, cell_m, size, F.col("ground_z") / 1000.0, keys)
     last = F.max_by(F.struct("ground_z", "top_z", "cls", "flags"), F.struct("iy", "ix"))
     return out.groupBy(*keys, "frame", "ring", "row", "col").agg(last.alias("v")).select(*keys, "frame", "ring", "row", "col", "v.*")
 
@@ -197,21 +237,94 @@ def _blended(new: Column, old: Column) -> Column:
     return F.greatest(F.lit(-32767), F.least(F.lit(32767), value)).cast("bigint")
 
 
-def world_map(observed: DataFrame, last_frame: Column | int, keys: Sequence[str] = ("seq",)) -> DataFrame:
-    """The map after last_frame, from world_cells(): heights blended in order of frame and ring, tops the highest, class
-    and flags the latest, age in frames; cells unseen for LIFE frames are gone.
+#: Frames of a range that is folded at once, and the columns of the map so far.
+RANGE_FRAMES = 64
+_KEPT = ("ground_z", "top_z", "cls", "flags", "last")
+
+
+def folded_world(observed: DataFrame, state: DataFrame | None, keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """The map so far, moved on by what world_cells() of later frames show: keys, row, col, ground_z, top_z, cls, flags, last
+    (the frame that last saw the cell).
 
-    A cell that expires and comes back begins anew: only what follows its last long gap counts.
+    Heights are blended in order of frame and ring, tops the highest, class and flags the latest. A cell that wasn't seen
+    for LIFE frames begins anew. A cell brings at most one entry for each frame and ring, so frames bound what is held.
     """
-    seen = Window.partitionBy(*keys, "row", "col").orderBy("frame", "ring")
-    gap = F.col("frame") - F.lag("frame").over(seen) >= LIFE
-    runs = observed.withColumn("_run", F.sum(F.when(gap, 1).otherwise(0)).over(seen))
-    one = F.sort_array(F.collect_list(F.struct("frame", "ring", "ground_z", "top_z", "cls", "flags")))  # at most a few a frame
-    groups = runs.groupBy(*keys, "row", "col", "_run").agg(one.alias("_o"))
-    groups = groups.groupBy(*keys, "row", "col").agg(F.max_by("_o", "_run").alias("_o"))
-    height = F.aggregate(F.slice("_o", 2, F.greatest(F.size("_o") - 1, F.lit(1))), F.get("_o", F.lit(0))["ground_z"].cast("bigint"), lambda acc, o: _blended(o["ground_z"], acc))
-    latest = F.element_at("_o", -1)
-    top = F.array_max(F.transform("_o", lambda o: o["top_z"]))
-    age = (F.lit(last_frame) if isinstance(last_frame, int) else last_frame) - latest["frame"] + 1
-    out = groups.select(*keys, "row", "col", height.alias("ground_z"), top.alias("top_z"), latest["cls"].alias("cls"), latest["flags"].alias("flags"), age.cast("int").alias("age"))
-    return out.filter(F.col("age") < LIFE)
+    at = [*keys, "row", "col"]
+    new = observed.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("frame", "ring", "ground_z", "top_z", "cls", "flags"))).alias("_o"))
+    whole = F.struct(*(F.col(c).cast(t).alias(c) for c, t in zip(_KEPT, ("bigint", "bigint", "int", "bigint", "int"), strict=True)))
+    if state is None:
+        both = new.withColumns({c: F.lit(None) for c in _KEPT})
+    else:
+        both = new.join(state, at, "full").withColumn("_o", F.coalesce("_o", F.from_json(F.lit("[]"), new.schema["_o"].dataType.simpleString())))
+
+    def seen(acc: Column, o: Column) -> Column:
+        fresh = acc["last"].isNull() | (o["frame"] - acc["last"] >= LIFE)
+        height = F.when(fresh, o["ground_z"].cast("bigint")).otherwise(_blended(o["ground_z"], acc["ground_z"]))
+        top = F.when(fresh, o["top_z"].cast("bigint")).otherwise(F.greatest(acc["top_z"], o["top_z"].cast("bigint")))
+        parts = (height, top, o["cls"].cast("int"), o["flags"].cast("bigint"), o["frame"].cast("int"))
+        return F.struct(*(v.alias(c) for c, v in zip(_KEPT, parts, strict=True)))
+
+    return both.select(*at, F.aggregate("_o", whole, seen).alias("_s")).select(*at, "_s.*")
+
+
+def _alive(state: DataFrame, last_frame: Column | int, keys: Sequence[str]) -> DataFrame:
+    age = ((F.lit(last_frame) if isinstance(last_frame, int) else last_frame) - F.col("last") + 1).cast("int")
+    return state.withColumn("age", age).filter(F.col("age") < LIFE).select(*keys, "row", "col", "ground_z", "top_z", "cls", "flags", "age")
+
+
+def world_map(observed: DataFrame, last_frame: Column | int, keys: Sequence[str] = ("seq",), range_frames: int = RANGE_FRAMES) -> DataFrame:
+    """The map after last_frame, from world_cells() of any number of frames: folded_world(), with age in frames; cells unseen
+    for LIFE frames are gone. Ranges of frames are folded one after the other, the map being written in between."""
+    low, high = observed.agg(F.min("frame"), F.max("frame")).first()
+    if low is None:
+        low = high = 0
+    state = None
+    for k in range(low, high + 1, range_frames):
+        part = observed if high - low < range_frames else observed.filter(F.col("frame").between(k, k + range_frames - 1))
+        state = folded_world(part, state, keys)
+        if k + range_frames <= high:
+            state = written(state, "world")
+    return _alive(state, last_frame, keys)
+
+
+class WorldMap:
+    """A map that grows with a stream: update() from foreachBatch with world_cells() of a batch of whole frames in order.
+
+    The map after each batch is a table under `path`, so a stream that begins again after a failure goes on from there, and
+    a batch that comes twice counts once. reset() forgets all, as after a seek.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("seq",)):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+        self.batch, self.base = -1, -1
+
+    def _read(self, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/batch={batch}")
+
+    def update(self, observed: DataFrame, batch: int) -> DataFrame:
+        state = None if batch - 1 <= self.base else self._read(batch - 1)
+        folded_world(observed, state, self.keys).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self.batch = batch
+        return self._read(batch)
+
+    def now(self, last_frame: int) -> DataFrame | None:
+        """The map as world_map() gives it; none before the first batch."""
+        return _alive(self._read(self.batch), last_frame, self.keys) if self.batch > self.base else None
+
+    def reset(self) -> None:
+        self.base = self.batch
+
+
+def backfilled(cells: DataFrame, world: DataFrame, preset: Preset, poses: DataFrame, cell_m: float, size: int, keys: Sequence[str] = ("seq",)) -> DataFrame:
+    """cells with the empty ones of each frame that the map knows: its ground_z, top_z, cls and flags, a count of 1, no
+    confidence; `filled` tells them. A cell's place in the map is that of its centre, moved by the frame's pose."""
+    at = [*keys, "frame", "ring", "ix", "iy"]
+    frames = cells.select(*keys, "frame").distinct()
+    empty = corners(all_cells(frames, preset).join(cells.select(*at), at, "left_anti"), preset)
+    placed = _in_world(empty, poses, cell_m, size, F.lit(0.0), keys)
+    found = placed.join(world, [*keys, "row", "col"])
+    values = {"cls": F.col("cls"), "ground_z": F.col("ground_z"), "top_z": F.col("top_z"), "flags": F.col("flags"), "count": F.lit(1), "clearance": F.lit(NO_DATA), "moving_frac": F.lit(0), "conf": F.lit(0)}
+    names = [c for c in cells.columns if c in at or c in values]
+    kinds = {f.name: f.dataType for f in cells.schema.fields}
+    filled = found.select(*(F.col(c) if c in at else values[c].cast(kinds[c]).alias(c) for c in names), F.lit(True).alias("filled"))
+    return cells.select(*names, F.lit(False).alias("filled")).unionByName(filled)

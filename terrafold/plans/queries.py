@@ -12,7 +12,9 @@ from terrafold.functions import labels as L
 from terrafold.functions.integers import quantised
 from terrafold.functions.ranges import bucket, bucket_label
 from terrafold.operators import clusters, grid, hazards, metrics, motion, stencil, tracking, voxels, wire
+from terrafold.pipeline import layers
 from terrafold.plans.pseudo import SCAN_SQL, scan, table
+from terrafold.sources import scans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,11 +70,14 @@ def _finalised(name: str, source: str, cls: str = SAFETY) -> str:
 
 
 CELLS_SQL = f"WITH {SCAN_SQL}, {_located('loc', TINY)}, {_accumulated('acc', 'loc')}, {_finalised('cells', 'acc')}"
-NEAR_SQL = f"""{CELLS_SQL},
-nb AS (SELECT c.*, {", ".join(f"CASE WHEN {s}.flags & 1 = 1 THEN {s}.ground_z END AS gz_{s}, {s}.count AS n_{s}" for s in "lrdu")} FROM cells c
-  {" ".join(f"LEFT JOIN cells {s} ON {s}.frame = c.frame AND {s}.ring = c.ring AND {s}.ix = c.ix + ({dx}) AND {s}.iy = c.iy + ({dy})" for s, (dx, dy) in {"l": (-1, 0), "r": (1, 0), "d": (0, -1), "u": (0, 1)}.items())}),
+
+
+def near_sql(cells: str, sizes: str = "[50, 100, 200][ring + 1]", key: str = "frame") -> str:
+    """The CTEs from a table of cells to der: step_mm, slope, kerb, hole, steep, low and all_flags."""
+    return f"""nb AS (SELECT c.*, {", ".join(f"CASE WHEN {s}.flags & 1 = 1 THEN {s}.ground_z END AS gz_{s}, {s}.count AS n_{s}" for s in "lrdu")} FROM {cells} c
+  {" ".join(f"LEFT JOIN {cells} {s} ON {s}.{key} = c.{key} AND {s}.ring = c.ring AND {s}.ix = c.ix + ({dx}) AND {s}.iy = c.iy + ({dy})" for s, (dx, dy) in {"l": (-1, 0), "r": (1, 0), "d": (0, -1), "u": (0, 1)}.items())}),
 st AS (SELECT *, CASE WHEN flags & 1 = 1 THEN coalesce(greatest({", ".join(f"CASE WHEN n_{s} >= 2 THEN abs(ground_z - gz_{s}) END" for s in "lrdu")}), 0) ELSE 0 END AS step_mm,
-  {" + ".join(f"CASE WHEN gz_{s} IS NULL THEN 0 ELSE 1 END" for s in "lrdu")} AS nn, {" + ".join(f"coalesce(gz_{s}, 0)" for s in "lrdu")} AS ns, [50, 100, 200][ring + 1] AS cell FROM nb),
+  {" + ".join(f"CASE WHEN gz_{s} IS NULL THEN 0 ELSE 1 END" for s in "lrdu")} AS nn, {" + ".join(f"coalesce(gz_{s}, 0)" for s in "lrdu")} AS ns, {sizes} AS cell FROM nb),
 sl AS (SELECT *, CASE WHEN flags & 1 = 1 THEN degrees(atan(sqrt(gx * gx + gy * gy))) END AS slope FROM (SELECT *,
   {", ".join(f"CASE WHEN gz_{a} IS NOT NULL AND gz_{b} IS NOT NULL THEN (gz_{b} - gz_{a}) / (2.0 * cell) WHEN gz_{b} IS NOT NULL THEN (gz_{b} - ground_z) / CAST(cell AS DOUBLE) WHEN gz_{a} IS NOT NULL THEN (ground_z - gz_{a}) / CAST(cell AS DOUBLE) ELSE 0 END AS g{g}" for g, a, b in (("x", "l", "r"), ("y", "d", "u")))} FROM st)),
 fl AS (SELECT *, flags & 1 = 1 AND step_mm BETWEEN 60 AND 250 AS kerb, flags & 1 = 1 AND cls = 1 AND nn > 0 AND floor(ns / CAST(greatest(nn, 1) AS DOUBLE)) - ground_z >= 80 AS hole,
@@ -81,6 +86,9 @@ der AS (SELECT *, CAST(flags | CASE WHEN kerb THEN 16 ELSE 0 END | CASE WHEN hol
   | CASE WHEN cls = 1 AND flags & 1 = 1 AND flags & 2 = 0 AND NOT steep AND NOT kerb AND NOT low THEN 8 ELSE 0 END AS BIGINT) AS all_flags FROM fl)"""
 
 
+NEAR_SQL = f"{CELLS_SQL}, {near_sql('cells')}"
+
+
 def _dims() -> str:
     return "dim AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, '{b}', {c}, {d}, {e}, {f})" for a, b, c, d, e, f in L.LABELS) + ") t(raw_id, name, learning_id, super_cls, is_moving, critical))"
 
@@ -118,7 +126,7 @@ def _(spark, d):
 
 @query("FLT-05_world_box", f"WITH {SCAN_SQL} SELECT pid, frame, x_mm, y_mm FROM pts WHERE x_mm BETWEEN -1500 AND 2500 AND y_mm BETWEEN 100 AND 900")
 def _(spark, d):
-    return scan(spark, d).filter(F.col("x_mm").between(-1500, 2500) & F.col("y_mm").between(100, 900)).select("pid", "frame", "x_mm", "y_mm")
+    return grid.in_box(scan(spark, d), (-1500, 2500, 100, 900)).select("pid", "frame", "x_mm", "y_mm")
 
 
 @query("JN-01_02_04_labels", f"""WITH {SCAN_SQL}, {_dims()} SELECT coalesce(super_cls, 0) AS super_cls, coalesce(learning_id, 0) AS learning_id, coalesce(is_moving, false) AS is_moving,
@@ -179,10 +187,28 @@ def _(spark, d):
     return grid.coarsened(grid.accumulate(grid.locate(scan(spark, d), Preset.of("f", (12000, 100)))), 4)
 
 
-@query("AGG-07_counters", f"""WITH {SCAN_SQL} SELECT frame, count(*) AS n_raw, count(*) FILTER (m < 12000) AS n_in_grid, count(*) FILTER (m >= 12000) AS n_out_of_grid, count(*) FILTER (abs(z_mm) > 32767) AS n_saturated
-FROM (SELECT *, greatest(x_mm, -x_mm - 1, y_mm, -y_mm - 1) AS m FROM pts) GROUP BY frame""")
+RAISED_SQL = f"""WITH {SCAN_SQL}, m AS (SELECT frame, pid, cls, moving, conf, CAST(x_mm AS BIGINT) AS x0, CAST(y_mm AS BIGINT) AS y0, CAST(z_mm * 20 AS BIGINT) AS z0, pid % 50 = 0 AS broken FROM pts),
+q AS (SELECT *, NOT broken AND x0 * x0 + y0 * y0 >= 1000000 AS ok, greatest(x0, -x0 - 1, y0, -y0 - 1) AS m FROM m)"""
+
+
+def _raised(spark: SparkSession, d: str) -> DataFrame:
+    """Points in metres, heights twentyfold so that some saturate; every fiftieth isn't finite."""
+    z = F.when(F.col("pid") % 50 == 0, F.lit(float("nan"))).otherwise(F.col("z_mm") * 20 / 1000.0)
+    return scan(spark, d).select("frame", "pid", "cls", "moving", "conf", (F.col("x_mm") / 1000.0).alias("x"), (F.col("y_mm") / 1000.0).alias("y"), z.alias("z"))
+
+
+@query("PRJ-02_FLT-01_02_measured", f"{RAISED_SQL} SELECT pid, ok, CASE WHEN ok THEN x0 END AS x_mm, CASE WHEN ok THEN least(greatest(z0, -32767), 32767) END AS z_mm, ok AND abs(z0) > 32767 AS z_saturated FROM q")
+def _(spark, d):
+    return grid.measured(_raised(spark, d)).select("pid", "ok", "x_mm", "z_mm", "z_saturated")
+
+
+@query("AGG-07_counters", f"""{RAISED_SQL} SELECT frame, count(*) AS n_raw, count(*) FILTER (NOT ok) AS n_invalid, count(*) FILTER (ok AND m < 12000) AS n_in_grid, count(*) FILTER (ok AND m >= 12000) AS n_out_of_grid,
+count(*) FILTER (ok AND abs(z0) > 32767) AS n_z_saturated FROM q GROUP BY frame""")
 def _(spark, d):
-    return grid.counters(scan(spark, d), TINY)
+    """With an error if points got lost between counters and cells, or a cell's count would overflow."""
+    p = grid.measured(_raised(spark, d))
+    held = grid.guarded(grid.accumulate(grid.locate(p.filter("ok"), TINY)))
+    return grid.conserved(grid.counters(p, TINY), held)
 
 
 @query("AGG-09_dense", f"""WITH {SCAN_SQL}, {_located("loc", Preset.of("u", (12000, 400)))}, {_accumulated("acc", "loc")}, {_finalised("cells", "acc")},
@@ -241,14 +267,24 @@ def _filled(name: str, source: str, shift: int) -> str:
   CAST(1 + CASE WHEN count(*) FILTER (top_z <> -32768) > 0 THEN 2 ELSE 0 END AS BIGINT) AS flags FROM {source} GROUP BY 1, 2, 3 HAVING {ground} > 0)"""
 
 
-@query("WIN-01_halo", f"""{CELLS_SQL}, c0 AS (SELECT * FROM cells WHERE ring = 0), {_filled("f1", "c0", 40)},
-c1 AS (SELECT frame, ix, iy, cls, ground_z, top_z, count, flags FROM cells WHERE ring = 1 UNION ALL SELECT frame, ix, iy, cls, ground_z, top_z, count, flags FROM f1), {_filled("f2", "c1", 30)}
-SELECT frame, 0 AS ring, ix, iy, cls, ground_z, count, flags FROM c0 UNION ALL SELECT frame, 1, ix, iy, cls, ground_z, count, flags FROM c1
-UNION ALL SELECT frame, 2, ix, iy, cls, ground_z, count, flags FROM cells WHERE ring = 2 UNION ALL SELECT frame, 2, ix, iy, cls, ground_z, count, flags FROM f2""")
+HALO_SQL = f"""{CELLS_SQL}, c0 AS (SELECT * FROM cells WHERE ring = 0), {_filled("f1", "c0", 40)},
+c1 AS (SELECT frame, ix, iy, cls, ground_z, top_z, count, flags, clearance FROM cells WHERE ring = 1 UNION ALL SELECT frame, ix, iy, cls, ground_z, top_z, count, flags, -32768 FROM f1), {_filled("f2", "c1", 30)},
+haloed AS (SELECT frame, 0 AS ring, ix, iy, cls, ground_z, top_z, count, flags, clearance FROM c0 UNION ALL SELECT frame, 1, ix, iy, cls, ground_z, top_z, count, flags, clearance FROM c1
+UNION ALL SELECT frame, 2, ix, iy, cls, ground_z, top_z, count, flags, clearance FROM cells WHERE ring = 2 UNION ALL SELECT frame, 2, ix, iy, cls, ground_z, top_z, count, flags, -32768 FROM f2)"""
+
+
+@query("WIN-01_halo", f"{HALO_SQL} SELECT frame, ring, ix, iy, cls, ground_z, count, flags FROM haloed")
 def _(spark, d):
     return stencil.haloed(tiny_cells(spark, d), TINY).select("frame", "ring", "ix", "iy", "cls", "ground_z", "count", "flags")
 
 
+@query("WIN-13_stages", f"{HALO_SQL}, {near_sql('haloed')} SELECT frame, ring, ix, iy, step_mm, round(slope, 6) AS slope_deg, all_flags AS flags FROM der")
+def _(spark, d):
+    """Halo, slope, clearance, step and traversability, one after the other."""
+    out = layers(scan(spark, d), TINY, ("frame",))[1]
+    return out.select("frame", "ring", "ix", "iy", "step_mm", F.round("slope_deg", 6).alias("slope_deg"), "flags")
+
+
 @query("WIN-03_padded_ring", f"""{CELLS_SQL}, b AS (SELECT x.x - 1 AS bx, y.y - 1 AS b_y FROM range(122) x(x), range(122) y(y) WHERE x.x IN (0, 121) OR y.y IN (0, 121)),
 w AS (SELECT bx, b_y, {FDIV.format("(bx - 60) * 100 + 50", 200)} + 60 AS ix, {FDIV.format("(b_y - 60) * 100 + 50", 200)} + 60 AS iy FROM b)
 SELECT c.frame, w.bx AS ix, w.b_y AS iy, c.cls, c.ground_z, c.top_z, c.count, c.flags FROM w JOIN cells c ON c.ring = 2 AND c.ix = w.ix AND c.iy = w.iy""")
@@ -256,18 +292,23 @@ def _(spark, d):
     return stencil.padded_border(tiny_cells(spark, d), TINY, 1)
 
 
-@query("WIN-15_zoom", f"""WITH {SCAN_SQL}, box AS (SELECT frame, pid, x_mm - 1000 AS x_mm, y_mm - 1000 AS y_mm, z_mm, cls, moving, conf FROM pts WHERE x_mm BETWEEN -1500 AND 3500 AND y_mm BETWEEN -1500 AND 3500),
-""" + ", ".join(f"{_located(f'l{c}', Preset.of('z', (3000, c)), 'box')}, {_accumulated(f'a{c}', f'l{c}')}, {_finalised(f'c{c}', f'a{c}')}" for c in (50, 200)) + """
-SELECT 50 AS cell, frame, count(*) AS cells, count(*) FILTER (flags & 1 = 1) AS ground FROM c50 GROUP BY frame UNION ALL SELECT 200, frame, count(*), count(*) FILTER (flags & 1 = 1) FROM c200 GROUP BY frame""")
+def zoom_sql(box: tuple[int, int, int, int], sizes: tuple[int, ...]) -> str:
+    x0, x1, y0, y1 = box
+    half = -(-max(x1 - x0, y1 - y0) // 2) + 500
+    cls = SAFETY.replace("n4 * 5 >= n", "n4 * 10 >= n * 3").replace("n3 * 5 >= n", "n3 * 10 >= n * 3")
+    parts = ", ".join(f"{_located(f'l{c}', Preset.of('z', (-(-half // c) * c, c)), 'box')}, {_accumulated(f'a{c}', f'l{c}')}, {_finalised(f'c{c}', f'a{c}', cls)}, " + near_sql(f"c{c}", str(c)).replace("nb AS", f"nb{c} AS").replace("FROM nb)", f"FROM nb{c})").replace("st AS", f"st{c} AS").replace("FROM st)", f"FROM st{c})").replace("sl AS", f"sl{c} AS").replace("FROM sl)", f"FROM sl{c})").replace("fl AS", f"fl{c} AS").replace("FROM fl)", f"FROM fl{c})").replace("der AS", f"der{c} AS") for c in sizes)
+    rows = " UNION ALL ".join(f"SELECT frame, {c} AS cell, count(*) AS cells, count(*) FILTER (flags & 1 = 1) AS ground, bool_or(kerb) AS any_kerb FROM fl{c} GROUP BY frame" for c in sizes)
+    return f"""WITH {SCAN_SQL}, box AS (SELECT frame, pid, x_mm - {(x0 + x1) // 2} AS x_mm, y_mm - {(y0 + y1) // 2} AS y_mm, z_mm, cls, moving, conf FROM pts WHERE x_mm BETWEEN {x0} AND {x1} AND y_mm BETWEEN {y0} AND {y1}), {parts} {rows}"""
+
+
+@query("WIN-15_zoom", zoom_sql((-1500, 3500, -1500, 3500), (50, 200)))
+def _(spark, d):
+    return stencil.zoom_verdicts(stencil.zoomed(scan(spark, d), (-1500, 3500, -1500, 3500), (50, 200)))
+
+
+@query("API-02_previews", zoom_sql((-2500, 2500, -2500, 2500), (50, 200, 400, 500)))
 def _(spark, d):
-    p = scan(spark, d).filter(F.col("x_mm").between(-1500, 3500) & F.col("y_mm").between(-1500, 3500))
-    p = p.withColumns({"x_mm": F.col("x_mm") - 1000, "y_mm": F.col("y_mm") - 1000})
-    out = None
-    for c in (50, 200):
-        cells = grid.cells_of(p, Preset.of("zoom", (3000, c)))
-        one = cells.groupBy("frame").agg(F.count(F.lit(1)).alias("cells"), F.count_if(stencil.has(1)).alias("ground")).withColumn("cell", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return stencil.zoom_verdicts(stencil.zoomed(scan(spark, d), (-2500, 2500, -2500, 2500), (50, 200, 400, 500)))
 
 
 # --- Measures ----------------------------------------------------------------------------------------------------------
@@ -306,11 +347,11 @@ def _(spark, d):
     return metrics.by_bucket(_bucketed(scan(spark, d)).withColumnRenamed("sem", "gt"))
 
 
-@query("AGG-16_38_data_stats", f"""WITH {SCAN_SQL}, {_dims()}, b AS (SELECT *, {BUCKET_SQL} AS bucket FROM pts JOIN dim ON sem = raw_id)
-SELECT super_cls, bucket, count(*) AS n, count(*) FILTER (is_moving) AS n_moving, count(*) FILTER (critical) AS n_critical FROM b GROUP BY CUBE (super_cls, bucket)""")
+@query("AGG-16_38_data_stats", f"""WITH {SCAN_SQL}, {_dims()}, b AS (SELECT *, '08' AS seq, {BUCKET_SQL} AS bucket FROM pts JOIN dim ON sem = raw_id)
+SELECT seq, super_cls, bucket, CAST(GROUPING(super_cls) AS INTEGER) AS all_classes, CAST(GROUPING(bucket) AS INTEGER) AS all_buckets, count(*) AS n, count(*) FILTER (is_moving) AS n_moving, count(*) FILTER (critical) AS n_critical
+FROM b GROUP BY GROUPING SETS ((seq), (seq, super_cls), (seq, bucket), (seq, super_cls, bucket))""")
 def _(spark, d):
-    p = L.classified(_bucketed(scan(spark, d)))
-    return p.cube("super_cls", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_moving").alias("n_moving"), F.count_if("critical").alias("n_critical"))
+    return metrics.data_stats(L.classified(_bucketed(scan(spark, d))))
 
 
 @query("AGG-17_instances", f"WITH {SCAN_SQL} SELECT frame, raw & 65535 AS sem_id, raw >> 16 AS inst, count(*) AS n, CAST(sum(x_mm) AS BIGINT) AS sx, CAST(sum(y_mm) AS BIGINT) AS sy FROM pts WHERE raw >> 16 > 0 GROUP BY ALL")
@@ -371,9 +412,10 @@ def _(spark, d):
     return metrics.percentiles(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "stage"), "o_totalprice", ["stage"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
-@query("AGG-31_cluster_class", f"WITH {SCAN_SQL}, c AS (SELECT frame, pid % 97 AS cluster, sem, count(*) AS n FROM pts GROUP BY ALL) SELECT frame, cluster, sem FROM c QUALIFY row_number() OVER (PARTITION BY frame, cluster ORDER BY n DESC, sem) = 1")
+@query("AGG-31_LG-11_cluster_class", f"""WITH {SCAN_SQL}, c AS (SELECT frame, pid % 97 AS cluster, sem, count(*) AS k FROM pts GROUP BY ALL), t AS (SELECT *, sum(k) OVER (PARTITION BY frame, cluster) AS n FROM c)
+SELECT frame, cluster, sem, CAST(n AS BIGINT) AS n, round(k / CAST(n AS DOUBLE), 6) AS agreement FROM t QUALIFY row_number() OVER (PARTITION BY frame, cluster ORDER BY k DESC, sem) = 1""")
 def _(spark, d):
-    return scan(spark, d).groupBy("frame", (F.col("pid") % 97).alias("cluster")).agg(F.mode("sem", True).alias("sem"))
+    return metrics.cluster_classes(scan(spark, d).withColumn("cluster", F.col("pid") % 97))
 
 
 # --- Motion, joins, clusters -------------------------------------------------------------------------------------------
@@ -423,7 +465,7 @@ def _(spark, d):
 @query("JN-11_nearest", f"{XYZ_SQL}, n AS (SELECT frame, pid, min(d2) AS d2 FROM d WHERE pid % 2 = 0 AND other % 2 = 1 GROUP BY ALL) SELECT frame, pid, round(sqrt(d2), 6) AS distance FROM n")
 def _(spark, d):
     p = _xyz(spark, d)
-    return clusters.nearest(p.filter("pid % 2 = 0"), p.filter("pid % 2 = 1"), 8.0, rounds=6).withColumn("distance", F.round("distance", 6))
+    return clusters.nearest(p.filter("pid % 2 = 0"), p.filter("pid % 2 = 1"), 8.0).withColumn("distance", F.round("distance", 6))
 
 
 @query("CL-01_clusters", f"""{XYZ_SQL.replace("WITH p", "WITH RECURSIVE p")}, e AS (SELECT frame, pid, other FROM d WHERE d2 <= (5 + 0.1 * r) ** 2), u AS (SELECT frame, pid, other FROM e UNION SELECT frame, other, pid FROM e),
@@ -436,7 +478,11 @@ def _(spark, d):
     return clusters.clustered(_xyz(spark, d), settings=replace(DEFAULTS, eps0_m=5.0, eps1_rel=0.1))
 
 
-@query("CL-02_LG-11_dbscan")
+@query("CL-02_LG-11_dbscan", f"""{XYZ_SQL.replace("WITH p", "WITH RECURSIVE p")}, e AS (SELECT frame, pid, other FROM d WHERE d2 <= 81),
+k AS (SELECT p.frame, p.pid FROM p LEFT JOIN e ON e.frame = p.frame AND e.pid = p.pid GROUP BY ALL HAVING count(e.other) + 1 >= 4), c AS (SELECT e.frame, e.pid, e.other FROM e JOIN k a ON a.frame = e.frame AND a.pid = e.pid JOIN k b ON b.frame = e.frame AND b.pid = e.other),
+w AS (SELECT frame, pid, pid AS root FROM k UNION SELECT w.frame, w.pid, c.other FROM w JOIN c ON c.pid = w.root AND c.frame = w.frame), m AS (SELECT frame, pid, min(root) AS root FROM w GROUP BY ALL),
+n AS (SELECT frame, root, row_number() OVER (PARTITION BY frame ORDER BY root) - 1 AS part FROM (SELECT DISTINCT frame, root FROM m)), l AS (SELECT m.frame, m.pid, n.part FROM m JOIN n ON n.frame = m.frame AND n.root = m.root),
+b AS (SELECT e.frame, e.pid, min(l.part) AS part FROM e JOIN l ON l.frame = e.frame AND l.pid = e.other GROUP BY ALL) SELECT p.frame, p.pid, coalesce(l.part, b.part, -1) AS part FROM p LEFT JOIN l ON l.frame = p.frame AND l.pid = p.pid LEFT JOIN b ON b.frame = p.frame AND b.pid = p.pid""")
 def _(spark, d):
     return clusters.dbscan(_xyz(spark, d), 9.0, 4)
 
@@ -453,12 +499,12 @@ def _(spark, d):
     return clusters.oriented_boxes(_xyz(spark, d), ["frame"]).select("frame", *(F.round(c, 6).alias(c) for c in ("length", "width", "yaw")))
 
 
-@query("CL-04_cluster_vote", f"WITH {SCAN_SQL} SELECT frame, pid % 97 AS cluster, count(*) AS n, count(*) FILTER (moving) AS n_moving, count(*) >= 3 AND count(*) FILTER (moving) >= 0.3 * count(*) AS is_moving FROM pts GROUP BY ALL")
+@query("CL-04_cluster_vote", f"WITH {SCAN_SQL} SELECT frame, pid % 97 AS cluster, count(*) AS n, count(*) FILTER (moving) AS n_moving, count(*) FILTER (moving) >= 3 AND count(*) FILTER (moving) >= 0.3 * count(*) AS is_moving FROM pts GROUP BY ALL")
 def _(spark, d):
     return motion.cluster_verdicts(scan(spark, d).withColumns({"cluster": F.col("pid") % 97, "vote": F.col("moving").cast("int")}))
 
 
-@query("CL-05_06_verdicts", f"""WITH {SCAN_SQL}, {_dims()}, v AS (SELECT frame, pid % 97 AS cluster, count(*) >= 3 AND count(*) FILTER (moving) >= 0.15 * count(*) AS m FROM pts GROUP BY ALL)
+@query("CL-05_06_verdicts", f"""WITH {SCAN_SQL}, {_dims()}, v AS (SELECT frame, pid % 97 AS cluster, count(*) FILTER (moving) >= 3 AND count(*) FILTER (moving) >= 0.15 * count(*) AS m FROM pts GROUP BY ALL)
 SELECT p.frame, p.pid, critical OR m AS moving, CASE WHEN critical OR m THEN 4 ELSE 3 END AS cls FROM pts p JOIN v ON v.frame = p.frame AND v.cluster = p.pid % 97 JOIN dim ON raw_id = sem""")
 def _(spark, d):
     from dataclasses import replace
@@ -470,10 +516,10 @@ def _(spark, d):
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
     """An integer pseudo-projection: pixels and ranges without trigonometry."""
-    return scan(spark, d).select("frame", "pid", ((F.col("x_mm") + 14000) % 64).cast("int").alias("v"), ((F.col("y_mm") + 14000) % 1024).cast("int").alias("u"), ((F.abs("x_mm") + F.abs("y_mm")) / 1000.0).alias("r"), F.lit(True).alias("valid"))
+    return scan(spark, d).select("frame", "pid", "sem", "moving", ((F.col("x_mm") + 14000) % 64).cast("int").alias("v"), ((F.col("y_mm") + 14000) % 1024).cast("int").alias("u"), ((F.abs("x_mm") + F.abs("y_mm")) / 1000.0).alias("r"), F.lit(True).alias("valid"))
 
 
-PIXEL_SQL = f"WITH {SCAN_SQL}, px AS (SELECT frame, pid, (x_mm + 14000) % 64 AS v, (y_mm + 14000) % 1024 AS u, (abs(x_mm) + abs(y_mm)) / 1000.0 AS r FROM pts)"
+PIXEL_SQL = f"WITH {SCAN_SQL}, px AS (SELECT frame, pid, (x_mm + 14000) % 64 AS v, (y_mm + 14000) % 1024 AS u, (abs(x_mm) + abs(y_mm)) / 1000.0 AS r, row_number() OVER () AS rid, sem, moving FROM pts)"
 
 
 @query("JN-10_range_image", f"{PIXEL_SQL} SELECT frame, CAST(v AS INTEGER) AS v, CAST(u AS INTEGER) AS u, min(r) AS r FROM px GROUP BY ALL")
@@ -481,16 +527,18 @@ def _(spark, d):
     return motion.range_image(_pixels(spark, d))
 
 
-@query("JN-12_14_residual_votes", f"""{PIXEL_SQL}, img AS (SELECT v, u, min(r) AS r FROM px WHERE frame = 0 GROUP BY ALL), o AS (SELECT dv.dv, du.du, (dv.dv + 1) * 3 + du.du + 1 AS k FROM (VALUES (-1), (0), (1)) dv(dv), (VALUES (-1), (0), (1)) du(du)),
-m AS (SELECT p.pid, p.r, i.r AS prev, k, abs(p.r - i.r) AS diff FROM px p, o JOIN img i ON i.v = least(greatest(p.v + o.dv, 0), 63) AND i.u = (p.u + o.du + 1024) % 1024 WHERE p.frame = 1),
-b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY pid ORDER BY diff, k) = 1) SELECT p.pid, CASE WHEN b.pid IS NULL THEN -1 WHEN b.diff <= 0.30 + 0.02 * p.r THEN 0 ELSE 1 END AS vote FROM px p LEFT JOIN b ON b.pid = p.pid WHERE p.frame = 1""")
+@query("JN-12_residual_votes", f"""{PIXEL_SQL}, img AS (SELECT v, u, min(r) AS r FROM px WHERE frame = 0 GROUP BY ALL), o AS (SELECT dv.dv, du.du, (dv.dv + 1) * 3 + du.du + 1 AS k FROM (VALUES (-1), (0), (1)) dv(dv), (VALUES (-1), (0), (1)) du(du)),
+m AS (SELECT p.rid, p.r, i.r AS prev, k, abs(p.r - i.r) AS diff FROM px p, o JOIN img i ON i.v = least(greatest(p.v + o.dv, 0), 63) AND i.u = (p.u + o.du + 1024) % 1024 WHERE p.frame = 1),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY rid ORDER BY diff, k) = 1) SELECT p.pid, CASE WHEN b.rid IS NULL THEN -1 WHEN b.diff <= 0.30 + 0.02 * p.r THEN 0 ELSE 1 END AS vote FROM px p LEFT JOIN b ON b.rid = p.rid WHERE p.frame = 1""")
 def _(spark, d):
     p = _pixels(spark, d)
     image = motion.range_image(p.filter("frame = 0")).withColumn("frame", F.lit(1))
     return motion.residual_votes(p.filter("frame = 1"), image).select("pid", "vote")
 
 
-@query("PRJ-10_projection")
+@query("PRJ-10_projection", f"""WITH {SCAN_SQL}, p AS (SELECT frame, x_mm / CAST(1000 AS DOUBLE) AS x, y_mm / CAST(1000 AS DOUBLE) AS y, z_mm / CAST(1000 AS DOUBLE) AS z FROM pts), r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM p),
+i AS (SELECT frame, CAST(least(greatest(floor((1 - (asin(least(1, greatest(-1, z / greatest(r, 1e-6)))) - radians(-25)) / radians(28)) * 64), 0), 63) AS INTEGER) AS v, CAST(least(greatest(floor(0.5 * (1 - atan2(y, x) / pi()) * 1024), 0), 1023) AS INTEGER) AS u FROM r)
+SELECT frame, v, u, count(*) AS n FROM i GROUP BY ALL""")
 def _(spark, d):
     p = scan(spark, d).select("frame", "pid", *((F.col(f"{c}_mm") / 1000.0).alias(c) for c in "xyz"))
     return motion.projected(p).groupBy("frame", "v", "u").agg(F.count(F.lit(1)).alias("n"))
@@ -520,14 +568,57 @@ def _(spark, d):
     return out.groupBy("frame", "cls").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"{c}_mm").alias(f"s{c}") for c in "xyz"))
 
 
-@query("HZ-05_07_WIN-16_detection")
+def detection_sql(n: int, seed: int) -> str:
+    """The trials of hazards.detection() without a halo; a hazard's number stands for the frame of its cells."""
+
+    def drawn(*parts: str) -> str:
+        return f"CAST('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 7) AS BIGINT)"
+
+    def size(name: str, low: int, high: int) -> str:
+        return f"{drawn(f_seed, 'CAST(frame AS VARCHAR)', 'CAST(trial AS VARCHAR)', repr(name))} % {high - low + 1} + {low} AS {name}"
+
+    f_seed = f"'{seed}'"
+    centres = ", ".join(f"max(CASE WHEN kind = '{k}' THEN {c}_mm END) AS {c}_{k}" for k in hazards.KINDS for c in "xy")
+    margin = hazards.NEAR_MM + 3 * 200
+    ring = _located("pl", TINY, "(SELECT *, cx AS x_mm, cy AS y_mm FROM hz)")
+    return f"""WITH {SCAN_SQL}, dr AS (SELECT frame, x_mm, y_mm, z_mm, row_number() OVER (PARTITION BY frame ORDER BY pid, x_mm, y_mm, z_mm) - 1 AS k, count(*) OVER (PARTITION BY frame) AS n FROM pts WHERE cls = 1),
+asked AS (SELECT f.frame, t.t AS trial, kinds.kind, {drawn(f_seed, "CAST(f.frame AS VARCHAR)", "CAST(t.t AS VARCHAR)", "kinds.kind")} % f.n AS k FROM (SELECT frame, max(n) AS n FROM dr GROUP BY frame HAVING max(n) >= 10) f, range({n}) t(t), (VALUES ('pothole'), ('kerb'), ('overhang')) kinds(kind)),
+tr AS (SELECT frame, trial, {centres}, max(CASE WHEN kind = 'overhang' THEN z_mm END) AS base FROM asked JOIN dr USING (frame, k) GROUP BY frame, trial),
+sized AS (SELECT *, {size("radius", *hazards.POTHOLE_RADIUS)}, {size("depth", *hazards.POTHOLE_DEPTH)}, {size("height", *hazards.KERB_HEIGHT)}, {size("above", *hazards.OVERHANG_HEIGHT)} FROM tr),
+hz AS (SELECT s.*, q.k, q.kind, s.trial * 3 + q.k AS hazard, (s.trial * 3 + q.k) * 2 + s.frame AS hid, CASE q.k WHEN 0 THEN x_pothole WHEN 1 THEN x_kerb ELSE x_overhang END AS cx, CASE q.k WHEN 0 THEN y_pothole WHEN 1 THEN y_kerb ELSE y_overhang END AS cy
+  FROM sized s, (VALUES (0, 'pothole'), (1, 'kerb'), (2, 'overhang')) q(k, kind)),
+inj AS (SELECT h.hid AS frame, p.x_mm, p.y_mm, CAST(p.z_mm - CASE WHEN p.cls = 1 AND (p.x_mm - x_pothole) * (p.x_mm - x_pothole) + (p.y_mm - y_pothole) * (p.y_mm - y_pothole) <= radius * radius THEN depth ELSE 0 END
+    + CASE WHEN p.cls = 1 AND abs(p.x_mm - x_kerb) * 2 <= {hazards.KERB_LENGTH} AND abs(p.y_mm - y_kerb) * 2 <= {hazards.KERB_WIDTH} THEN height ELSE 0 END AS BIGINT) AS z_mm, p.cls, p.moving, p.conf
+    FROM hz h JOIN pts p ON p.frame = h.frame AND p.x_mm BETWEEN cx - {margin} AND cx + {margin} AND p.y_mm BETWEEN cy - {margin} AND cy + {margin}
+  UNION ALL SELECT hid, x_mm, y_mm, z_mm, 3, false, 255 FROM (SELECT hid, cx, cy, x_overhang - 1500 + {drawn("CAST(trial AS VARCHAR)", "CAST(q.q AS VARCHAR)", "'x'")} % 3001 AS x_mm, y_overhang - 500 + {drawn("CAST(trial AS VARCHAR)", "CAST(q.q AS VARCHAR)", "'y'")} % 1001 AS y_mm, CAST(base + above AS BIGINT) AS z_mm FROM hz, range(100) q(q))
+    WHERE x_mm BETWEEN cx - {margin} AND cx + {margin} AND y_mm BETWEEN cy - {margin} AND cy + {margin}),
+{_located("loc", TINY, "inj")}, {_accumulated("acc", "loc")}, {_finalised("cells", "acc")}, {near_sql("cells")}, {ring},
+w AS (SELECT a.hid, a.kind, a.depth, abs(c.ix - a.ix) AS dx, abs(c.iy - a.iy) AS dy, c.all_flags AS f, c.ground_z, CASE a.kind WHEN 'pothole' THEN 2 WHEN 'kerb' THEN greatest(1, 2000 // a.cell) ELSE greatest(1, 1500 // a.cell) END AS reach
+  FROM pl a JOIN der c ON c.frame = a.hid AND c.ring = a.ring),
+v AS (SELECT hid, any_value(kind) AS kind, any_value(depth) AS depth, bool_or(CASE kind WHEN 'kerb' THEN f & 16 = 16 WHEN 'overhang' THEN f & 64 = 64 OR (f & 1 = 1 AND f & 8 = 0) ELSE false END) AS shown, max(CASE WHEN dx = 0 AND dy = 0 AND f & 1 = 1 THEN ground_z END) AS z,
+  avg(CASE WHEN ((dx = 2 AND dy = 0) OR (dx = 0 AND dy = 2)) AND f & 1 = 1 THEN ground_z END) AS around FROM w WHERE dx <= reach AND dy <= reach GROUP BY hid),
+hits AS (SELECT a.kind, a.ring, CASE WHEN a.kind = 'pothole' THEN coalesce(v.around - v.z >= floor(a.depth / 2.0), false) ELSE coalesce(v.shown, false) END AS hit FROM pl a LEFT JOIN v ON v.hid = a.hid),
+g AS (SELECT kind, ring, count(*) AS n, count(*) FILTER (hit) AS hits, CAST(GROUPING(kind) AS INTEGER) AS all_kind, CAST(GROUPING(ring) AS INTEGER) AS all_ring, count(*) FILTER (hit) / CAST(count(*) AS DOUBLE) AS p FROM hits GROUP BY GROUPING SETS ((), (kind), (ring)))
+SELECT kind, ring, n, hits, all_kind, all_ring, round(p, 6) AS rate, {WILSON.format("greatest", "-", "0.0")} AS low, {WILSON.format("least", "+", "1.0")} AS high FROM g"""
+
+
+@query("HZ-05_07_WIN-16_detection", detection_sql(50, 1337))
 def _(spark, d):
-    p = scan(spark, d)
-    cells = stencil.derived(grid.cells_of(p, TINY), TINY)
-    centres = hazards.chosen_centres(p, 50, 1337)
-    kinds = F.explode(F.array(*map(F.lit, ("kerb", "overhang", "pothole"))))
-    trials = centres.select("frame", "cx_mm", "cy_mm", F.col("hazard").alias("_h"), kinds.alias("kind"), F.lit(100).alias("depth_mm")).withColumn("hazard", F.concat_ws("-", "kind", "_h"))
-    return metrics.detection_rates(hazards.detected(trials, cells, TINY), ["kind"])
+    """50 injections in every frame: a pothole, a kerb and an overhang each, whether the layers show them, rates and intervals."""
+    return metrics.detection_rates(hazards.detection(scan(spark, d), TINY, 50, 1337, halo=False), ["kind", "ring"])
+
+
+PREVIEW_SQL = f"""WITH {SCAN_SQL}, gr AS (SELECT frame, floor(median(z_mm)) + 1500 AS top FROM pts WHERE cls = 1 AND (x_mm - 900) * (x_mm - 900) + (y_mm + 700) * (y_mm + 700) < 1000000 GROUP BY frame)"""
+
+
+@query("HZ-06_API-04_previews", f"""{PREVIEW_SQL}, p AS (SELECT * FROM pts WHERE frame IN (SELECT frame FROM gr)),
+a AS (SELECT 'pothole' AS kind, frame, z_mm - CASE WHEN cls = 1 AND (x_mm - 900) * (x_mm - 900) + (y_mm + 700) * (y_mm + 700) <= 250000 THEN 180 ELSE 0 END AS z FROM p
+UNION ALL SELECT 'kerb', frame, z_mm + CASE WHEN cls = 1 AND abs(x_mm - 900) * 2 <= 3000 AND abs(y_mm + 700) * 2 <= 500 THEN 160 ELSE 0 END FROM p UNION ALL SELECT 'overhang', frame, z_mm FROM p UNION ALL SELECT 'overhang', frame, top FROM gr, range(360))
+SELECT kind, frame, count(*) AS n, CAST(sum(z) AS BIGINT) AS sz FROM a GROUP BY ALL""")
+def _(spark, d):
+    parts = [hazards.preview(scan(spark, d), k, 900, -700).withColumn("kind", F.lit(k)) for k in hazards.KINDS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.groupBy("kind", "frame").agg(F.count(F.lit(1)).alias("n"), F.sum("z_mm").alias("sz"))
 
 
 @query("DSP-01_JN-18_categories", f"""{CELLS_SQL}, v AS (SELECT frame, ring, ix, iy, count(*) FILTER (sem IN (10, 11, 13, 15, 16, 18, 20, 252, 256, 257, 258, 259) AND NOT moving) AS vs, count(*) FILTER (sem IN (10, 11, 13, 15, 16, 18, 20, 252, 256, 257, 258, 259) AND moving) AS vm,
@@ -562,12 +653,9 @@ def _(spark, d):
 
 
 # --- Sets, order, state ------------------------------------------------------------------------------------------------
-@query("SRC-15_SET-03_differences", "SELECT 'document without label' AS problem, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'label without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("SRC-15_SET-03_differences", "SELECT doc_id, 'document without label' AS problem FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'label without document' FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def _(spark, d):
-    a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
-    parts = ((a, b, "document without label"), (b, a, "label without document"))
-    one = [x.join(y, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("problem"), "n") for x, y, t in parts]
-    return one[0].unionByName(one[1])
+    return scans.only_in_one(table(spark, d, "documents"), table(spark, d, "labels"), ["doc_id"], "document without label", "label without document")
 
 
 @query("SRT-04_nearest_points", f"WITH {SCAN_SQL} SELECT frame, pid FROM pts QUALIFY row_number() OVER (PARTITION BY frame ORDER BY (x_mm - 100) * (x_mm - 100) + (y_mm + 200) * (y_mm + 200), pid) <= 500")
@@ -577,9 +665,7 @@ def _(spark, d):
 
 @query("SRT-06_best_window", f"{CELLS_SQL} SELECT frame, arg_max(ix, conf * 1000000 - (iy * 120 + ix)) AS ix, arg_max(iy, conf * 1000000 - (iy * 120 + ix)) AS iy, max(conf) AS conf FROM cells WHERE ring = 2 AND flags & 1 = 1 GROUP BY frame")
 def _(spark, d):
-    c = tiny_cells(spark, d).filter((F.col("ring") == 2) & stencil.has(1))
-    best = F.max_by(F.struct("ix", "iy", "conf"), F.struct("conf", -(F.col("iy") * 120 + F.col("ix")))).alias("b")
-    return c.groupBy("frame").agg(best).select("frame", "b.ix", "b.iy", "b.conf")
+    return stencil.best_window(tiny_cells(spark, d), TINY)
 
 
 @query("NN-04_07_voxels", f"""WITH {SCAN_SQL}, v AS (SELECT frame, s.s AS scale, (x_mm + 14000) // (500 * s.s) AS i, (y_mm + 14000) // (500 * s.s) AS j, (z_mm + 4000) // (500 * s.s) AS k, conf FROM pts, (VALUES (1), (2), (4)) s(s))
@@ -619,41 +705,39 @@ def _(spark, d):
     return tracking.tracked(o.withColumns({"pose": eye, "dt": F.lit(0.1)})).select("seq", "frame", "obj", "track_id", "moving", F.round("speed_mps", 6).alias("speed_mps"))
 
 
-@query("ST-02_03_09_world_map")
-def _(spark, d):
-    p = scan(spark, d)
-    eye = F.array(*(F.lit(float(i == j)) if (i, j) != (0, 3) else F.col("frame") * 0.4 for i in range(4) for j in range(4)))
-    poses = spark.range(2).select(F.lit("08").alias("seq"), F.col("id").cast("int").alias("frame")).withColumn("pose", eye)
-    cells = grid.cells_of(p, TINY, ("seq", "frame"))
-    return tracking.world_map(tracking.world_cells(cells, TINY, poses, 0.2, 400), 1)
+WORLD_SQL = f"""{CELLS_SQL}, wc AS (SELECT *, ((ix - off) * size + size // 2) / 1000.0::DOUBLE + frame * 0.4::DOUBLE AS wx, ((iy - off) * size + size // 2) / 1000.0::DOUBLE AS wy FROM (SELECT *, [40, 60, 60][ring + 1] AS off, [50, 100, 200][ring + 1] AS size FROM cells)),
+wp AS (SELECT *, CAST(floor(wx / 0.2::DOUBLE + 200) AS INTEGER) AS col, CAST(floor(wy / 0.2::DOUBLE + 200) AS INTEGER) AS row FROM wc),
+ob AS (SELECT frame, ring, row, col, arg_max(ground_z, (iy * 1000 + ix)) AS ground_z, arg_max(top_z, (iy * 1000 + ix)) AS top_z, arg_max(cls, (iy * 1000 + ix)) AS cls, arg_max(flags, (iy * 1000 + ix)) AS flags FROM wp
+  WHERE count > 2 AND cls <> 4 AND flags & 2 = 0 AND ground_z <> -32768 AND row BETWEEN 0 AND 399 AND col BETWEEN 0 AND 399 GROUP BY frame, ring, row, col),
+sq AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY frame, ring) AS k FROM ob),
+fo AS (SELECT row, col, k, CAST(ground_z AS BIGINT) AS gz, top_z AS tz, cls, flags, frame FROM sq WHERE k = 1
+  UNION ALL SELECT s.row, s.col, s.k, CAST(trunc(0.30::DOUBLE * s.ground_z + (1 - 0.30::DOUBLE) * f.gz) AS BIGINT), greatest(f.tz, s.top_z), s.cls, s.flags, s.frame FROM fo f JOIN sq s ON s.row = f.row AND s.col = f.col AND s.k = f.k + 1),
+wm AS (SELECT row, col, gz AS ground_z, CAST(tz AS BIGINT) AS top_z, cls, flags, 2 - frame AS age FROM fo QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY k DESC) = 1)"""
 
 
-@query("LG-02_04_float_cells", f"""WITH {SCAN_SQL}, l AS (SELECT frame, cls, z_mm, CASE WHEN c < 2000 THEN 0 WHEN c < 6000 THEN 1 WHEN c < 12000 THEN 2 END AS ring FROM (SELECT *, greatest(abs(x_mm), abs(y_mm)) AS c FROM pts) WHERE z_mm BETWEEN -3000 AND 5000)
-SELECT frame, ring, count(*) AS n, count(*) FILTER (cls IN (3, 4)) AS obstacles FROM l WHERE ring IS NOT NULL GROUP BY ALL""")
-def _(spark, d):
-    c = F.greatest(F.abs("x_mm"), F.abs("y_mm"))
-    ring = F.when(c < 2000, 0).when(c < 6000, 1).when(c < 12000, 2)
-    p = scan(spark, d).filter(F.col("z_mm").between(-3000, 5000)).withColumn("ring", ring).filter("ring IS NOT NULL")
-    return p.groupBy("frame", "ring").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cls").isin(3, 4)).alias("obstacles"))
+def _world(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells, poses of a vehicle that moves by 0.4 m a frame, and the map after both frames."""
+    eye = F.array(*(F.lit(float(i == j)) if (i, j) != (0, 3) else F.col("frame") * 0.4 for i in range(4) for j in range(4)))
+    poses = spark.range(2).select(F.lit("08").alias("seq"), F.col("id").cast("int").alias("frame")).withColumn("pose", eye)
+    cells = grid.cells_of(scan(spark, d), TINY, ("seq", "frame"))
+    return cells, poses, tracking.world_map(tracking.world_cells(cells, TINY, poses, 0.2, 400), 1)
 
 
-@query("LG-14_eight_neighbour_steps", f"""{CELLS_SQL}, g AS (SELECT * FROM cells WHERE flags & 1 = 1) SELECT a.frame, a.ring, a.ix, a.iy, max(abs(a.ground_z - b.ground_z)) AS step_mm
-FROM g a JOIN g b ON a.frame = b.frame AND a.ring = b.ring AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND (a.ix <> b.ix OR a.iy <> b.iy) GROUP BY ALL""")
+@query("ST-02_03_09_world_map", WORLD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + " SELECT '08' AS seq, * FROM wm")
 def _(spark, d):
-    sides = {f"s{k}": s for k, s in enumerate((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0))}
-    out = stencil.with_neighbours(tiny_cells(spark, d).filter(stencil.has(1)), sides=sides)
-    step = F.greatest(*(F.abs(F.col("ground_z") - F.col(f"gz_{s}")) for s in sides))
-    return out.select("frame", "ring", "ix", "iy", step.alias("step_mm")).filter("step_mm IS NOT NULL")
+    return _world(spark, d)[2]
 
 
-@query("LG-06_ring_fill", f"{CELLS_SQL} SELECT frame, ring, count(*) AS active, round(count(*) / CAST([6400, 14400, 14400][ring + 1] AS DOUBLE), 6) AS fill FROM cells GROUP BY frame, ring")
+@query("JN-19_ST-04_backfill", WORLD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, al AS (SELECT f.frame, r.ring, x.x AS ix, y.y AS iy, r.off, r.size FROM (SELECT DISTINCT frame FROM cells) f, (VALUES (0, 40, 50, 80, 0), (1, 60, 100, 120, 2000), (2, 60, 200, 120, 6000)) r(ring, off, size, side, hole), range(120) x(x), range(120) y(y)
+  WHERE x.x < r.side AND y.y < r.side AND NOT (abs((x.x - r.off) * r.size * 2 + r.size) < r.hole * 2 AND abs((y.y - r.off) * r.size * 2 + r.size) < r.hole * 2)),
+em AS (SELECT a.*, CAST(floor((((ix - off) * size + size // 2) / 1000.0::DOUBLE + frame * 0.4::DOUBLE) / 0.2::DOUBLE + 200) AS INTEGER) AS col, CAST(floor(((iy - off) * size + size // 2) / 1000.0::DOUBLE / 0.2::DOUBLE + 200) AS INTEGER) AS row FROM al a ANTI JOIN cells c ON c.frame = a.frame AND c.ring = a.ring AND c.ix = a.ix AND c.iy = a.iy)
+SELECT '08' AS seq, frame, ring, ix, iy, cls, ground_z, false AS filled FROM cells UNION ALL SELECT '08', e.frame, e.ring, e.ix, e.iy, w.cls, w.ground_z, true FROM em e JOIN wm w ON w.row = e.row AND w.col = e.col""")
 def _(spark, d):
-    out = tiny_cells(spark, d).groupBy("frame", "ring").agg(F.count(F.lit(1)).alias("active"))
-    return out.withColumn("fill", F.round(F.col("active") / grid.per_ring(TINY, lambda k, r: r.side**2), 6))
+    cells, poses, world = _world(spark, d)
+    out = tracking.backfilled(cells, world, TINY, poses, 0.2, 400)
+    return out.select("seq", "frame", "ring", "ix", "iy", "cls", "ground_z", "filled")
 
 
 @query("LG-26_bounds", f"WITH {SCAN_SQL} SELECT frame, min(x_mm) AS x_lo, max(x_mm) AS x_hi, min(y_mm) AS y_lo, max(y_mm) AS y_hi, min(z_mm) AS z_lo, max(z_mm) AS z_hi FROM pts GROUP BY frame")
 def _(spark, d):
-    return scan(spark, d).groupBy("frame").agg(*(f(f"{c}_mm").alias(f"{c}_{n}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))))
-
-
+    return metrics.bounds(scan(spark, d), ("x_mm", "y_mm", "z_mm")).withColumnsRenamed({f"{c}_mm_{e}": f"{c}_{e}" for c in "xyz" for e in ("lo", "hi")})
