@@ -15,6 +15,7 @@ from terrafold.functions.ranges import bucket, horizontal
 from terrafold.operators import clusters, grid, hazards, metrics, motion, stencil
 from terrafold.pipeline import KEYS, layers, mapped
 from terrafold.sources import scans
+from terrafold.storage import written
 
 #: Labels of large and of compact things that stand still, farthest range (m), threshold and least motion (m) of alignment.
 LARGE, COMPACT, RANGE_M, APART_M, LEAST_MOTION_M = (50, 40, 70), (80, 71, 81), 30.0, 0.15, 0.3
@@ -58,7 +59,7 @@ def evaluated(points: DataFrame, predictions: DataFrame, edges: tuple[float, ...
 def aligned(points: DataFrame, frames: DataFrame, pairs: int, seed: int) -> dict:
     """Distances between things that stand still in consecutive scans, moved by their poses; and, as a control, unmoved."""
     chosen = scans.drawn_frames(motion.lagged_frames(frames.select("seq", "frame", "pose", "tr"), (1,)), pairs, seed, ["seq"])
-    moved = chosen.withColumn("move", motion.relative_pose(F.col("pose"), F.col("prev_pose"), F.col("tr"))).select("seq", "frame", "prev_frame", "move")
+    moved = written(chosen.select("seq", "frame", "prev_frame", motion.relative_pose(F.col("pose"), F.col("prev_pose"), F.col("tr")).alias("move")), "moves")
     marked = points.withColumn("sem", F.col("raw").bitwiseAND(65535))
     parts = None
     for kind, labels, move in (("large", LARGE, True), ("compact", COMPACT, True), ("control", COMPACT, False)):
@@ -69,7 +70,7 @@ def aligned(points: DataFrame, frames: DataFrame, pairs: int, seed: int) -> dict
         near = clusters.nearest(before.select(*KEYS, "pid", "x", "y", "z"), still, 0.5, KEYS).select(F.lit(kind).alias("kind"), "distance")
         parts = near if parts is None else parts.unionByName(near)
     found = reports.rows_of(metrics.alignment(parts, APART_M))[0]
-    return {"pairs": chosen.count(), "threshold": APART_M, **found}
+    return {"pairs": moved.count(), "threshold": APART_M, **found}
 
 
 def motion_by_gap(points: DataFrame, frames: DataFrame, gaps: tuple[int, ...] = (1, 2, 3, 5), settings: Settings = DEFAULTS) -> DataFrame:

@@ -177,7 +177,7 @@ def load(folder: str | Path) -> tuple[Preset, dict[str, Preset], Settings]:
         if found is not None:
             try:
                 values[ours] = kind(found)
-            except (TypeError, ValueError) as e:
+            except (TypeError, ValueError, ArithmeticError) as e:
                 raise ConfigError(f"{folder / name}: {'.'.join(path)}: {e}") from e
     grid = files["grid.yaml"]
     rule = grid.get("class_thresholds", {})

@@ -180,7 +180,9 @@ LIMITS = {"n": 2**32 - 1, "n0": 65535, "n1": 65535, "n2": 65535, "n3": 65535, "n
 
 def guarded(accumulators: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """accumulators, with an error instead of a count that compact storage would wrap."""
-    over = F.greatest(*(F.when(F.col(c) > most, F.lit(1)).otherwise(0) for c, most in limits.items())) > 0
+    over = F.lit(False)
+    for c, most in limits.items():
+        over = over | (F.col(c) > most)
     return accumulators.withColumn("n", F.when(over, F.raise_error(F.lit("a cell's count exceeds its storage")).cast("bigint")).otherwise(F.col("n")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrafold.config import DEFAULTS, DYNAMIC, STATIC, Settings
 from terrafold.functions.labels import MOVABLE, VULNERABLE, instance, label_dim, semantic
 from terrafold.operators import clusters, motion
+from terrafold.storage import written
 
 #: Names of vehicles at rest; spans (m) from which an instance is split, at rest and moving; radius of the split.
 VEHICLES = ("car", "bicycle", "bus", "motorcycle", "on-rails", "truck", "other-vehicle")
@@ -132,6 +133,7 @@ def earlier_scans(points: DataFrame, frames: DataFrame, gaps: Sequence[int], key
     frames: keys, frame, pose (of the camera) and tr (sensor to camera). Frames without such a predecessor are absent.
     """
     pairs = motion.lagged_frames(frames.select(*keys, "frame", "pose", "tr"), gaps, keys)
-    pairs = pairs.withColumn("move", motion.relative_pose(F.col("pose"), F.col("prev_pose"), F.col("tr"))).select(*keys, "frame", "gap", "prev_frame", "move")
+    # A small table, written: the products of matrices would otherwise be repeated in every use of a coordinate.
+    pairs = written(pairs.select(*keys, "frame", "gap", "prev_frame", motion.relative_pose(F.col("pose"), F.col("prev_pose"), F.col("tr")).alias("move")), "moves")
     old = points.select(*keys, F.col("frame").alias("prev_frame"), "x", "y", "z")
     return motion.transformed(old.join(pairs, [*keys, "prev_frame"]), "move").select(*keys, "frame", "gap", "x", "y", "z")

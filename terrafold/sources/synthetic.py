@@ -148,17 +148,16 @@ def rendered(boxes: DataFrame, poses: DataFrame, beams: int = 64, columns: int =
     ground = shots.select("frame", "pid", F.array_min(F.array_compact(F.array(*hits))).alias("hit")).filter("hit IS NOT NULL")
     moved = boxes.crossJoin(F.broadcast(poses)).withColumns({c: F.col(c) + F.col("vx") * F.col("ts") for c in ("x0", "x1")})  # a few hundred boxes a frame
     # Angles of the corners as the sensor sees them, unwrapped around the first.
-    corners = []
-    for x in ("x0", "x1"):
-        for y in ("y0", "y1"):
-            gx, gy = F.col(x) - m(3), F.col(y) - m(7)
-            corners.append(F.atan2(gy * m(0) - gx * m(4), gx * m(0) + gy * m(4)))
-    rel = [F.pmod(a - corners[0] + math.pi, F.lit(2 * math.pi)) - math.pi for a in corners]
-    spread = F.greatest(*rel) - F.least(*rel)
-    first, last = F.floor((corners[0] + F.least(*rel) + math.pi) / width) - 1, F.ceil((corners[0] + F.greatest(*rel) + math.pi) / width) + 1
+    for k, (x, y) in enumerate((x, y) for x in ("x0", "x1") for y in ("y0", "y1")):
+        gx, gy = F.col(x) - m(3), F.col(y) - m(7)
+        moved = moved.withColumn(f"a{k}", F.atan2(gy * m(0) - gx * m(4), gx * m(0) + gy * m(4)))
+    rel = [F.pmod(F.col(f"a{k}") - F.col("a0") + math.pi, F.lit(2 * math.pi)) - math.pi for k in range(4)]
+    moved = moved.withColumns({"low": F.least(*rel), "high": F.greatest(*rel)})
+    first, last = F.floor((F.col("a0") + F.col("low") + math.pi) / width) - 1, F.ceil((F.col("a0") + F.col("high") + math.pi) / width) + 1
     whole = F.sequence(F.lit(0).cast("bigint"), F.lit(columns - 1).cast("bigint"))
     some = F.array_distinct(F.transform(F.sequence(first, last), lambda c: F.pmod(c, F.lit(columns).cast("bigint"))))
-    sent = moved.withColumn("column", F.explode(F.when(spread >= math.pi, whole).otherwise(some)).cast("int"))
+    moved = moved.withColumn("columns", F.when(F.col("high") - F.col("low") >= math.pi, whole).otherwise(some))
+    sent = moved.withColumn("column", F.explode("columns")).withColumn("column", F.col("column").cast("int")).drop("columns", "low", "high", "a0", "a1", "a2", "a3")
     met = shots.join(sent.drop("ts", "pose"), ["frame", "column"])
     near, far = [], []
     for d, o, a, b in (("dx", F.col("ox"), "x0", "x1"), ("dy", F.col("oy"), "y0", "y1"), ("dz", F.lit(0.0), "z0", "z1")):

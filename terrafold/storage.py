@@ -30,11 +30,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written() tables that no result will read again: all that depends on them has been written itself. Others are left alone."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()[:1]}:
+            name = path.rsplit("/", 1)[-1]
+            for held in [w for w in _written if w.rsplit("/", 1)[-1] == name]:
+                _written.remove(held)
+                _delete(table.sparkSession, held)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clear_written(spark: SparkSession) -> int:
     """Delete the tables that this process has written, once no result that reads them is needed any more; how many."""
     n = len(_written)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
     return n
