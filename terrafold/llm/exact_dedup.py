@@ -8,8 +8,8 @@ digests of the whole corpus: the work of a task never grows with the corpus or w
 has one entry per run. At every level entries are equal only if SHA-256, byte length and a second 64-bit hash all agree,
 and the best identifier (with its row's number) and the sum of counts go on.
 
-Rows get their number, the number of their run and their digests in one pass, which is written; all later steps read
-these. So results don't depend on how Spark splits a table when it reads it again.
+Rows get their number, the number of their run and their digests in one pass, which is written without the texts; all
+later steps read these. So results don't depend on how Spark splits a table when it reads it again.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.shared import anonymous, column_of, joined_groups, ship_package, written
+from terrafold.llm.shared import anonymous, column_of, discard, joined_groups, ship_package, written
 
 FAN_BITS = 3
 _KEY = ["digest", "bytes", "check"]
@@ -34,11 +34,12 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def digested(text: Column) -> list[Column]:
-    """What a row brings to the merge: its number, its run, digest and the two checks of its text."""
+def digested(text: Column, tag: Column | None = None) -> list[Column]:
+    """What a row brings to the merge: a tag that tells it from rows of equal id and text (its number, if none is given), its
+    run, digest and the two checks of its text."""
     norm = normalised(text)
     return [
-        F.monotonically_increasing_id().alias("tag"),
+        (F.monotonically_increasing_id() if tag is None else tag).alias("tag"),
         F.spark_partition_id().alias("run"),
         F.sha2(norm.cast("binary"), 256).alias("digest"),
         F.octet_length(norm).alias("bytes"),
@@ -127,9 +128,19 @@ def exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest"
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, with all their columns, whatever their names; of repeated rows one.
-    Null and empty texts are equal; empty tables give no rows."""
+    """The rows of docs that exact_duplicates() keeps, with all their columns, whatever their names; of repeated rows one: that
+    with the least or largest hash of all columns. Null and empty texts are equal; empty tables give no rows.
+
+    A row's tag is the hash of all its columns, so rows are found again by what they hold and texts are written nowhere.
+    """
     own = anonymous(docs)
-    found = written(own.select(*own.columns, F.col(column_of(docs, "doc_id")).cast("long").alias("doc_id"), *digested(F.col(column_of(docs, text)))), "digested")
-    kept = tree_merge(found.select("doc_id", "tag", "run", *_KEY), keep == "largest").select("best_tag")
-    return found.join(kept.hint("merge"), F.col("tag") == F.col("best_tag")).select(*own.columns).toDF(*docs.columns)
+    marked = own.select(*own.columns, F.col(column_of(docs, "doc_id")).cast("long").alias("doc_id"), *digested(F.col(column_of(docs, text)), F.xxhash64(*own.columns)))
+    names = ["doc_id", "tag", "run", *_KEY]
+    found = written(marked.select(*names), "digests")
+    kept = written(tree_merge(found, keep == "largest").select("best_id", "best_tag", *(F.col(k).alias(f"{k}_k") for k in _KEY), "n"), "kept-digests")
+    # Rows that agree in id, text and hash: only where there are any, all but one of them go.
+    twice = not found.groupBy("tag", "doc_id", *_KEY).count().filter("count > 1").isEmpty()
+    discard(found)
+    same = [F.col("tag") == F.col("best_tag"), F.col("doc_id").eqNullSafe(F.col("best_id")), *(F.col(k) == F.col(f"{k}_k") for k in _KEY)]
+    out = marked.join(kept.hint("merge"), same)
+    return (out.dropDuplicates(["tag", "doc_id", *_KEY]) if twice else out).select(*own.columns).toDF(*docs.columns)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.shared import block_pairs, components, written
+from terrafold.llm.shared import block_pairs, components, discard, written
 
 #: Rows of a block. A task compares two blocks.
 BLOCK_ROWS = 512
@@ -59,11 +59,13 @@ def deal(rows: DataFrame, part: str, key: str, block_rows: int = BLOCK_ROWS) ->
 
 
 def classes(answers: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """From rows (id, links, root) of all tasks: links per id, and (node, component) for ids with links.
+    """From rows (id, links, root) of all tasks: links per id, and (node, component) for ids with links, both stored.
 
     root is the smallest id that the task's links reach from id.
     """
     answers = written(answers, f"{name}-answers")
-    links = answers.groupBy("id").agg(F.sum("links").alias("links"))
+    links = written(answers.groupBy("id").agg(F.sum("links").alias("links")), f"{name}-links")
     edges = answers.filter("root <> id").select(F.col("id").alias("u"), F.col("root").alias("v"))
-    return links, components(edges, name)
+    linked = components(edges, name)
+    discard(answers)
+    return links, linked

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.llm.links import BLOCK_ROWS, classes, dealt, forest, sized
-from terrafold.llm.shared import anonymous, column_of, components, joined_groups, ship_package, written
+from terrafold.llm.shared import anonymous, column_of, components, discard, joined_groups, ship_package, written
 from terrafold.llm.textbytes import buffers, mix, slices, span_hashes, span_sums, words
 
 WORDS = 5
@@ -214,7 +214,7 @@ def parts_of(members: DataFrame, block_rows: int = BLOCK_ROWS, block_grams: int
     whole = whole.select("row", "family", "copies", none.alias("bands"), "parts")
     many = found.filter("blocks > 2")
     if many.isEmpty():
-        return whole.drop("family")
+        return _stored(whole.drop("family"), found)
     each = many.select("row", "family", "grams", F.posexplode("bands").alias("band", "key")).withColumn("bucket", F.struct("band", "key"))
     alone = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select(F.col("bucket").alias("_b"))
     each = written(sized(each, "bucket", "row", block_rows, "grams", block_grams).join(alone, F.col("bucket") == F.col("_b"), "left_anti"), "buckets")
@@ -225,7 +225,13 @@ def parts_of(members: DataFrame, block_rows: int = BLOCK_ROWS, block_grams: int
         chains = F.broadcast(chains)
     by_bucket = each.join(chains, "family", "left_semi").groupBy("row").agg(F.collect_list(F.struct("band", "key", "blocks")).alias("parts"))
     by_bucket = found.select("row", "copies", "bands").join(by_bucket, "row").select("row", "copies", "bands", "parts")
-    return whole.join(chains, "family", "left_anti").drop("family").unionByName(by_bucket)
+    return _stored(whole.join(chains, "family", "left_anti").drop("family").unionByName(by_bucket), found, each)
+
+
+def _stored(places: DataFrame, *used: DataFrame) -> DataFrame:
+    out = written(places, "parts")
+    discard(*used)
+    return out
 
 
 def jaccard_join(
@@ -241,22 +247,26 @@ def jaccard_join(
     numbers its rows, which must be stored (numbered() does); without one, texts are numbered and written once.
     Different n-grams share a 64-bit hash with a chance of 2**-64 for each pair that meets in a task.
     """
-    if row is None:
+    numbers_here = row is None
+    if numbers_here:
         docs, row = numbered(docs.select(doc_id, text)), _ROW
     bands, rows = bands_and_rows(threshold, recall)
-    found = written(signatures(docs, n, bands, rows, text, row, doc_id), "signatures")
-    found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    whole = found.filter("grams > 0")
+    signed = written(signatures(docs, n, bands, rows, text, row, doc_id).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))), "signatures")
+    found = written(signed.drop("bands"), "rows")
+    whole = signed.filter("grams > 0")
     sets = whole.groupBy("set_a", "set_b", "grams").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"))
     sets = written(sets.select("set_a", "set_b", "grams", "copies", "bands", F.col("first.doc_id").alias("set_id"), F.col("first.row").alias("row")), "sets")
+    discard(signed)
     # Rows stand for sets: they are unique even if doc_ids are not.
     banded = sets.select(F.col("row").alias("v"), F.explode("bands").alias("key"))
     least = banded.groupBy("key").agg(F.min("v").alias("u"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     # A bucket of any size gives a row for each member but one; hot ones are broadcast.
-    edges = joined_groups(banded, written(least, "buckets"), ["key"], "_n", sets.count()).filter("u <> v").select("u", "v")
-    families = components(edges, "families")
+    least = written(least, "bands")
+    families = components(joined_groups(banded, least, ["key"], "_n", sets.count()).filter("u <> v").select("u", "v"), "families")
     members = sets.join(families, F.col("row") == F.col("node")).select("row", "copies", "grams", "bands", F.col("component").alias("family"))
-    places = written(parts_of(members), "parts")
+    places = parts_of(members)
+    banded, sets = sets, written(sets.drop("bands"), "set-rows")
+    discard(banded, least, families)
     # Texts of rows in families only, by their stored numbers. Rows of families have no size bound, so they are never
     # broadcast: texts move once, in proportion to the input at any size, and their n-grams are made once.
     texts = docs.select(F.col(row).alias("row"), F.lower(F.col(text)).alias("text"))
@@ -265,10 +275,12 @@ def jaccard_join(
     each = dealt(each, "id").withColumn("bands", F.when(F.col("part.band") > 0, F.col("bands")))
     answers = each.groupBy("part", "lo", "hi").applyInArrow(verified(threshold), "id long, links long, root long")
     links, linked = classes(answers, "jaccard")
+    discard(places, *([docs] if numbers_here else []))
     linked = linked.withColumnRenamed("node", "id")
     by_set = sets.select(F.col("row").alias("id"), "set_a", "set_b", "grams", "set_id", "copies").join(links, "id", "left").join(linked, "id", "left")
     by_set = by_set.select("id", "set_a", "set_b", "grams", "set_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
     by_set = written(by_set, "set-links")
+    discard(sets, links, linked)
     smallest = by_set.groupBy("component").agg(F.min(F.struct("set_id", "id")).alias("least"), F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_rows"))
     total = smallest.agg(F.sum("_n"), F.sum("_rows")).first()
     by_set = joined_groups(by_set, smallest.drop("_rows"), ["component"], "_n", total[0] or 0)

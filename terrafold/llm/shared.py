@@ -2,49 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.shipping import ship_package
+from terrafold.storage import clear_written, discard, shared_dir, written
 
-__all__ = ["anonymous", "block_pairs", "clear_written", "column_of", "components", "crc_mod", "joined_groups", "shared_dir", "ship_package", "table", "written"]
+__all__ = ["anonymous", "block_pairs", "clear_written", "column_of", "components", "crc_mod", "discard", "joined_groups", "shared_dir", "ship_package", "table", "written"]
 
 #: A group is hot from this share of all rows on, so there are at most HOT_SHARE hot groups.
 HOT_SHARE = 1000
-#: Tables that this process has written, for clear_written().
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or, where it is unset and all runs on one machine, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        found = f"file://{tempfile.gettempdir()}/terrafold-shared"
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and return a reader of it; this cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terrafold-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_written(spark: SparkSession) -> int:
-    """Delete the tables that this process has written, once no result that reads them is needed any more; how many."""
-    n = len(_written)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-    return n
 
 
 def column_of(docs: DataFrame, name: str) -> str:
@@ -95,28 +62,26 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """
     both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     left = written(both.filter("u <> v").distinct(), f"{name}-edges")
-    nodes = left.select(F.col("u").alias("node")).union(left.select("v")).distinct()
-    labels = None
+    labels = written(left.select(F.col("u").alias("node")).union(left.select("v")).distinct().select("node", F.col("node").alias("component")), f"{name}-labels")
     while not left.isEmpty():
         up = written(left.groupBy("u").agg(F.min("v").alias("v")), f"{name}-up")
         while True:
             to = up.select(F.col("u").alias("v"), F.col("v").alias("w"))
             far = written(up.join(to, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")), f"{name}-jump")
+            discard(up)
             up = far.select("u", "v")
             if far.filter("moved").isEmpty():
                 break
-        if labels is None:
-            labels = nodes.join(up.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
-        else:
-            labels = labels.join(up.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("v", "component").alias("component"))
-        labels = written(labels, f"{name}-labels")
+        moved = labels.join(up.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("v", "component").alias("component"))
+        moved = written(moved, f"{name}-labels")
         a = up.select("u", F.col("v").alias("a"))
         renamed = left.join(a, "u", "left").select("v", F.coalesce("a", "u").alias("a"))
         b = up.select(F.col("u").alias("v"), F.col("v").alias("b"))
         renamed = renamed.join(b, "v", "left").select("a", F.coalesce("b", "v").alias("b")).filter("a <> b")
-        left = written(renamed.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
-    if labels is None:
-        labels = nodes.select("node", F.col("node").alias("component"))
+        fewer = written(renamed.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
+        discard(up, labels, left)
+        left, labels = fewer, moved
+    discard(left)
     return labels
 
 

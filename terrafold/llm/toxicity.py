@@ -76,31 +76,55 @@ class Model:
         return -np.expm1(-np.bincount(doc, _softplus(logits), n))
 
 
-def _telling(parts: list[pa.Array], labels: list[np.ndarray]) -> np.ndarray:
-    """Hashes that occur in a larger share of toxic documents than of others, with a G squared of LEAST_G at least."""
-    keys, toxic, other = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for part, y in zip(parts, labels, strict=True):
-        hashes, sentence, doc, _ = sentence_features(*buffers(part))
-        of = np.repeat(doc[sentence], hashes.shape[1])
-        flat = hashes.ravel()
-        order = np.lexsort((flat, of))
-        flat, of = flat[order], of[order]
-        once = np.ones(len(flat), bool)
-        once[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
-        flat, hit = flat[once], y[of[once]] > 0
-        both = np.concatenate([keys, flat])
-        k, toxic = counted(both, np.concatenate([toxic, hit.astype(np.int64)]))
-        keys, other = counted(both, np.concatenate([other, (~hit).astype(np.int64)]))
-    n1, n0 = sum((y > 0).sum() for y in labels), sum((y == 0).sum() for y in labels)
-    g = np.zeros(len(keys))
+def _distinct_features(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's different hashes, and the document of each."""
+    hashes, sentence, doc, _ = sentence_features(*buffers(part))
+    of = np.repeat(doc[sentence], hashes.shape[1])
+    flat = hashes.ravel()
+    order = np.lexsort((flat, of))
+    flat, of = flat[order], of[order]
+    once = np.ones(len(flat), bool)
+    once[1:] = (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])
+    return flat[once], of[once]
+
+
+def _surprise(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G squared of features that so many of n1 toxic and n0 other documents have."""
+    g = np.zeros(len(toxic))
     share = (toxic + other) / (n1 + n0)
     for seen, n in ((toxic, n1), (other, n0)):
         for x, p in ((seen, share), (n - seen, 1 - share)):
             g += 2 * np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(n * p, 1e-12)), 0)
-    return keys[(g >= LEAST_G) & (toxic * n0 > other * n1)]
+    return g
+
+
+def _telling(parts: list[pa.Array], labels: list[np.ndarray]) -> np.ndarray:
+    """Hashes that occur in a larger share of toxic documents than of others, with a G squared of LEAST_G at least.
+
+    A feature that too few toxic documents have can't reach that even if no other has it, so others are counted only for
+    the features that can: what is held follows from the toxic documents of the sample.
+    """
+    n1, n0 = sum(int((y > 0).sum()) for y in labels), sum(int((y == 0).sum()) for y in labels)
+    found = []
+    for part, y in zip(parts, labels, strict=True):
+        flat, of = _distinct_features(part.filter(pa.array(y > 0)))
+        found.append(counted(flat))
+    keys, toxic = counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    del found
+    enough = np.flatnonzero(_surprise(np.arange(n1 + 1), np.zeros(n1 + 1, np.int64), n1, n0) >= LEAST_G)
+    kept = toxic >= (enough[0] if len(enough) else n1 + 1)
+    keys, toxic = keys[kept], toxic[kept]
+    other = np.zeros(len(keys), np.int64)
+    for part, y in zip(parts, labels, strict=True):
+        flat, _ = _distinct_features(part.filter(pa.array(y == 0)))
+        at = np.searchsorted(keys, flat)
+        hit = at < len(keys)
+        at = at[hit][keys[at[hit]] == flat[hit]]
+        other += np.bincount(at, minlength=len(keys))
+    return keys[(_surprise(toxic, other, n1, n0) >= LEAST_G) & (toxic * n0 > other * n1)]
 
 
-def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None = None, epochs: int = 15, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] | None = None, epochs: int = 15, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
     """Adam on the likelihood of document labels. Without examples of both labels the model says 0 throughout.
 
     shares: how frequent the labels 0 and 1 are where the examples come from. Examples are weighted to these shares, so a
@@ -113,7 +137,7 @@ def fit(texts: list[str], labels: np.ndarray, shares: tuple[float, float] | None
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     groups = [order[k : k + 100] for k in range(0, len(order), 100)]
-    parts = [pa.array([texts[i] for i in g], pa.large_string()) for g in groups]
+    parts = [texts.take(pa.array(g)) for g in groups]
     keys = _telling(parts, [labels[g] for g in groups])
     index, batches = HashIndex(keys), []
     for g, part in zip(groups, parts, strict=True):
@@ -166,10 +190,12 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
         if all(n.get(y, 0) >= per_label or there.get(y, 0) <= asked for y in (0, 1)):
             break
         asked *= 8
-    own = Window.partitionBy("y").orderBy("h", "doc_id")  # texts of at most `asked` rows
-    before = F.sum(F.length("text")).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    found = found.withColumn("k", F.row_number().over(own)).withColumn("before", F.coalesce(before, F.lit(0)))
-    return found.filter((F.col("k") <= per_label) & (F.col("before") + F.when(F.col("k") > 1, F.length("text")).otherwise(0) <= characters // 2)).select("y", "h", "doc_id", "text")
+    sizes = found.select("y", "doc_id", "h", F.length("text").alias("size"))
+    own = Window.partitionBy("y").orderBy("h", "doc_id")  # a few numbers of each of at most `asked` rows
+    before = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("k", F.row_number().over(own)).withColumn("before", before)
+    kept = ranked.filter((F.col("k") <= per_label) & (F.col("before") + F.when(F.col("k") > 1, F.col("size")).otherwise(0) <= characters // 2))
+    return found.join(F.broadcast(kept.select("doc_id")), "doc_id").select("y", "h", "doc_id", "text")  # at most 2 * per_label ids
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, characters: int = SAMPLE_CHARACTERS) -> Model:
@@ -179,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """
     got = sample(docs, labels, text, label, per_label, characters).orderBy("y", "h", "doc_id").select("text", "y").toArrow()
     shares = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).agg(*(F.sum((F.col(label) == y).cast("long")) for y in (0, 1))).first()
-    return fit(got["text"].to_pylist(), got["y"].to_numpy().astype(np.int64), (shares[0] or 0, shares[1] or 0))
+    return fit(got["text"].combine_chunks().cast(pa.large_string()), got["y"].to_numpy().astype(np.int64), (shares[0] or 0, shares[1] or 0))
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
