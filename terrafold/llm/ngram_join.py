@@ -34,7 +34,7 @@ RECALL = 0.99999
 UNLIKE = 0.3
 CHANCE = 0.35
 #: n-grams of a block, about.
-BLOCK_GRAMS = 1 << 20
+BLOCK_GRAMS = 1 << 18
 #: Columns of the dense product in which n-gram sets are intersected.
 _COLUMNS = 8192
 #: Column of the number that numbered() gives a row.

@@ -170,7 +170,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", 2_000_000):
                 out: list[list] = [[] for _ in range(7)]
                 for value in part.column("text").to_pylist():
                     value = value or ""
