@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from terrafold import reports
 from terrafold.config import DEFAULTS, PRESETS, Preset, Settings, load
-from terrafold.functions.labels import classified, instance
+from terrafold.functions.labels import classified, instance, representative
 from terrafold.functions.ranges import bucket, horizontal
 from terrafold.operators import clusters, grid, hazards, metrics, motion, stencil
+from terrafold.operators.objects import earlier_scans, movable
 from terrafold.pipeline import KEYS, layers, mapped
 from terrafold.sources import scans
 from terrafold.storage import written
@@ -74,19 +75,20 @@ def aligned(points: DataFrame, frames: DataFrame, pairs: int, seed: int) -> dict
 
 
 def motion_by_gap(points: DataFrame, frames: DataFrame, gaps: tuple[int, ...] = (1, 2, 3, 5), settings: Settings = DEFAULTS) -> DataFrame:
-    """Scores of votes and clusters against true motion for each gap between scans, all in one plan."""
-    from terrafold.operators.objects import earlier_scans, movable
+    """Scores of votes and clusters against true motion for each gap between scans, all in one plan.
 
-    labelled = classified(points).withColumns({"sem": F.col("raw").bitwiseAND(65535), "cls": F.col("super_cls")})
+    Points may move if their class can, whether or not their label says that they do, as networks' labels don't.
+    """
+    labelled = classified(points).select(*KEYS, "pid", "x", "y", "z", F.col("raw").bitwiseAND(65535).alias("sem"), F.col("super_cls").alias("cls"), representative(F.col("learning_id")).alias("pred"))
     old = earlier_scans(points, frames, gaps)
     own = [*KEYS, "gap"]
     image = motion.range_image(motion.projected(old), own)
-    # Only points that can move vote and cluster; a scan's points are judged once for each gap it has.
-    now = motion.projected(labelled.filter(movable(labelled.columns)).select(*KEYS, "pid", "x", "y", "z", "sem", "raw")).join(old.select(*own).distinct(), list(KEYS))
-    votes = motion.residual_votes(now, image, own)
+    asked = labelled.join(frames.select(*KEYS).join(old.select(*own).distinct(), list(KEYS)), list(KEYS))
+    votes = motion.residual_votes(motion.projected(asked.filter(movable(asked.columns))), image, own)
     held = votes.join(clusters.clustered(votes, own, settings), [*own, "pid"])
-    verdicts = motion.cluster_verdicts(held, own, settings)
-    judged = held.join(verdicts.select(*own, "cluster", "is_moving"), [*own, "cluster"], "left").withColumn("moving", F.coalesce("is_moving", F.lit(False)))
+    verdicts = motion.cluster_verdicts(held, own, settings).filter("is_moving").select(*own, "cluster")
+    moving = held.join(verdicts, [*own, "cluster"]).select(*own, "pid", F.lit(True).alias("moving"))
+    judged = asked.select(*own, "pid", "sem").join(moving, [*own, "pid"], "left").withColumn("moving", F.coalesce("moving", F.lit(False)))
     scores = metrics.motion_scores(judged, F.col("moving"), F.col("sem").between(252, 259), F.col("sem").isin(10, 13, 18, 20), "gap")
     return scores.filter("overall = 0").withColumnRenamed("bucket", "gap")
 
