@@ -34,11 +34,11 @@ def _(spark, d):
     return metrics.alignment(near, 60.0).select("verdict", F.explode("kinds").alias("k")).select("k.*", "verdict")
 
 
-GAPS_SQL = f"""{PIXEL_SQL.replace("SELECT frame, pid,", "SELECT CAST(pid // 10 % 6 AS INTEGER) AS frame, pid,")},
-g AS (SELECT DISTINCT a.frame, g.gap FROM px a, (VALUES (1), (2), (3), (5)) g(gap) JOIN px b ON b.frame = a.frame - g.gap), img AS (SELECT g.frame, g.gap, v, u, min(r) AS r FROM g JOIN px p ON p.frame = g.frame - g.gap GROUP BY ALL),
+GAPS_SQL = f"""{PIXEL_SQL.replace("px AS (", "px AS MATERIALIZED (").replace("SELECT frame, pid,", "SELECT CAST(pid // 10 % 6 AS INTEGER) AS frame, pid,")},
+fr AS (SELECT DISTINCT frame FROM px), g AS (SELECT a.frame, g.gap FROM fr a, (VALUES (1), (2), (3), (5)) g(gap) WHERE a.frame - g.gap IN (SELECT frame FROM fr)), img AS MATERIALIZED (SELECT g.frame, g.gap, v, u, min(r) AS r FROM g JOIN px p ON p.frame = g.frame - g.gap GROUP BY ALL),
 o AS (SELECT dv.dv, du.du, (dv.dv + 1) * 3 + du.du + 1 AS k FROM (VALUES (-1), (0), (1)) dv(dv), (VALUES (-1), (0), (1)) du(du)),
-now AS (SELECT p.*, g.gap FROM px p JOIN g ON g.frame = p.frame),
-m AS (SELECT p.frame, p.gap, p.rid, p.r, k, abs(p.r - i.r) AS diff FROM now p, o JOIN img i ON i.frame = p.frame AND i.gap = p.gap AND i.v = least(greatest(p.v + o.dv, 0), 63) AND i.u = (p.u + o.du + 1024) % 1024),
+now AS MATERIALIZED (SELECT p.*, g.gap FROM px p JOIN g ON g.frame = p.frame),
+m AS (SELECT p.frame, p.gap, p.rid, p.r, p.k, abs(p.r - i.r) AS diff FROM (SELECT p.frame, p.gap, p.rid, p.r, o.k, least(greatest(p.v + o.dv, 0), 63) AS nv, (p.u + o.du + 1024) % 1024 AS nu FROM now p CROSS JOIN o) p JOIN img i ON i.frame = p.frame AND i.gap = p.gap AND i.v = p.nv AND i.u = p.nu),
 b AS (SELECT gap, rid, min(diff) AS diff FROM m GROUP BY ALL), vt AS (SELECT p.*, CASE WHEN b.rid IS NULL THEN -1 WHEN b.diff <= 0.30 + 0.02 * p.r THEN 0 ELSE 1 END AS vote FROM now p LEFT JOIN b ON b.gap = p.gap AND b.rid = p.rid)"""
 
 
