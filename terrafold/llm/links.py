@@ -63,7 +63,11 @@ def classes(answers: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
     root is the smallest id that the task's links reach from id.
     """
-    answers = written(answers, f"{name}-answers")
+    return stored_classes(written(answers, f"{name}-answers"), name)
+
+
+def stored_classes(answers: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """classes() of answers that are a written table, which is deleted; root may be any id that the task's links reach."""
     links = written(answers.groupBy("id").agg(F.sum("links").alias("links")), f"{name}-links")
     edges = answers.filter("root <> id").select(F.col("id").alias("u"), F.col("root").alias("v"))
     linked = components(edges, name)

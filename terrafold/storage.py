@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_parts(spark: SparkSession, frames: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """The rows of all frames as one table, as written() gives it; each frame is written before the next is asked for."""
+    path = f"{shared_dir(spark)}/terrafold-{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    _written.append(path)
+    for frame in frames:
+        frame.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written() tables that no result will read again: all that depends on them has been written itself. Others are left alone."""
     for table in tables:

@@ -79,3 +79,24 @@ def test_near_duplicates(spark, monkeypatch, rows_per_cell):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_of_several_blocks_are_compared_without_a_shuffle(spark, monkeypatch):
+    """Isotropic vectors visit most cells; what is shuffled stays in proportion to the input whatever they visit."""
+    from bench import shuffled
+
+    for name, value in (("CELL_ROWS", 100), ("BLOCK_NUMBERS", 64 * 400), ("ROWS", 130), ("COLUMNS", 70)):
+        monkeypatch.setattr(E, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(700, 64))
+    x = np.float32(np.concatenate([base, base[:300] + rng.normal(size=(300, 64)) * 0.05, base[:300] + rng.normal(size=(300, 64)) * 0.25, base[:1] + rng.normal(size=(200, 64)) * 0.2]))
+    label = rng.integers(0, 8, len(x)).clip(0, 2)  # most rows have one label
+    label[-200:] = 2
+    df = spark.createDataFrame([(k, v.tolist(), int(l)) for k, (v, l) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    before = shuffled(spark)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).collect())
+    assert 1e6 * (shuffled(spark) - before) < 3 * x.nbytes
+    unit = np.float64(x) / np.linalg.norm(np.float64(x), axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(linked, False)
+    assert got == [(k, int(n), int(c)) for k, (n, c) in enumerate(zip(linked.sum(1), forest(linked), strict=True))]
