@@ -7,11 +7,14 @@ frames: what a range brings is joined to the map so far and folded in SQL, and a
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,151 +37,196 @@ class TrackSettings:
     past: float = 0.75
 
 
+@dataclass(slots=True)
+class Track:
+    """kind is the name without moving-; instance None: none; velocity None: none; missed: frames unseen; moved: whether it
+    said so in its last frames, newest last."""
+
+    id: int
+    kind: str
+    instance: int | None
+    centre: tuple[float, float, float]
+    velocity: tuple[float, float] | None
+    missed: int
+    moved: tuple[bool, ...]
+
+
 @dataclass
 class TrackState:
-    """Tracks as arrays, one entry each: id, kind (the name without moving-), instance (-1: none), centre, velocity (not a
-    number: none), missed frames and, newest last, whether it moved in its last frames; the id of the next track; the last frame."""
-
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0, object))
-    instances: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    centres: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
-    velocities: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
-    missed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    moved: np.ndarray | None = None
+    """Tracks, oldest first, the id of the next one and the last frame. Frames hold few objects, so plain numbers are faster than arrays."""
+
+    tracks: list[Track] = field(default_factory=list)
     next_id: int = 1
     frame: int | None = None
 
-    def kept(self, which: np.ndarray) -> None:
-        for name in ("ids", "kinds", "instances", "centres", "velocities", "missed", "moved"):
-            if getattr(self, name) is not None:
-                setattr(self, name, getattr(self, name)[which])
-
-    def overlooked(self, which: np.ndarray, most: int) -> None:
-        """These tracks weren't seen: they have no velocity any more, and end after more than `most` frames in a row."""
-        self.missed[which] += 1
-        self.velocities[which] = np.nan
-        self.kept(self.missed <= most)
-
     def to_json(self) -> str:
-        lists = {k: getattr(self, k).tolist() for k in ("ids", "kinds", "instances", "centres", "missed")}
-        lists["velocities"] = [None if np.isnan(v).any() else v.tolist() for v in self.velocities]
-        return json.dumps(lists | {"moved": None if self.moved is None else self.moved.tolist(), "next_id": self.next_id, "frame": self.frame})
+        return json.dumps({"tracks": [[getattr(t, k) for k in Track.__slots__] for t in self.tracks], "next_id": self.next_id, "frame": self.frame})
 
     @classmethod
     def from_json(cls, text: str) -> TrackState:
         d = json.loads(text)
-        n = len(d["ids"])
-        velocities = np.array([[np.nan] * 2 if v is None else v for v in d["velocities"]], float).reshape(n, 2)
-        moved = None if d["moved"] is None else np.array(d["moved"], bool).reshape(n, -1)
-        whole = [np.array(d[k], np.int64) for k in ("ids", "instances", "missed")]
-        return cls(whole[0], np.array(d["kinds"], object), whole[1], np.array(d["centres"], float).reshape(n, 3), velocities, whole[2], moved, d["next_id"], d["frame"])
-
-
-def matched(apart: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """For each row the column it is paired with, or -1: of all allowed pairs the nearest first, each row and column once;
-    ties go to the first row, then column."""
-    left = np.where(allowed, apart, np.inf)
-    out = np.full(len(apart), -1)
-    while left.size and np.isfinite(left.min()):
-        i, j = np.unravel_index(left.argmin(), left.shape)
-        out[i] = j
-        left[i], left[:, j] = np.inf, np.inf
-    return out
-
-
-def fold_tracks(state: TrackState, objects: list[dict], pose: np.ndarray | None, dt: float, s: TrackSettings = TrackSettings()) -> list[dict]:
+        tracks = [Track(*(tuple(v) if isinstance(v, list) else v for v in t)) for t in d["tracks"]]
+        return cls(tracks, d["next_id"], d["frame"])
+
+
+#: From so many pairs of an object and a track on, they are compared by arrays.
+MANY_PAIRS = 256
+
+
+def _pairs(objects: list[dict], kinds: list[str], instances: list[int | None], tracks: list[Track], before: list[tuple[float, float, float]], gate: float) -> dict[int, int]:
+    """The track of each object that goes on with one: of all allowed pairs the nearest first, each object and track once;
+    ties go to the first object, then track."""
+    if len(objects) * len(tracks) < MANY_PAIRS:
+        allowed = []
+        for i, o in enumerate(objects):
+            for j, t in enumerate(tracks):
+                if kinds[i] == t.kind and (instances[i] is None or t.instance is None or instances[i] == t.instance):
+                    dx, dy, dz = o["x"] - before[j][0], o["y"] - before[j][1], o["z"] - before[j][2]
+                    apart = math.sqrt(dx * dx + dy * dy + dz * dz)
+                    if apart <= gate:
+                        allowed.append((apart, i, j))
+        allowed = [(i, j) for _, i, j in sorted(allowed)]
+    else:
+        here, there = np.array([(o["x"], o["y"], o["z"]) for o in objects], float), np.array(before)
+        square = sum((here[:, None, k] - there[None, :, k]) ** 2 for k in range(3))
+        own, other = (np.array([-1 if v is None else v for v in values], np.int64) for values in (instances, [t.instance for t in tracks]))
+        clash = (own[:, None] >= 0) & (other[None] >= 0) & (own[:, None] != other[None])
+        same = np.array(kinds, object)[:, None] == np.array([t.kind for t in tracks], object)[None]
+        apart = np.sqrt(square)
+        i, j = np.nonzero((apart <= gate) & same & ~clash)
+        order = np.argsort(apart[i, j], kind="stable")  # i and j ascend
+        allowed = zip(i[order].tolist(), j[order].tolist(), strict=True)
+    pair, taken = {}, set()
+    most = min(len(objects), len(tracks))
+    for i, j in allowed:
+        if i not in pair and j not in taken:
+            pair[i] = j
+            taken.add(j)
+            if len(pair) == most:
+                break
+    return pair
+
+
+def fold_tracks(state: TrackState, objects: list[dict], pose: np.ndarray | Sequence[float] | None, dt: float, s: TrackSettings = TrackSettings()) -> list[dict]:
     """Move the state on by one frame; returns the objects with track_id, moving, speed_mps, vx and vy.
 
-    objects: name, x, y, z, moving, instance (or None). pose leads from the previous frame to this one; without it every
-    object begins a track. An object may go on with a track of its kind whose place, moved by pose, lies within the gate,
-    unless both have instances and these differ. An object moves if it says so, is a vulnerable road user, said so in
+    objects: name, x, y, z, moving, instance (or None). pose (4 x 4, or its 16 numbers by rows) leads from the previous frame to
+    this one; without it every object begins a track. An object may go on with a track of its kind whose place, moved by pose, lies
+    within the gate, unless both have instances and these differ. An object moves if it says so, is a vulnerable road user, said so in
     enough of its track's last frames, or, without an instance, is faster than the least speed since the frame before.
     Velocities of what moves are smoothed, turned into this frame's axes; slow ones aren't told.
     """
-    if not objects:
-        state.overlooked(np.ones(len(state.ids), bool), s.missed)
-        return []
-    n, old = len(objects), len(state.ids)
-    if state.moved is None:
-        state.moved = np.zeros((old, s.window), bool)
-    centres = np.array([[o["x"], o["y"], o["z"]] for o in objects], float)
-    kinds = np.array([o["name"].removeprefix("moving-") for o in objects], object)
-    instances = np.array([-1 if o["instance"] is None else o["instance"] for o in objects], np.int64)
-    says = np.array([bool(o["moving"]) for o in objects])
-    pair = np.full(n, -1)
-    if pose is not None and old:
-        before = state.centres @ pose[:3, :3].T + pose[:3, 3]
-        apart = np.linalg.norm(centres[:, None] - before[None], axis=2)
-        clash = (instances[:, None] >= 0) & (state.instances[None] >= 0) & (instances[:, None] != state.instances[None])
-        pair = matched(apart, (apart <= s.gate_m) & (kinds[:, None] == state.kinds[None]) & ~clash)
-    i = np.flatnonzero(pair >= 0)
-    j = pair[i]
-    moving = says | np.array([o["name"] in VULNERABLE for o in objects])
-    velocity, told = np.full((n, 2), np.nan), np.zeros(n, bool)
-    if len(i):
-        in_row = state.missed[j] == 0
-        now = (centres[i] - before[j])[:, :2] / max(1e-4, dt)
-        history = np.concatenate([state.moved[j, 1:], says[i, None]], 1)
-        fast = (instances[i] < 0) & in_row & (np.linalg.norm(now, axis=1) >= s.least_mps)
-        moving[i] |= (history.sum(1) >= s.hits) | fast
-        was = state.velocities[j] @ pose[:2, :2].T
-        smooth = np.where(np.isnan(was), now, s.past * was + (1 - s.past) * now)
-        velocity[i] = np.where((moving[i] & in_row)[:, None], smooth, np.nan)
-        state.moved[j], state.velocities[j], state.centres[j] = history, velocity[i], centres[i]
-        state.instances[j], state.missed[j] = instances[i], 0
-        told[i] = np.nan_to_num(np.linalg.norm(velocity[i], axis=1)) >= s.least_mps
-    new = np.flatnonzero(pair < 0)
-    ids = np.zeros(n, np.int64)
-    ids[i], ids[new] = state.ids[j], state.next_id + np.arange(len(new))
-    first = np.zeros((len(new), s.window), bool)
-    first[:, -1] = says[new]
-    for name, more in (("ids", ids[new]), ("kinds", kinds[new]), ("instances", instances[new]), ("centres", centres[new]), ("velocities", np.full((len(new), 2), np.nan)), ("missed", np.zeros(len(new), np.int64)), ("moved", first)):
-        setattr(state, name, np.concatenate([getattr(state, name), more]))
-    state.next_id += len(new)
-    if pose is not None and old:
-        gone = np.zeros(len(state.ids), bool)
-        gone[np.setdiff1d(np.arange(old), j)] = True
-        state.overlooked(gone, s.missed)
-    out = []
-    for k, o in enumerate(objects):
-        vx, vy = velocity[k].tolist() if told[k] else (None, None)
-        out.append(o | {"track_id": int(ids[k]), "moving": bool(moving[k]), "speed_mps": float(np.hypot(vx, vy)) if told[k] else None, "vx": vx, "vy": vy})
+    tracks, pair, before = state.tracks, {}, []
+    kinds = [o["name"].removeprefix("moving-") for o in objects]
+    instances = [None if o["instance"] is None or o["instance"] < 0 else o["instance"] for o in objects]
+    if pose is not None and tracks and objects:
+        m = pose if isinstance(pose, list) else np.asarray(pose, float).ravel().tolist()
+        for t in tracks:
+            x, y, z = t.centre
+            before.append((m[0] * x + m[1] * y + m[2] * z + m[3], m[4] * x + m[5] * y + m[6] * z + m[7], m[8] * x + m[9] * y + m[10] * z + m[11]))
+        pair = _pairs(objects, kinds, instances, tracks, before, s.gate_m)
+    out, new = [], []
+    for i, o in enumerate(objects):
+        says, centre, velocity = bool(o["moving"]), (o["x"], o["y"], o["z"]), None
+        moving, j = says or o["name"] in VULNERABLE, pair.get(i)
+        if j is None:
+            t = Track(state.next_id, kinds[i], instances[i], centre, None, 0, (False,) * (s.window - 1) + (says,))
+            state.next_id += 1
+            new.append(t)
+        else:
+            t, seen = tracks[j], tracks[j].missed == 0
+            now = (centre[0] - before[j][0]) / max(1e-4, dt), (centre[1] - before[j][1]) / max(1e-4, dt)
+            t.moved = (*t.moved[1:], says)
+            moving = moving or sum(t.moved) >= s.hits or (instances[i] is None and seen and math.hypot(*now) >= s.least_mps)
+            if moving and seen:
+                velocity = now
+                if t.velocity is not None:
+                    x, y = t.velocity
+                    velocity = s.past * (m[0] * x + m[1] * y) + (1 - s.past) * now[0], s.past * (m[4] * x + m[5] * y) + (1 - s.past) * now[1]
+            t.instance, t.centre, t.velocity, t.missed = instances[i], centre, velocity, 0
+        speed = None if velocity is None else math.hypot(*velocity)
+        vx, vy = velocity if speed is not None and speed >= s.least_mps else (None, None)
+        out.append(o | {"track_id": t.id, "moving": moving, "speed_mps": None if vx is None else speed, "vx": vx, "vy": vy})
+    if pose is not None or not objects:
+        seen_now = set(pair.values())
+        for j, t in enumerate(tracks):
+            if j not in seen_now:
+                t.missed, t.velocity = t.missed + 1, None
+        tracks = [t for t in tracks if t.missed <= s.missed]
+    state.tracks = tracks + new
     return out
 
 
 TRACKED = "seq string, frame int, obj long, track_id long, moving boolean, speed_mps double, vx double, vy double"
 
 
-def _fold_frame(state: TrackState, key: str, frame: int, rows: pd.DataFrame) -> list[dict]:
+_TYPES = pa.schema([("seq", pa.string()), ("frame", pa.int32()), ("obj", pa.int64()), ("track_id", pa.int64()), ("moving", pa.bool_()), ("speed_mps", pa.float64()), ("vx", pa.float64()), ("vy", pa.float64())])
+_INPUT = {"seq": "string", "frame": "int", "obj": "long", "name": "string", "x": "double", "y": "double", "z": "double", "moving": "boolean", "instance": "long", "pose": "array<double>", "dt": "double"}
+
+
+def _fold_frame(state: TrackState, rows: list[tuple], out: list[tuple]) -> None:
+    """Fold the rows of a frame, each as _INPUT has it, and append rows as TRACKED has them."""
+    seq, frame, *_, pose, dt = rows[0]
     if state.frame is not None and frame != state.frame + 1:
-        vars(state).update(vars(TrackState()))  # a jump begins anew
-    first = rows.iloc[0]
-    pose = None if state.frame is None or first["pose"] is None else np.array(first["pose"], float).reshape(4, 4)
-    objects = [
-        {"name": r.name_, "x": r.x, "y": r.y, "z": r.z, "moving": bool(r.moving), "instance": None if pd.isna(r.instance) else int(r.instance), "obj": int(r.obj)}
-        for r in rows.rename(columns={"name": "name_"}).itertuples()
-        if not pd.isna(r.obj)
-    ]
+        state.tracks, state.next_id, state.frame = [], 1, None  # a jump begins anew
+    objects = [{"obj": r[2], "name": r[3], "x": r[4], "y": r[5], "z": r[6], "moving": r[7], "instance": r[8]} for r in rows if r[2] is not None]
+    pose = None if state.frame is None else pose
     state.frame = frame
-    return [{"seq": key, "frame": frame} | {c: o[c] for c in ("obj", "track_id", "moving", "speed_mps", "vx", "vy")} for o in fold_tracks(state, objects, pose, float(first["dt"] or 0.1))]
+    for o in fold_tracks(state, objects, pose, dt or 0.1):
+        out.append((seq, frame, o["obj"], o["track_id"], o["moving"], o["speed_mps"], o["vx"], o["vy"]))
+
+
+def _tracked(out: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*out, strict=True) if out else [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TYPES, strict=True)], schema=_TYPES)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows as _INPUT has them; null coordinates are not numbers, and equal poses that follow each other are one list."""
+    columns = {c: batch.column(c) for c in _INPUT}
+    for c in "xyz":
+        columns[c] = columns[c].fill_null(math.nan)
+    pose = columns["pose"]
+    sizes = pose.value_lengths().to_numpy(zero_copy_only=False)
+    poses: list = [None] * len(pose)
+    if len(pose) and (sizes == 16).all() and not pose.flatten().null_count:
+        flat = pose.flatten().to_numpy().reshape(-1, 16)
+        for k in np.flatnonzero(np.append(True, (flat[1:] != flat[:-1]).any(1))).tolist():
+            poses[k] = flat[k].tolist()
+        for k in range(1, len(poses)):
+            poses[k] = poses[k] or poses[k - 1]
+    else:
+        poses = pose.to_pylist()
+    return zip(*(poses if c == "pose" else columns[c].to_pylist() for c in _INPUT), strict=True)
 
 
 def tracked(objects: DataFrame) -> DataFrame:
     """Tracks of objects (seq, frame, obj, name, x, y, z, moving, instance, pose, dt), each sequence folded by frame.
 
     pose is the transform from the frame before, null for none. A frame without objects is a row with a null obj.
+    Sequences are read in order, so a task holds one frame and the tracks of one sequence.
     """
 
     ship_package(objects.sparkSession)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = TrackState(), []
-        for frame, part in rows.sort_values(["frame", "obj"]).groupby("frame", sort=True):
-            out += _fold_frame(state, part["seq"].iloc[0], int(frame), part)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
-
-    return objects.groupBy("seq").applyInPandas(run, TRACKED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, held, out = TrackState(), [], []
+        for batch in batches:
+            for row in _rows(batch):
+                if held and (row[1] != held[0][1] or row[0] != held[0][0]):
+                    _fold_frame(state, held, out)
+                    if row[0] != held[0][0]:
+                        state = TrackState()
+                    held = []
+                held.append(row)
+            yield _tracked(out)
+            out = []
+        if held:
+            _fold_frame(state, held, out)
+            yield _tracked(out)
+
+    rows = objects.select(*(F.col(c).cast(t).alias(c) for c, t in _INPUT.items()))
+    return rows.repartition("seq").sortWithinPartitions("seq", "frame", F.col("obj").asc_nulls_last()).mapInArrow(run, TRACKED)
 
 
 def tracked_stream(objects: DataFrame) -> DataFrame:
@@ -187,12 +235,13 @@ def tracked_stream(objects: DataFrame) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = TrackState.from_json(held.get[0]) if held.exists else TrackState()
-        rows = pd.concat(list(batches))
+        rows = pd.concat(list(batches)).sort_values(["frame", "obj"])
+        values = [[None if v is None or v is pd.NA or (v != v and c not in "xyz") else v for v in (rows[c] if c != "pose" else (None if p is None else [float(x) for x in p] for p in rows[c]))] for c in _INPUT]
         out = []
-        for frame, part in rows.sort_values(["frame", "obj"]).groupby("frame", sort=True):
-            out += _fold_frame(state, key[0], int(frame), part)
+        for _, frame in groupby(zip(*values, strict=True), key=lambda r: r[1]):
+            _fold_frame(state, [(*r[:1], int(r[1]), None if r[2] is None else int(r[2]), *r[3:8], None if r[8] is None else int(r[8]), *r[9:]) for r in frame], out)
         held.update((state.to_json(),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")])
+        yield pd.DataFrame(out, columns=_TYPES.names)
 
     return objects.groupBy("seq").applyInPandasWithState(run, TRACKED, "state string", "append", "NoTimeout")
 
