@@ -10,27 +10,31 @@ from terrafold.llm.mixing import in_mixed_order, mixed
 from terrafold.llm.ngram_join import drop_near_duplicates
 from terrafold.llm.packing import pack
 from terrafold.llm.queries import MIXTURE, word_bpe_file
-from terrafold.llm.shared import table, written
+from terrafold.llm.shared import collected, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of all labels scores below the threshold."""
+    collected(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest doc_id."""
+    collected(spark)
     return drop_exact_duplicates(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word sets at a similarity of 0.8 or more."""
+    collected(spark)
     return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of a mixture of all sources by MIXTURE."""
+    collected(spark)
     return in_mixed_order(docs, MIXTURE)
 
 
@@ -39,6 +43,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Tables don't keep the order of their rows, so positions are computed again: they follow from sources and ids.
     """
+    collected(spark)
     return pack(mixed(docs, MIXTURE), word_bpe_file(), order="mix_position")
 
 

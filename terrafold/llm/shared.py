@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.shipping import ship_package
-from terrafold.storage import clear_written, discard, shared_dir, written, written_parts
+from terrafold.storage import clear_written, collected, discard, shared_dir, written, written_parts
 
-__all__ = ["anonymous", "block_pairs", "clear_written", "column_of", "components", "crc_mod", "discard", "joined_groups", "shared_dir", "ship_package", "table", "written", "written_parts"]
+__all__ = ["anonymous", "block_pairs", "clear_written", "collected", "column_of", "components", "crc_mod", "discard", "joined_groups", "shared_dir", "ship_package", "table", "written", "written_parts"]
 
 #: A group is hot from this share of all rows on, so there are at most HOT_SHARE hot groups.
 HOT_SHARE = 1000

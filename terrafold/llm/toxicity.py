@@ -124,14 +124,21 @@ def _telling(parts: list[pa.Array], labels: list[np.ndarray]) -> np.ndarray:
     return keys[(_surprise(toxic, other, n1, n0) >= LEAST_G) & (toxic * n0 > other * n1)]
 
 
-def fit(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] | None = None, epochs: int = 15, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Model:
-    """Adam on the likelihood of document labels. Without examples of both labels the model says 0 throughout.
+def fit(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] | None = None, **settings) -> Model:
+    """The model of weights()."""
+    return Model(*weights(texts, labels, shares, **settings))
+
+
+def weights(
+    texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] | None = None, epochs: int = 15, rate: float = 0.05, decay: float = 1e-5, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """What a Model is made of, by Adam on the likelihood of document labels. Without examples of both labels the model says 0 throughout.
 
     shares: how frequent the labels 0 and 1 are where the examples come from. Examples are weighted to these shares, so a
     sample that has as many of each doesn't change how likely a document is toxic before anything is known of its text.
     """
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0)
+        return np.zeros(0, np.uint64), np.zeros(0), -50.0
     of_label = np.bincount(labels, minlength=2) / len(labels)
     weight = np.ones(2) if shares is None else np.array(shares) / sum(shares) / of_label
     rng = np.random.default_rng(seed)
@@ -164,7 +171,7 @@ def fit(texts: pa.Array, labels: np.ndarray, shares: tuple[float, float] | None
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             w[used] -= rate * (m[used] / (1 - 0.9**t)) / (np.sqrt(v[used] / (1 - 0.99**t)) + 1e-6)
             bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
-    return Model(keys, w, bias)
+    return keys, w, bias
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, characters: int = SAMPLE_CHARACTERS) -> DataFrame:
@@ -202,10 +209,25 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """Fit on sample() of labels (doc_id, toxic), weighted by how frequent the labels are among all labelled ids.
 
     Only the sampled ids meet docs (doc_id, text). Odd labels, ids and texts as in sample(); further columns are ignored.
+    One task fits the bounded sample, so the driver holds weights only.
     """
-    got = sample(docs, labels, text, label, per_label, characters).orderBy("y", "h", "doc_id").select("text", "y").toArrow()
+    ship_package(docs.sparkSession)
     shares = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).agg(*(F.sum((F.col(label) == y).cast("long")) for y in (0, 1))).first()
-    return fit(got["text"].combine_chunks().cast(pa.large_string()), got["y"].to_numpy().astype(np.int64), (shares[0] or 0, shares[1] or 0))
+    of_labels = (shares[0] or 0, shares[1] or 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("y", pa.int32())]))
+        keys, w, bias = weights(got["text"].combine_chunks().cast(pa.large_string()), got["y"].to_numpy().astype(np.int64), of_labels)
+        # The row without a key is the bias.
+        yield pa.RecordBatch.from_arrays([pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64())], names=["key", "weight"])
+
+    examples = sample(docs, labels, text, label, per_label, characters).repartition(1).sortWithinPartitions("y", "h", "doc_id").select("text", "y")
+    rows = examples.mapInArrow(run, "key long, weight double").toArrow()
+    if not rows.num_rows:  # no task for no examples
+        return fit(pa.array([], pa.large_string()), np.zeros(0, np.int64))
+    keys, w = rows["key"].combine_chunks(), rows["weight"].to_numpy()
+    bias = keys.is_null().to_numpy(zero_copy_only=False)
+    return Model(keys.drop_null().to_numpy().view(np.uint64), w[~bias], float(w[bias][0]))
 
 
 def score(docs: DataFrame, model: Model, keep: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -51,6 +51,12 @@ def discard(*tables: DataFrame) -> None:
                 _delete(table.sparkSession, held)
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage between long steps: its heap shrinks again, and Spark deletes the shuffles and
+    broadcasts that nothing refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

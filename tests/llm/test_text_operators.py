@@ -1,9 +1,11 @@
 """Operators on texts against brute force, over odd rows, empty tables and further columns."""
 
 import collections
+import functools
 import hashlib
 import json
 import math
+import os
 import re
 import time
 import zlib
@@ -505,3 +507,26 @@ def test_queries_are_registered():
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES) and json.dumps(ORACLE_SQL)
+
+
+def test_the_driver_fits_no_toxicity_model(spark, monkeypatch):
+    """A task fits the sample; what comes back is the model that fit() makes of it."""
+    words = ["quiet", "river", "stone", "bread", "lamp", "field"]
+    rows = [(k, " ".join(words[(k * 7 + j * j) % 6] for j in range(9)) + (". you vile rat." if k % 3 == 0 else ". good day."), int(k % 3 == 0)) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    got = toxicity.sample(docs, labels).orderBy("y", "h", "doc_id").select("text", "y").toArrow()
+    want = toxicity.fit(got["text"].combine_chunks().cast(pa.large_string()), got["y"].to_numpy().astype(np.int64), (100, 50))
+
+    driver = os.getpid()
+
+    def elsewhere(made, *args, **kwargs):
+        assert os.getpid() != driver
+        return made(*args, **kwargs)
+
+    for name in ("fit", "weights"):
+        if hasattr(toxicity, name):
+            monkeypatch.setattr(toxicity, name, functools.partial(elsewhere, getattr(toxicity, name)))
+    model = toxicity.train(docs, labels)
+    assert model.bias == want.bias and len(model.weights) > 1
+    assert np.allclose(model.weights, want.weights, rtol=1e-12, atol=0)
